@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftnet.llm.langid import op8_language_id
 from weftnet.llm.mixing import op7_mixing
 from weftnet.llm.packing import op10_packing
+from weftnet.llm.quality import op1_quality
 from weftnet.llm.simhash import op3_simhash
 from weftnet.llm.token_counts import op6_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op3_simhash": op3_simhash,
         "op6_token_counts": op6_token_counts,
         "op7_mixing": op7_mixing,
+        "op8_language_id": op8_language_id,
         "op10_packing": op10_packing,
     }
 
