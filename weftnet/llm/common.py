@@ -51,3 +51,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def ddl(df: DataFrame, names: list[str]) -> str:
+    """Schema string of the named columns, for mapInArrow and its like."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
