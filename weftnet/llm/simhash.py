@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import staged, table
+from weftnet.llm.common import digest, staged, table
 
 #: Words of a shingle, differing bits of a link at most, and the seed of the shingles' XXH64.
 WORDS, BITS, SEED = 4, 4, 42
@@ -219,25 +219,44 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def groups(marked: DataFrame, bits: int = BITS) -> DataFrame:
+    """(doc_id, fp, ...) -> (fp, root, component_id) for each fingerprint.
+
+    root is the least fingerprint of the component, component_id the least doc_id among its documents (null if all are null).
+    Equal fingerprints are one node, so that copies are never paired.
+    """
+    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("_least")), "nodes")
+    roots = components(links(nodes.select("fp"), bits))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
+    rooted = staged(rooted, "roots")
+    return rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("_least").alias("component_id")), "root")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links.
 
-    Fingerprints are linked at `bits` or fewer differing bits; equal fingerprints are one node, whose number is its smallest
-    doc_id, so that copies are never paired. Null and empty texts share the fingerprint 0, which is linked like any other.
-    Repeated rows each get a row; a null doc_id gets a row and takes part, but can only be a component's id where nothing else
-    is in it; an empty table gives an empty result; other columns of docs are left out.
+    Fingerprints are linked at `bits` or fewer differing bits. Null and empty texts share the fingerprint 0, which is linked
+    like any other. Repeated rows each get a row; a null doc_id gets a row and takes part, but is a component's id only where
+    nothing else is in it; an empty table gives an empty result; other columns of docs are left out.
     """
     marked = staged(fingerprints(docs.select("doc_id", "text"), words, seed), "marked")
-    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = staged(links(nodes.select("fp"), bits), "close")
-    # roots are found over doc_ids: a fingerprint without one (all null) can't lower any
-    to_a, to_b = nodes.select(F.col("fp").alias("a"), F.col("node").alias("node_a")), nodes.select(F.col("fp").alias("b"), F.col("node").alias("node_b"))
-    named = found.join(to_a, "a").join(to_b, "b")
-    named = named.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).filter("a is not null and b is not null")
-    roots = nodes.join(components(named), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    result = marked.join(roots, "fp")
+    result = marked.join(groups(marked, bits).select("fp", "component_id"), "fp")
     return result.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED) -> DataFrame:
+    """docs with one row of each component of near duplicates: that of least doc_id (nulls last), then of least digest of its text.
+
+    Rows equal in doc_id and text are one document, of which one row stays.
+    """
+    key = digest(F.col("doc_id"), F.col("text"))
+    marked = staged(fingerprints(docs.select(F.struct("doc_id", key.alias("key")).alias("_row"), "text"), words, seed, key_col="_row"), "marked")
+    marked = marked.select("_row.doc_id", F.col("_row.key").alias("_key"), "fp")
+    rooted = marked.join(groups(marked.select("doc_id", "fp"), bits).select("fp", "root"), "fp")
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_weft_key"))
+    once = docs.withColumn("_weft_key", key).join(kept.select("_weft_key"), "_weft_key", "left_semi").dropDuplicates(["_weft_key"])
+    return once.drop("_weft_key")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
