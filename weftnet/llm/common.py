@@ -45,6 +45,11 @@ def digest(*columns: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in columns]).cast("binary")))
 
 
+def whole(df: DataFrame, names: list[str] | None = None) -> Column:
+    """The named columns (all by default) as one struct, so that an operator's own columns can't clash with them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,3 +61,23 @@ def parallelism(spark: SparkSession) -> int:
 def ddl(df: DataFrame, names: list[str]) -> str:
     """Schema string of the named columns, for mapInArrow and its like."""
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+#: A key with more than this share of all rows is dealt to several tasks by salted_join; so at most 1 / HOT_SHARE keys are.
+HOT_SHARE = 0.002
+
+
+def salted_join(rows: DataFrame, small: DataFrame, key: str, spread: Column, hot_share: float = HOT_SHARE) -> DataFrame:
+    """rows left-joined to small, which has a row for each key, with the rows of frequent keys dealt to several tasks.
+
+    Keys with over hot_share of all rows are counted out first; there are at most 1 / hot_share, so they may be broadcast. Their
+    rows get one of n * 2 / (hot_share * total) salts by a hash of `spread`, and their row of small is repeated for each salt.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    least = max(1.0, hot_share * total)
+    hot = staged(counts.filter(F.col("_n") > least).select(F.col(key).alias("_hot"), F.ceil(2 * F.col("_n") / least).cast("int").alias("_salts")), "hot-keys")
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_hot", "_salts")
+    right = small.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_hot", "_salts")
+    return left.join(right, [key, "_salt"], "left").drop("_salt")

@@ -167,7 +167,7 @@ PREDICTION = "lang_pred string, score double, bits_per_char double"
 
 
 def identify(docs: DataFrame, languages: Languages, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep columns of docs, and lang_pred, score, bits_per_char.
+    """keep columns of docs (but for those named like the added ones), and lang_pred, score, bits_per_char.
 
     A text is parsed from left to right into the longest phrases that occur in the language's sample; phrases times
     log2(sample length), over the text's length, estimate its bits a character under that language, and the language with
@@ -175,6 +175,7 @@ def identify(docs: DataFrame, languages: Languages, keep: list[str], text_col: s
     only one language was learned. Whole texts are parsed, of any length. Null, empty and letterless texts, and all texts where
     nothing was learned, get "und" with score 0. Repeated rows each get their row; an empty table gives an empty result.
     """
+    keep = [c for c in keep if c not in ("lang_pred", "score", "bits_per_char")]
     shared = docs.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

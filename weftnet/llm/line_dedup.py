@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import ddl, digest, staged, table
+from weftnet.llm.common import ddl, digest, staged, table, whole
 
 #: Words of a block, the least that is ever deleted, and words of a window: every repeated run of so many is found.
 BLOCK_WORDS, WINDOW_WORDS = 20, 50
@@ -152,12 +152,14 @@ def delete_runs(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_c
     """docs with the runs deleted from text_col, and n_lines, n_removed (long)."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     place = names.index(text_col)
-    joined = docs.select(*names, text_key(F.col(id_col), F.col(text_col)).alias("_key")).join(runs, "_key", "left").select(*names, "_runs")
+    keyed = docs.select(whole(docs, names).alias("_row"), text_key(F.col(id_col), F.col(text_col)).alias("_key"))
+    joined = keyed.join(runs, "_key", "left").select("_row", "_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_removed = [], [], []
-            for text, runs in zip(batch.column(place), batch.column(len(names)), strict=True):
+            columns = batch.column(0).flatten()
+            for text, runs in zip(columns[place], batch.column(1), strict=True):
                 text, runs = text.as_py(), runs.as_py()
                 lines = [] if text is None else text.split("\n")
                 n_lines.append(len(lines))
@@ -170,7 +172,6 @@ def delete_runs(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_c
                     kept += lines[at:]
                 n_removed.append(len(lines) - len(kept))
                 texts.append("\n".join(kept) if text is not None else None)
-            columns = [batch.column(i) for i in range(len(names))]
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
 

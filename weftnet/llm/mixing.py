@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import WORD, digest, staged, table
+from weftnet.llm.common import WORD, digest, staged, table, whole
 
 #: Weights that the sources take in turn, by code point, null last.
 WEIGHTS = (3, 1, 2)
@@ -65,10 +65,11 @@ def copies(docs: DataFrame, size: Column, order: list[Column], weights: tuple =
     """
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     key = {"_no_source": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))}
-    keyed = docs.withColumns({"_size": size, **key}).select(*names, F.col("_size").alias("size"), *key)
-    tie = F.xxhash64(F.lit(seed), *order)
-    ranged = keyed.withColumn("_tie", tie).repartitionByRange("_no_source", "_source", "size", "_tie", *order)
-    placed = staged(ranged.sortWithinPartitions("_no_source", "_source", "size", "_tie", *order).withColumn("_part", F.spark_partition_id()), "mixing")
+    ties = {"_tie": F.xxhash64(F.lit(seed), *order)} | {f"_tie{i}": c for i, c in enumerate(order)}
+    keyed = docs.select(whole(docs, names).alias("_row"), size.alias("size"), *[c.alias(n) for n, c in (key | ties).items()])
+    placing = ["_no_source", "_source", "size", *ties]
+    ranged = keyed.repartitionByRange(*placing).sortWithinPartitions(*placing)
+    placed = staged(ranged.withColumn("_part", F.spark_partition_id()), "mixing")
 
     part = placed.groupBy("_no_source", "_source", "_part").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
     earlier = Window.partitionBy("_no_source", "_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,7 +77,7 @@ def copies(docs: DataFrame, size: Column, order: list[Column], weights: tuple =
     targets = source_targets(part.groupBy("_no_source", "_source").agg(F.sum("_words").alias("source_size")), weights, total, most)
     part = part.drop("_words", "_n").join(targets, ["_no_source", "_source"])
 
-    inside = Window.partitionBy("_no_source", "_source", "_part").orderBy("size", "_tie", *order)
+    inside = Window.partitionBy("_no_source", "_source", "_part").orderBy("size", *ties)
     ranked = placed.withColumn("_rank", F.row_number().over(inside)).join(part, ["_no_source", "_source", "_part"])
     rank = F.col("_before") + F.col("_rank")
     start = F.pmod(F.xxhash64(F.lit(seed), "_no_source", "_source"), F.lit(GRAIN)) / F.lit(float(GRAIN))
@@ -90,7 +91,7 @@ def copies(docs: DataFrame, size: Column, order: list[Column], weights: tuple =
     taken = ranked.groupBy("_no_source", "_source").agg(F.max("_start").alias("_start"), F.max("target").alias("target"), *[F.sum(crossed(u) * F.col("size")).alias(f"_taken{j}") for j, u in enumerate(drawn)])
     misses = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_taken{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j"), u.alias("offset")) for j, u in enumerate(drawn)]))
     ranked = ranked.join(taken.select("_no_source", "_source", misses["offset"].alias("_offset")), ["_no_source", "_source"])
-    return ranked.select(*names, "size", "source_size", "target", crossed(F.col("_offset")).alias("copies"))
+    return ranked.select("_row.*", "size", "source_size", "target", crossed(F.col("_offset")).alias("copies"))
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
@@ -101,11 +102,11 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
     such rows. The result has the columns of docs and copy.
     """
     key = digest(F.col("doc_id"), F.col("source"), F.col("text"))
-    slim = docs.select("doc_id", "source", key.alias("_weft_key"), n_words(F.col("text")).alias("_n"))
-    dealt = copies(slim, F.col("_n"), [F.col("doc_id"), F.col("_weft_key")], **parameters)
-    kept = dealt.groupBy("_weft_key").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    once = docs.groupBy(key.alias("_weft_key")).agg(F.first(F.struct(*docs.columns)).alias("_row"))
-    return once.join(kept, "_weft_key").select(F.col("_row.*"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("copy"))
+    slim = docs.select("doc_id", "source", key.alias("_key"), n_words(F.col("text")).alias("_n"))
+    dealt = copies(slim, F.col("_n"), [F.col("doc_id"), F.col("_key")], **parameters)
+    kept = dealt.groupBy("_key").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
+    once = docs.select(key.alias("_key"), whole(docs).alias("_row")).groupBy("_key").agg(F.first("_row").alias("_row"))
+    return once.join(kept, "_key").select(F.col("_row.*"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("copy"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import staged, table
+from weftnet.llm.common import staged, table, whole
 
 #: Tokens of a sequence; the token that ends each document.
 CAPACITY, END = 2048, 0
@@ -215,12 +215,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     named sequence_id or offset are replaced.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    pieces = pieces.select(*names)
-    deal = F.xxhash64(F.lit(seed), *names)
-    placed = staged(pieces.withColumn("_deal", deal), "pieces")
+    row = whole(pieces, names)
+    placed = staged(pieces.select(row.alias("_row"), F.col("length").cast("long").alias("length"), F.xxhash64(F.lit(seed), row).alias("_deal")), "pieces")
     count = placed.filter(F.col("length") < capacity).count()
     tasks = max(1, count // task_pieces)
-    full = placed.filter(F.col("length") >= capacity).select(*names, F.monotonically_increasing_id().alias("_bin"), F.lit(0).cast("long").alias("_bin_offset"))
+    full = placed.filter(F.col("length") >= capacity).select("_row", F.monotonically_increasing_id().alias("_bin"), F.lit(0).cast("long").alias("_bin_offset"))
     packed = staged(_best_fit(placed.filter(F.col("length") < capacity), tasks, capacity, open_bins, "_bin").drop("_deal"), "packed")
 
     bins = packed.groupBy("_bin").agg(F.sum("length").alias("length"))
@@ -234,8 +233,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
         packed = packed.withColumns({"_kind": F.when(moved, F.lit(2)).otherwise(F.lit(1)), "_bin": F.coalesce("_outer", "_bin"), "_bin_offset": F.col("_bin_offset") + F.coalesce("_outer_offset", F.lit(0))})
     else:
         packed = packed.withColumn("_kind", F.lit(1))
-    both = packed.select(*names, "_bin", "_bin_offset", "_kind").unionByName(full.select(*names, "_bin", "_bin_offset", F.lit(0).alias("_kind")))
-    return both.select(*names, (F.col("_bin") * 3 + F.col("_kind")).alias("sequence_id"), F.col("_bin_offset").alias("offset"))
+    both = packed.select("_row", "_bin", "_bin_offset", "_kind").unionByName(full.select("_row", "_bin", "_bin_offset", F.lit(0).alias("_kind")))
+    return both.select("_row.*", (F.col("_bin") * 3 + F.col("_kind")).alias("sequence_id"), F.col("_bin_offset").alias("offset"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

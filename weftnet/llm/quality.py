@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import WORD, staged, table
+from weftnet.llm.common import WORD, staged, table, whole
 
 #: Base rule: fewest words, and the largest share of words in repeated windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -128,7 +128,8 @@ def judge(docs: DataFrame, keep: list[str] | None = None, lang_col: str = "lang"
     few: one array of all references is joined to every row. Repeated rows each get a row, an empty table gives an empty result.
     """
     keep = keep or ["doc_id"]
-    measured = staged(measures(docs.withColumn("_lang", F.col(lang_col)), [*keep, "_lang"], text_col), "measures")
+    rows = docs.select(whole(docs, keep).alias("_row"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_source_text"))
+    measured = staged(measures(rows, ["_row", "_lang"], "_source_text"), "measures")
     refs = references(measured, "_lang").agg(F.sort_array(F.collect_list(F.struct("ref_lang", "ref_chars", "ref_words"))).alias("_refs"))
     rows = measured.drop("_lang").crossJoin(F.broadcast(refs))
     chars, words = F.col("char_hist"), F.col("word_hist")
@@ -144,7 +145,8 @@ def judge(docs: DataFrame, keep: list[str] | None = None, lang_col: str = "lang"
         }
     )
     over = (F.coalesce("char_distance", F.lit(0.0)) > char_limit) | (F.coalesce("word_distance", F.lit(0.0)) > word_limit)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~over).drop("_refs", "_near")
+    rows = rows.withColumn("kept", ~F.col("base_failed") & ~over)
+    return rows.select("_row.*", *[c for c in rows.columns if c not in ("_row", "_refs", "_near") and c not in keep])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import digest, staged, table
+from weftnet.llm.common import digest, staged, table, whole
 
 #: Words of a shingle, differing bits of a link at most, and the seed of the shingles' XXH64.
 WORDS, BITS, SEED = 4, 4, 42
@@ -197,7 +197,7 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK, groups: int | No
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Links (a, b) of nodes -> (node, root) for every node of a link: root is the smallest node that can be reached.
+    """Links (a, b) of nodes -> (node, root) for every linked node but the roots: root is the smallest node that can be reached.
 
     Alternates two steps until nothing changes: each node's larger neighbours are linked to its smallest neighbour, then each
     node's smaller neighbours are. Every round is a group-by and a written table; a node with very many links meets its
@@ -254,8 +254,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int =
     marked = marked.select("_row.doc_id", F.col("_row.key").alias("_key"), "fp")
     rooted = marked.join(groups(marked.select("doc_id", "fp"), bits).select("fp", "root"), "fp")
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_weft_key"))
-    once = docs.withColumn("_weft_key", key).join(kept.select("_weft_key"), "_weft_key", "left_semi").dropDuplicates(["_weft_key"])
-    return once.drop("_weft_key")
+    rows = docs.select(key.alias("_weft_key"), whole(docs).alias("_row")).join(kept.select("_weft_key"), "_weft_key", "left_semi")
+    return rows.groupBy("_weft_key").agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

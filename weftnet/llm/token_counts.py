@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import new_path, table
+from weftnet.llm.common import new_path, table, whole
 
 #: Texts are handed to the tokenizer in groups of about this many characters, which bounds a worker's memory.
 GROUP_CHARS = 1 << 19
@@ -106,8 +106,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     misses = distinct.join(counts(), "_weft_content", "left_anti").withColumnRenamed("_weft_content", "content")
     encode_counts(misses, tokenizer_path).select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)
 
-    rows = docs.drop("n_bytes", "n_tokens").withColumns({"n_bytes": F.octet_length(text).cast("long"), "_weft_content": content})
-    return rows.join(counts(), "_weft_content", "left").drop("_weft_content")
+    names = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
+    rows = docs.select(whole(docs, names).alias("_row"), F.octet_length(text).cast("long").alias("n_bytes"), content.alias("_weft_content"))
+    return rows.join(counts(), "_weft_content", "left").select("_row.*", "n_bytes", "n_tokens")
 
 
 #: Rows longer than this many tokens are marked by the query.
