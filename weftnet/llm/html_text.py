@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import table
+from weftnet.llm.common import ddl, salted_join, table, whole
 
 #: Pages of a host that must support a path, as a share of its voting pages, before it is used for all of the host's pages.
 LEAST_SUPPORT = 0.25
@@ -83,7 +83,7 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, int]]:
     found: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, is a container, drops its text
     opened: dict[str, int] = {}
-    path: list[str] = []
+    path: list[str] = ["page"]  # what stands in no container is in the page
     dropping = linked = 0
     parts: list[str] = []
     in_links = 0
@@ -195,7 +195,7 @@ def container_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tupl
             scores[own] = scores.get(own, 0.0) + gain * 0.5**up
     for path in scores:
         last = path[-1].split(".")[0]
-        scores[path] *= {"article": 1.5, "main": 1.25, "body": 0.75}.get(last, 1.0)
+        scores[path] *= {"article": 1.5, "main": 1.25, "body": 0.75, "page": 0.75}.get(last, 1.0)
     return scores
 
 
@@ -257,26 +257,26 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     """Add text and n_chars (long) to pages, without their html.
 
     Every page names the path of its best-scored container; a host's pages vote in two aggregations (a host with very many
-    pages meets in partial sums); then each page is read again below its host's winning path, or below its own best
-    container where it has no such path. Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms, reader
+    pages meets in partial sums, and its pages are dealt to many tasks); then each page is read again below its host's winning
+    path, or below its own best container where it has no such path. Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms, reader
     comments and markup go; character references are decoded; white space inside a block is one space; blocks stand in page order,
     one a line. Null html, and a page of no text, give the empty string; pages without a host form one host. Whole pages
     are read, of any length; repeated rows each get their row; other columns pass through (text and n_chars are replaced).
     """
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    hosted = pages.withColumn("_host", host_of(F.col(url_col)))
-    winners = winning_paths(votes(hosted, html_col)).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
-    joined = hosted.select(*keep, F.col(html_col).cast("string").alias("_html"), "_host").join(winners, "_host", "left").select(*keep, "_path", "_html")
+    apart = [c for c in keep if "map<" not in pages.schema[c].dataType.simpleString()]
+    source = F.col(html_col).cast("string")
+    hosted = pages.select(whole(pages, keep).alias("_row"), host_of(F.col(url_col)).alias("_host"), F.xxhash64(whole(pages, apart), F.octet_length(source)).alias("_spread"), source.alias("_html"))
+    winners = winning_paths(votes(hosted, "_html")).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    joined = salted_join(hosted, winners, "_host", F.col("_spread")).select("_row", "_path", "_html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_columns
-            texts = [page_text(source.as_py(), path) for path, source in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1), strict=True)]
+            texts = [page_text(source.as_py(), path) for path, source in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
             more = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n - 2)], *more], names=[*batch.schema.names[: n - 2], "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), *more], names=[*keep, "text", "n_chars"])
 
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return joined.mapInArrow(run, f"{ddl(pages, keep)}, text string, n_chars long")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
