@@ -50,6 +50,12 @@ def whole(df: DataFrame, names: list[str] | None = None) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)])
 
 
+def row_hash(df: DataFrame, names: list[str] | None = None, seed: int = 0) -> Column:
+    """64-bit hash of the named columns (all by default) but those that hold maps, which have no hash."""
+    hashable = [c for c in (df.columns if names is None else names) if "map<" not in df.schema[c].dataType.simpleString()]
+    return F.xxhash64(F.lit(seed), *[F.col("`" + c.replace("`", "``") + "`") for c in hashable])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import ddl, salted_join, table, whole
+from weftnet.llm.common import ddl, row_hash, salted_join, table, whole
 
 #: Pages of a host that must support a path, as a share of its voting pages, before it is used for all of the host's pages.
 LEAST_SUPPORT = 0.25
@@ -264,9 +264,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     are read, of any length; repeated rows each get their row; other columns pass through (text and n_chars are replaced).
     """
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    apart = [c for c in keep if "map<" not in pages.schema[c].dataType.simpleString()]
     source = F.col(html_col).cast("string")
-    hosted = pages.select(whole(pages, keep).alias("_row"), host_of(F.col(url_col)).alias("_host"), F.xxhash64(whole(pages, apart), F.octet_length(source)).alias("_spread"), source.alias("_html"))
+    hosted = pages.select(whole(pages, keep).alias("_row"), host_of(F.col(url_col)).alias("_host"), F.xxhash64(row_hash(pages, keep), F.octet_length(source)).alias("_spread"), source.alias("_html"))
     winners = winning_paths(votes(hosted, "_html")).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
     joined = salted_join(hosted, winners, "_host", F.col("_spread")).select("_row", "_path", "_html")
 

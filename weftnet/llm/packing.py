@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import staged, table, whole
+from weftnet.llm.common import row_hash, staged, table, whole
 
 #: Tokens of a sequence; the token that ends each document.
 CAPACITY, END = 2048, 0
@@ -216,7 +216,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     row = whole(pieces, names)
-    placed = staged(pieces.select(row.alias("_row"), F.col("length").cast("long").alias("length"), F.xxhash64(F.lit(seed), row).alias("_deal")), "pieces")
+    placed = staged(pieces.select(row.alias("_row"), F.col("length").cast("long").alias("length"), row_hash(pieces, names, seed).alias("_deal")), "pieces")
     count = placed.filter(F.col("length") < capacity).count()
     tasks = max(1, count // task_pieces)
     full = placed.filter(F.col("length") >= capacity).select("_row", F.monotonically_increasing_id().alias("_bin"), F.lit(0).cast("long").alias("_bin_offset"))
