@@ -12,9 +12,11 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Words of a window for repeats.
 WINDOW = 5
 #: Largest Jensen-Shannon distance (base 2, 0 to 1) to the nearest language reference.
-MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.33
+MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.22, 0.29
+#: Farthest character distance from the first references at which a document still counts for the second ones.
+MOST_REFERENCE_DISTANCE = 0.16
 #: Shorter texts are not held against the character, and the word, references: their histograms say too little.
-LEAST_CHARS, LEAST_TEXT_WORDS = 200, 100
+LEAST_CHARS, LEAST_TEXT_WORDS = 600, 100
 #: Fewest words that a language must have in all for a reference.
 LEAST_REFERENCE_WORDS = 1000
 
@@ -121,7 +123,8 @@ def references(measured: DataFrame, lang_col: str = "lang") -> DataFrame:
 def judge(docs: DataFrame, keep: list[str] | None = None, lang_col: str = "lang", text_col: str = "text", char_limit: float = MOST_CHAR_DISTANCE, word_limit: float = MOST_WORD_DISTANCE) -> DataFrame:
     """keep columns of docs (default doc_id), the measures, base_failed, char_distance, word_distance, ref_lang, kept.
 
-    Each language's reference histograms are summed over all its labelled documents. A document is compared with every
+    Each language's reference histograms are summed over all its labelled documents, and then once more over those of them that
+    lie within MOST_REFERENCE_DISTANCE of the first references, so that junk doesn't describe the language. A document is compared with every
     reference, not with that of its own label; the nearest one counts. It is kept if it passes the base rule and neither distance is
     over its limit; texts under LEAST_CHARS characters, or LEAST_TEXT_WORDS words, skip that comparison (null distance), and so
     do all texts where no language has a reference. Null texts count as empty; these fail the base rule. Languages are
@@ -130,23 +133,27 @@ def judge(docs: DataFrame, keep: list[str] | None = None, lang_col: str = "lang"
     keep = keep or ["doc_id"]
     rows = docs.select(whole(docs, keep).alias("_row"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_source_text"))
     measured = staged(measures(rows, ["_row", "_lang"], "_source_text"), "measures")
-    refs = references(measured, "_lang").agg(F.sort_array(F.collect_list(F.struct("ref_lang", "ref_chars", "ref_words"))).alias("_refs"))
-    rows = measured.drop("_lang").crossJoin(F.broadcast(refs))
     chars, words = F.col("char_hist"), F.col("word_hist")
-    # a text is in the language whose words it is nearest to; both distances are to that one
-    near = F.array_min(F.transform("_refs", lambda r: F.struct(hist_js(words, r["ref_words"]).alias("w"), hist_js(chars, r["ref_chars"]).alias("c"), r["ref_lang"].alias("l"))))
-    rows = rows.withColumn("_near", F.when((F.col("n_words") > 0) & (F.size("_refs") > 0), near))
-    rows = rows.withColumns(
-        {
-            "base_failed": base_failed(),
-            "char_distance": F.when(F.col("n_chars") >= LEAST_CHARS, F.col("_near.c")),
-            "word_distance": F.when(F.col("n_words") >= LEAST_TEXT_WORDS, F.col("_near.w")),
-            "ref_lang": F.col("_near.l"),
-        }
-    )
+
+    def compared(from_: DataFrame) -> DataFrame:
+        refs = references(from_, "_lang").agg(F.sort_array(F.collect_list(F.struct("ref_lang", "ref_chars", "ref_words"))).alias("_refs"))
+        rows = measured.crossJoin(F.broadcast(refs))
+        # a text is in the language whose words it is nearest to; both distances are to that one
+        near = F.array_min(F.transform("_refs", lambda r: F.struct(hist_js(words, r["ref_words"]).alias("w"), hist_js(chars, r["ref_chars"]).alias("c"), r["ref_lang"].alias("l"))))
+        rows = rows.withColumn("_near", F.when((F.col("n_words") > 0) & (F.size("_refs") > 0), near))
+        return rows.withColumns(
+            {
+                "base_failed": base_failed(),
+                "char_distance": F.when(F.col("n_chars") >= LEAST_CHARS, F.col("_near.c")),
+                "word_distance": F.when(F.col("n_words") >= LEAST_TEXT_WORDS, F.col("_near.w")),
+                "ref_lang": F.col("_near.l"),
+            }
+        )
+
     over = (F.coalesce("char_distance", F.lit(0.0)) > char_limit) | (F.coalesce("word_distance", F.lit(0.0)) > word_limit)
-    rows = rows.withColumn("kept", ~F.col("base_failed") & ~over)
-    return rows.select("_row.*", *[c for c in rows.columns if c not in ("_row", "_refs", "_near") and c not in keep])
+    ordinary = compared(measured).filter((F.coalesce("char_distance", F.lit(0.0)) <= MOST_REFERENCE_DISTANCE))
+    rows = compared(ordinary.select(measured.columns)).withColumn("kept", ~F.col("base_failed") & ~over)
+    return rows.select("_row.*", *[c for c in rows.columns if c not in ("_row", "_lang", "_refs", "_near") and c not in keep])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
