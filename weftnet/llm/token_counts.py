@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import new_path, table, whole
+from weftnet.llm.common import new_path, row_hash, salted_join, table, whole
 
 #: Texts are handed to the tokenizer in groups of about this many characters, which bounds a worker's memory.
 GROUP_CHARS = 1 << 19
@@ -89,7 +89,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     Null and empty texts count 0; repeated rows each get their row; an empty table gives an empty result; other columns of docs
     pass through (columns named n_bytes or n_tokens are replaced). A text of any length is encoded whole. Equal texts, however
     many, meet in partial aggregation before the exchange; the join back to the rows moves the digests and the columns that are
-    used afterwards, and Spark splits the partition of a digest with very many rows.
+    used afterwards, and deals the rows of a frequent digest to many tasks.
     Two writers that append the same content leave two equal rows, of which reading takes one.
     """
     spark = docs.sparkSession
@@ -107,8 +107,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     encode_counts(misses, tokenizer_path).select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)
 
     names = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
-    rows = docs.select(whole(docs, names).alias("_row"), F.octet_length(text).cast("long").alias("n_bytes"), content.alias("_weft_content"))
-    return rows.join(counts(), "_weft_content", "left").select("_row.*", "n_bytes", "n_tokens")
+    rows = docs.select(whole(docs, names).alias("_row"), F.octet_length(text).cast("long").alias("n_bytes"), content.alias("_weft_content"), row_hash(docs, names).alias("_spread"))
+    return salted_join(rows, counts(), "_weft_content", F.col("_spread")).select("_row.*", "n_bytes", "n_tokens")
 
 
 #: Rows longer than this many tokens are marked by the query.
