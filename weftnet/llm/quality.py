@@ -13,7 +13,7 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
 #: Largest Jensen-Shannon distance (base 2, 0 to 1) to the nearest language reference.
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.22, 0.29
-#: Farthest character distance from the first references at which a document still counts for the second ones.
+#: Character distance from the first references up to which a document counts for the second ones, as the nearer half always does.
 MOST_REFERENCE_DISTANCE = 0.16
 #: Shorter texts are not held against the character, and the word, references: their histograms say too little.
 LEAST_CHARS, LEAST_TEXT_WORDS = 600, 100
@@ -124,7 +124,8 @@ def judge(docs: DataFrame, keep: list[str] | None = None, lang_col: str = "lang"
     """keep columns of docs (default doc_id), the measures, base_failed, char_distance, word_distance, ref_lang, kept.
 
     Each language's reference histograms are summed over all its labelled documents, and then once more over those of them that
-    lie within MOST_REFERENCE_DISTANCE of the first references, so that junk doesn't describe the language. A document is compared with every
+    lie within MOST_REFERENCE_DISTANCE of the first references, or no farther than the middle one of their language, so that junk
+    doesn't describe it. A document is compared with every
     reference, not with that of its own label; the nearest one counts. It is kept if it passes the base rule and neither distance is
     over its limit; texts under LEAST_CHARS characters, or LEAST_TEXT_WORDS words, skip that comparison (null distance), and so
     do all texts where no language has a reference. Null texts count as empty; these fail the base rule. Languages are
@@ -151,7 +152,9 @@ def judge(docs: DataFrame, keep: list[str] | None = None, lang_col: str = "lang"
         )
 
     over = (F.coalesce("char_distance", F.lit(0.0)) > char_limit) | (F.coalesce("word_distance", F.lit(0.0)) > word_limit)
-    ordinary = compared(measured).filter((F.coalesce("char_distance", F.lit(0.0)) <= MOST_REFERENCE_DISTANCE))
+    first = compared(measured).select(*measured.columns, F.coalesce("char_distance", F.lit(0.0)).alias("_far"))
+    middle = first.groupBy(F.col("_lang").alias("_of")).agg(F.greatest(F.percentile_approx("_far", 0.5), F.lit(MOST_REFERENCE_DISTANCE)).alias("_middle"))
+    ordinary = first.join(F.broadcast(middle), (F.col("_lang") == F.col("_of")) & (F.col("_far") <= F.col("_middle")), "left_semi")
     rows = compared(ordinary.select(measured.columns)).withColumn("kept", ~F.col("base_failed") & ~over)
     return rows.select("_row.*", *[c for c in rows.columns if c not in ("_row", "_lang", "_refs", "_near") and c not in keep])
 
