@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftnet.functions.text import SPACE, WORD, running_starts
+from weftnet.functions.text import SPACE, WORD, let, running_starts, sentence_array, token_array
+from weftnet.operators.segment import token_columns
 
 SPANS_SCHEMA = "start int, end int, label string, score double, text string"
 #: Dictionaries up to this many surfaces become one pattern; larger ones are joined by their first word.
@@ -57,14 +58,42 @@ class Gazetteer:
     def _key(self, text: Column) -> Column:
         return text if self.case_sensitive else F.lower(text)
 
+    def span_array(self, text: Column) -> Column:
+        """Array of (start, end, text) of the matches in a text: what is matched and what lies between give the places."""
+        both = F.struct(F.regexp_extract_all(text, F.lit(self.pattern()), F.lit(0)).alias("found"), F.split(text, self.pattern(), -1).alias("gaps"))
+
+        def placed(b: Column) -> Column:
+            steps = F.zip_with(b["found"], F.slice(b["gaps"], 1, F.size(b["found"])), lambda m, g: F.length(m) + F.length(g))
+            ends = F.slice(running_starts(steps), 2, F.size(b["found"]))
+            return F.zip_with(b["found"], ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("text")))
+
+        return let(both, placed)
+
     def _by_pattern(self, docs: DataFrame) -> DataFrame:
         text = F.coalesce(F.col("text"), F.lit(""))
-        found = docs.filter(text.rlike(self.pattern())).select("doc_id", F.regexp_extract_all(text, F.lit(self.pattern()), F.lit(0)).alias("_found"), F.split(text, self.pattern(), -1).alias("_gaps"))
-        steps = F.zip_with("_found", F.slice("_gaps", 1, F.size("_found")), lambda m, g: F.length(m) + F.length(g))
-        ends = F.slice(running_starts(steps), 2, F.size("_found"))
-        spans = found.select("doc_id", F.explode(F.zip_with("_found", ends, lambda m, e: F.struct(m.alias("text"), e.alias("end")))).alias("_m"))
-        spans = spans.select("doc_id", (F.col("_m.end") - F.length("_m.text")).cast("int").alias("start"), F.col("_m.end").cast("int").alias("end"), "_m.text")
-        return self._labelled(spans, F.broadcast(self._table(docs)))
+        spans = docs.filter(text.rlike(self.pattern())).select("doc_id", F.explode(self.span_array(text)).alias("_m"))
+        return self._labelled(spans.select("doc_id", "_m.*"), F.broadcast(self._table(docs)))
+
+    def annotate(self, docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """(tokens without covered ones, mentions) of documents under the default segmentation; None for large dictionaries.
+
+        All of it is worked out within a document's row, without any exchange: places of sentences and of matches, the
+        sentence of each match, and which tokens no match overlaps.
+        """
+        if len(self.label_of) > PATTERN_SURFACES:
+            return None
+        rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        rows = rows.select("doc_id", sentence_array(F.col("text")).alias("_sents"), F.when(F.col("text").rlike(self.pattern()), self.span_array(F.col("text"))).alias("_spans"))
+        found = rows.filter("_spans is not null").select("doc_id", F.transform("_sents", lambda s: s["start"]).alias("_starts"), F.posexplode("_spans").alias("ord", "_m"))
+        sent = F.greatest(F.size(F.filter("_starts", lambda s: s <= F.col("_m.start"))) - 1, F.lit(0))
+        found = found.select("doc_id", "ord", sent.alias("sent"), "_m.*")
+        names = F.broadcast(self._table(docs))
+        mentions = found.join(names, self._key(F.col("text")) == names["key"]).select("doc_id", "ord", "sent", "start", "end", "text", "label", F.lit(1.0).alias("score"), F.lit(-1).alias("token_start"), F.lit(-1).alias("token_end"))
+        all_tokens = token_array(F.col("_sents"))
+        places = F.transform(all_tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("t")))
+        free = F.filter(places, lambda p: ~F.exists("_spans", lambda s: (p["t"]["start"] < s["end"]) & (p["t"]["end"] > s["start"])))
+        kept = rows.select("doc_id", F.explode(F.when(F.col("_spans").isNull(), places).otherwise(free)).alias("_p"))
+        return token_columns(kept.select("doc_id", F.col("_p.pos").alias("pos"), F.col("_p.t").alias("_t"))), mentions
 
     def _labelled(self, spans: DataFrame, names: DataFrame) -> DataFrame:
         return spans.join(names, self._key(F.col("text")) == names["key"]).select("doc_id", "start", "end", "label", F.lit(1.0).alias("score"), "text")

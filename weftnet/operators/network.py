@@ -68,9 +68,10 @@ class Network:
         term_side = build.sentence_counts(found, "term_id")
         histogram = staged(build.cooccurrence_histogram(entity_side, config.window), "histogram")
         pairs = staged(build.entity_term_counts(entity_side, term_side), "entity_terms")
+        sentences = staged(sentences if config.store_text else sentences.withColumn("text", F.lit(None).cast("string")), "sentences")
         sizes = documents.select("doc_id").join(sentences.groupBy("doc_id").agg(F.count("*").alias("n_sentences")), "doc_id", "left").withColumn("n_sentences", F.coalesce("n_sentences", F.lit(0).cast("long")))
-        texts = sentences if config.store_text else sentences.withColumn("text", F.lit(None).cast("string"))
-        return cls(config, sizes, texts, entities.drop("first_doc", "first_ord"), terms.drop("first_doc", "first_pos"), placed.drop("ord"), found, histogram, pairs, normalise)
+        sizes = staged(sizes, "documents")
+        return cls(config, sizes, sentences, entities.drop("first_doc", "first_ord"), terms.drop("first_doc", "first_pos"), placed.drop("ord"), found, histogram, pairs, normalise)
 
     def save(self, path: str) -> None:
         """A Parquet table for each of TABLES under path, and meta, which holds the format's version and the configuration."""

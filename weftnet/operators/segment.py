@@ -24,8 +24,12 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 def tokens(docs: DataFrame, stopwords: Collection[str] | None = None) -> DataFrame:
     """documents -> (doc_id, pos, sent, start, end, text, is_stop, is_punct, is_space, pos_tag, lemma) under the default patterns."""
+    return token_columns(docs.select("doc_id", F.posexplode(token_array(sentence_array(F.col("text")))).alias("pos", "_t")), stopwords)
+
+
+def token_columns(rows: DataFrame, stopwords: Collection[str] | None = None) -> DataFrame:
+    """(doc_id, pos, _t), with _t of token_array -> the columns of tokens."""
     stop = list(STOPWORDS if stopwords is None else {w.lower() for w in stopwords})
-    rows = docs.select("doc_id", F.posexplode(token_array(sentence_array(F.col("text")))).alias("pos", "_t"))
     text = F.col("_t.text")
     return rows.select(
         "doc_id",

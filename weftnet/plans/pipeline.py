@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 
 from weftnet.config import NetworkConfig
+from weftnet.functions.tables import staged
 from weftnet.functions.text import normal_name
 from weftnet.operators.align import align_spans, uncovered_tokens
 from weftnet.operators.build import Normaliser
@@ -47,8 +48,16 @@ class NetworkPipeline:
         return sents, toks, align_spans(spans, sents)
 
     def run(self, docs: DataFrame) -> Network:
+        sents, toks, mentions = self.annotate_for_terms(docs)
+        return Network.from_annotations(docs, sents, toks, mentions, self.config, self.normalise, self.aliases)
+
+    def annotate_for_terms(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Like annotate, with only the tokens that no mention covers; in one row a document where the extractor can."""
+        if isinstance(self.extractor, Gazetteer) and self.segmenter is None and (found := self.extractor.annotate(docs)):
+            return sentences(docs), *found
         sents, toks, mentions = self.annotate(docs)
-        return Network.from_annotations(docs, sents, uncovered_tokens(toks, mentions), mentions, self.config, self.normalise, self.aliases)
+        mentions = staged(mentions, "aligned")
+        return sents, uncovered_tokens(toks, mentions), mentions
 
     def cluster(self, network: Network, **which) -> DataFrame:
         if self.clusterer is None:

@@ -94,7 +94,7 @@ def validate_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Documents, sentences, tokens and mentions of the annotated corpus, and its invalid rows (none)."""
     docs = _docs(spark, d)
     sents, toks, mentions = _pipeline().annotate(docs)
-    mentions = staged(mentions, "mentions")
+    sents, toks, mentions = staged(sents, "sentences"), staged(toks, "tokens"), staged(mentions, "mentions")
     counts = [r.agg(F.count("*").alias(f"n_{n}")) for n, r in (("documents", docs), ("sentences", sents), ("tokens", toks), ("mentions", mentions), ("invalid", invalid_rows(docs, sents, toks, mentions)))]
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3]).crossJoin(counts[4])
 
