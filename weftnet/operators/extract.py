@@ -43,10 +43,25 @@ class Gazetteer:
         return frozenset(self.label_of.values())
 
     def pattern(self) -> str:
-        """Java pattern: the longest surface first, never inside a word."""
-        ordered = sorted(dict.fromkeys(self.forms), key=lambda f: (-len(f), f))
-        quoted = "|".join(re.sub(r"([^\w\s])", r"\\\1", f) for f in ordered)
-        return rf"{'' if self.case_sensitive else '(?iu)'}(?<![{WORD}])(?:{quoted})(?![{WORD}])"
+        """Java pattern: the longest surface at each place, never inside a word.
+
+        Surfaces that start alike share that start, so that few of them are tried at a place; going on is tried before ending.
+        """
+        top: dict = {}
+        for form in map(self.key, self.forms):
+            node = top
+            for c in form:
+                node = node.setdefault(c, {})
+            node[""] = {}
+
+        def shown(node: dict) -> str:
+            branches = [re.sub(r"([^\w\s])", r"\\\1", c) + shown(node[c]) for c in sorted(node) if c]
+            if not branches:
+                return ""
+            body = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+            return f"{body}?" if "" in node else body
+
+        return rf"{'' if self.case_sensitive else '(?iu)'}(?<![{WORD}])(?:{shown(top)})(?![{WORD}])"
 
     def spans(self, docs: DataFrame) -> DataFrame:
         """(doc_id, start, end, label, score, text): non-overlapping matches from left to right, the longest at each place."""
@@ -71,7 +86,7 @@ class Gazetteer:
 
     def _by_pattern(self, docs: DataFrame) -> DataFrame:
         text = F.coalesce(F.col("text"), F.lit(""))
-        spans = docs.filter(text.rlike(self.pattern())).select("doc_id", F.explode(self.span_array(text)).alias("_m"))
+        spans = docs.select("doc_id", F.explode(self.span_array(text)).alias("_m"))
         return self._labelled(spans.select("doc_id", "_m.*"), F.broadcast(self._table(docs)))
 
     def annotate(self, docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
@@ -83,8 +98,8 @@ class Gazetteer:
         if len(self.label_of) > PATTERN_SURFACES:
             return None
         rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        rows = rows.select("doc_id", sentence_array(F.col("text")).alias("_sents"), F.when(F.col("text").rlike(self.pattern()), self.span_array(F.col("text"))).alias("_spans"))
-        found = rows.filter("_spans is not null").select("doc_id", F.transform("_sents", lambda s: s["start"]).alias("_starts"), F.posexplode("_spans").alias("ord", "_m"))
+        rows = rows.select("doc_id", sentence_array(F.col("text")).alias("_sents"), self.span_array(F.col("text")).alias("_spans"))
+        found = rows.filter(F.size("_spans") > 0).select("doc_id", F.transform("_sents", lambda s: s["start"]).alias("_starts"), F.posexplode("_spans").alias("ord", "_m"))
         sent = F.greatest(F.size(F.filter("_starts", lambda s: s <= F.col("_m.start"))) - 1, F.lit(0))
         found = found.select("doc_id", "ord", sent.alias("sent"), "_m.*")
         names = F.broadcast(self._table(docs))
@@ -92,7 +107,7 @@ class Gazetteer:
         all_tokens = token_array(F.col("_sents"))
         places = F.transform(all_tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("t")))
         free = F.filter(places, lambda p: ~F.exists("_spans", lambda s: (p["t"]["start"] < s["end"]) & (p["t"]["end"] > s["start"])))
-        kept = rows.select("doc_id", F.explode(F.when(F.col("_spans").isNull(), places).otherwise(free)).alias("_p"))
+        kept = rows.select("doc_id", F.explode(F.when(F.size("_spans") == 0, places).otherwise(free)).alias("_p"))
         return token_columns(kept.select("doc_id", F.col("_p.pos").alias("pos"), F.col("_p.t").alias("_t"))), mentions
 
     def _labelled(self, spans: DataFrame, names: DataFrame) -> DataFrame:

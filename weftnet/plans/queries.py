@@ -440,6 +440,10 @@ def oracle_sql() -> dict[str, str]:
     found = {name: base + sql for name, sql in own.items()}
     talks = _base("talks").replace("WITH gaz", "WITH talks AS (SELECT row_number() OVER (ORDER BY conv_id) - 1 AS doc_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id), gaz", 1)
     found["conversation_edges"] = talks + " SELECT x.text AS source, x.label AS source_label, y.text AS target, y.label AS target_label, round(edges.weight, 6) AS weight, edges.count AS count FROM edges JOIN ents x ON src = x.entity_id JOIN ents y ON dst = y.entity_id"
+    found["edge_components"] = base.replace("WITH gaz", "WITH RECURSIVE gaz", 1) + """, ends AS (SELECT x.norm || '|' || x.label AS a, y.norm || '|' || y.label AS b FROM dire JOIN ents x ON src = x.entity_id JOIN ents y ON dst = y.entity_id),
+reach(id, other) AS (SELECT DISTINCT a, a FROM ends UNION SELECT r.id, e.b FROM reach r JOIN ends e ON r.other = e.a),
+parts AS (SELECT id, min(other) AS part FROM reach GROUP BY id)
+SELECT id, part, count(*) OVER (PARTITION BY part) AS size FROM parts"""
     found["csv_round_trip"] = "SELECT item_id, trim(text) AS text, CAST(0 AS BIGINT) AS n_meta FROM benchmark"
     found["rel_edges"] = _REL + """ SELECT least(x.e, y.e) AS src, greatest(x.e, y.e) AS dst, round(sum(x.n * y.n * (1.0::DOUBLE / (1 + y.sent - x.sent))), 6) AS weight, CAST(sum(x.n * y.n) AS BIGINT) AS count
 FROM inc x JOIN inc y ON x.doc_id = y.doc_id AND y.sent BETWEEN x.sent AND x.sent + 2 AND (x.e < y.e OR x.e > y.e AND y.sent > x.sent) GROUP BY ALL"""
