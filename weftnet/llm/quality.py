@@ -39,23 +39,46 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def hist_js(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, base 2, of two arrays of counts of equal length; null where one of them sums to 0."""
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
+
+
+def shares(counts: Column) -> Column:
+    """Counts over their sum; null where that is 0."""
+    return F.when(_total(counts) > 0, _let(F.struct(counts.alias("c"), _total(counts).alias("n")), lambda t: F.transform(t["c"], lambda x: x / t["n"])))
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
-    sums = F.struct(total(p).alias("p"), total(q).alias("q"))
+def present(counts: Column) -> Column:
+    """(place, share) of the counts that aren't 0; null where none is."""
+    placed = F.transform(shares(counts), lambda x, i: F.struct((i + 1).alias("i"), x.alias("x")))
+    return F.filter(placed, lambda e: e["x"] > 0)
 
-    def distance(t: Column) -> Column:
-        def part(x: Column, m: Column) -> Column:
-            return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
 
-        pairs = F.zip_with(p, q, lambda x, y: F.struct((x / t["p"]).alias("x"), (y / t["q"]).alias("y")))
-        divergence = F.aggregate(pairs, F.lit(0.0), lambda s, e: s + part(e["x"], (e["x"] + e["y"]) / 2) + part(e["y"], (e["x"] + e["y"]) / 2))
-        return F.when((t["p"] > 0) & (t["q"] > 0), F.sqrt(F.greatest(divergence / 2, F.lit(0.0))))
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def distance(found: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance, base 2, of present() of one histogram and shares() of another.
+
+    What only the reference has adds its share in whole, so only what is present is gone through.
+    """
 
-    return F.element_at(F.transform(F.array(sums), distance), 1)
+    def step(s: Column, e: Column) -> Column:
+        def with_share(q: Column) -> Column:
+            own = e["x"] * F.log2(2 * e["x"] / (e["x"] + q))
+            return s + own + F.when(q > 0, q * (F.log2(2 * q / (e["x"] + q)) - 1)).otherwise(F.lit(0.0))
+
+        return _let(F.element_at(reference, e["i"]), with_share)
+
+    divergence = F.aggregate(found, F.lit(1.0), step)
+    return F.sqrt(F.greatest(divergence / 2, F.lit(0.0)))
+
+
+def hist_js(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance, base 2, of two arrays of counts of equal length; null where one of them sums to 0."""
+    return distance(present(p), shares(q))
 
 
 def measures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -137,25 +160,33 @@ def judge(docs: DataFrame, keep: list[str] | None = None, lang_col: str = "lang"
     chars, words = F.col("char_hist"), F.col("word_hist")
 
     def compared(from_: DataFrame) -> DataFrame:
-        refs = references(from_, "_lang").agg(F.sort_array(F.collect_list(F.struct("ref_lang", "ref_chars", "ref_words"))).alias("_refs"))
+        own = F.struct(F.col("ref_lang").alias("l"), shares(F.col("ref_chars")).alias("c"), shares(F.col("ref_words")).alias("w"))
+        refs = references(from_, "_lang").agg(F.sort_array(F.collect_list(own)).alias("_refs"))
         rows = measured.crossJoin(F.broadcast(refs))
         # a text is in the language whose words it is nearest to; both distances are to that one
-        near = F.array_min(F.transform("_refs", lambda r: F.struct(hist_js(words, r["ref_words"]).alias("w"), hist_js(chars, r["ref_chars"]).alias("c"), r["ref_lang"].alias("l"))))
-        rows = rows.withColumn("_near", F.when((F.col("n_words") > 0) & (F.size("_refs") > 0), near))
+        found = F.struct(present(words).alias("w"), present(chars).alias("c"))
+        nearest = _let(found, lambda t: F.array_min(F.transform("_refs", lambda r: F.struct(distance(t["w"], r["w"]).alias("w"), r["l"].alias("l"), r["c"].alias("c")))))
+        rows = rows.withColumn("_near", F.when((F.col("n_words") > 0) & (F.size("_refs") > 0), nearest))
         return rows.withColumns(
             {
                 "base_failed": base_failed(),
-                "char_distance": F.when(F.col("n_chars") >= LEAST_CHARS, F.col("_near.c")),
+                "char_distance": F.when(F.col("n_chars") >= LEAST_CHARS, distance(present(chars), F.col("_near.c"))),
                 "word_distance": F.when(F.col("n_words") >= LEAST_TEXT_WORDS, F.col("_near.w")),
                 "ref_lang": F.col("_near.l"),
             }
         )
 
+    def ordinary() -> DataFrame:
+        """Labelled rows near the first reference of their own label."""
+        first = references(measured, "_lang").select(F.col("ref_lang").alias("_of"), shares(F.col("ref_chars")).alias("_c"))
+        rows = measured.join(F.broadcast(first), F.col("_lang") == F.col("_of")).drop("_of")
+        far = F.when(F.col("n_chars") >= LEAST_CHARS, distance(present(chars), F.col("_c")))
+        rows = rows.withColumn("_far", F.coalesce(far, F.lit(0.0)))
+        middle = rows.groupBy(F.col("_lang").alias("_of")).agg(F.greatest(F.percentile_approx("_far", 0.5), F.lit(MOST_REFERENCE_DISTANCE)).alias("_middle"))
+        return rows.join(F.broadcast(middle), F.col("_lang") == F.col("_of")).filter("_far <= _middle").select(measured.columns)
+
     over = (F.coalesce("char_distance", F.lit(0.0)) > char_limit) | (F.coalesce("word_distance", F.lit(0.0)) > word_limit)
-    first = compared(measured).select(*measured.columns, F.coalesce("char_distance", F.lit(0.0)).alias("_far"))
-    middle = first.groupBy(F.col("_lang").alias("_of")).agg(F.greatest(F.percentile_approx("_far", 0.5), F.lit(MOST_REFERENCE_DISTANCE)).alias("_middle"))
-    ordinary = first.join(F.broadcast(middle), (F.col("_lang") == F.col("_of")) & (F.col("_far") <= F.col("_middle")), "left_semi")
-    rows = compared(ordinary.select(measured.columns)).withColumn("kept", ~F.col("base_failed") & ~over)
+    rows = compared(ordinary()).withColumn("kept", ~F.col("base_failed") & ~over)
     return rows.select("_row.*", *[c for c in rows.columns if c not in ("_row", "_lang", "_refs", "_near") and c not in keep])
 
 
