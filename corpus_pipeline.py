@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import langid, line_dedup, mixing, packing, simhash
+from weftnet.llm import langid, line_dedup, mixing, packing, shingles
 from weftnet.llm.common import staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,7 +39,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """Keeps one text of each group linked by a similarity of 0.8 or more over five-word shingles; op3's four bits hold for its query only."""
+    return shingles.keep_one(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
