@@ -52,12 +52,39 @@ RULES = (
     ("Proprietary", ("all-rights",)),
 )
 
-#: Where a sentence ends: after . ! or ? before white space, and at line ends. A full stop inside "2.0" doesn't end one.
-SENTENCE_END = r"[.!?;:]+[ \t\x0b\f\r]+|[.!?;:]*[\r\n]+"
+#: Letters and digits of normal forms, as the inside of a character class.
+LETTERS = r"a-z0-9\x{80}-\x{10FFFF}"
+#: Each wording holds one of these, so a text with none of them isn't looked at further.
+HINTS = ("licen", "software", "warranty", "redistribution", "cc0", "domain", "reserved")
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
+def normalised(text: Column) -> Column:
+    """Normal form of a text: words with a space, a tab or a line feed between them.
+
+    A line feed stands at sentence ends: . ! ? before white space, but not after the word v, and blank lines, also those of a
+    comment. A tab stands at weaker breaks: line ends, : ; before white space, and "v. ". Marks at line starts (# * //) go.
+    """
+    steps = [
+        (r"(?<=(?<![" + LETTERS + r"])v)\.(?=[ \n])", "\x02"),
+        (r"[.!?](?=[ \n])", "\x01"),
+        (r"[:;](?=[ \n])", "\x02"),
+        (r"[^" + LETTERS + r"\x01\x02\n]+", " "),
+        (r" ?([\x01\x02\n]) ?", "$1"),
+        (r"\n\n+", "\x01"),
+        (r"[\x02\n]+", "\t"),
+        (r"\t?\x01[\x01\t]*", "\n"),
+    ]
+    out = F.regexp_replace(F.lower(text), "\r\n", "\n")
+    out = F.translate(out, "\t\x0b\f\r\x01\x02", "   \n  ")
+    for pattern, put in steps:
+        out = F.regexp_replace(out, pattern, put)
+    return F.trim(out)
+
+
+def wording_pattern() -> str:
+    """Known wordings in a normal form, the longest first: they start and end at breaks and may run over tabs."""
+    known = sorted({w for wordings in SENTENCES.values() for w in wordings}, key=lambda w: (-len(w), w))
+    return r"(?<![^\n\t])(?:" + "|".join(w.replace(" ", r"[ \t]") for w in known) + r")(?![^\n\t])"
 
 
 def known_sentences(docs: DataFrame) -> DataFrame:
@@ -69,7 +96,8 @@ def known_sentences(docs: DataFrame) -> DataFrame:
 def recognise(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, licence, rule, sentences): a row for each key with a licence sentence.
 
-    Texts are cut into sentences, whose normal forms are joined to the known ones; all others end there, before any exchange.
+    Known wordings are found in the normal form of the text, from one break to another, also over line ends and weak stops inside.
+    A text without any ends there, before any exchange.
     What is left of a key is put in text order, and its identifier sequence is held against RULES. sentences is that sequence,
     space-joined; rule the matching rule's identifiers, space-joined; licence and rule are null if none matches.
 
@@ -77,8 +105,13 @@ def recognise(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text")
     should be unique; equal rows give the same licence as one. Null and empty texts have no row. Sentences of any length are
     compared whole.
     """
-    sentences = docs.select(F.col(key_col).alias("_key"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END)).alias("_at", "_raw"))
-    named = sentences.select("_key", "_at", normalised(F.col("_raw")).alias("sentence")).join(F.broadcast(known_sentences(docs)), "sentence")
+    text = F.lower(F.col(text_col))
+    likely = text.contains(HINTS[0])
+    for hint in HINTS[1:]:
+        likely = likely | text.contains(hint)
+    found = F.regexp_extract_all(normalised(F.col(text_col)), F.lit(wording_pattern()), F.lit(0))
+    sentences = docs.filter(likely).select(F.col(key_col).alias("_key"), F.posexplode(found).alias("_at", "_raw"))
+    named = sentences.select("_key", "_at", F.translate("_raw", "\t", " ").alias("sentence")).join(F.broadcast(known_sentences(docs)), "sentence")
     listed = named.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("_at", "ident"))).alias("_found"))
     sequence = F.transform("_found", lambda f: f["ident"])
     listed = listed.select(F.col("_key").alias(key_col), F.array_join(sequence, " ").alias("sentences"))
