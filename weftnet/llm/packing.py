@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +14,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import row_hash, staged, table, whole
+from weftnet.llm.common import ddl, row_hash, staged, table, whole
 
 #: Tokens of a sequence; the token that ends each document.
 CAPACITY, END = 2048, 0
 #: Open bins of a packing task, and the pieces that a task gets at least.
 OPEN_BINS, TASK_PIECES = 512, 20_000
-#: Distinct words whose ids a worker keeps (about 150 bytes each); beyond, it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a worker keeps, the first that it meets (some 35 MB in all). If it is full and more than this share of a group's
+#: words isn't in it, it is filled anew.
+CACHE_WORDS, STALE = 50_000, 0.2
 
-PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 _END_OF_WORD = "</w>"
 _NEVER_CP1252 = b"\x81\x8d\x8f\x90\x9d"
 
@@ -79,8 +81,9 @@ class WordIds:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def learn(self, words: list[bytes]) -> None:
-        """Take up the ids of new words, a thousand in one call of the library."""
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words, a thousand in one call of the library."""
+        learned = {}
         for i in range(0, len(words), 1000):
             part = words[i : i + 1000]
             line = b" ".join(part).decode("cp1252")
@@ -90,8 +93,9 @@ class WordIds:
                 raise ValueError("words don't end in marked tokens")
             raw, start = ids.astype("<u4").tobytes(), 0
             for word, end in zip(part, ends, strict=True):
-                self.ids[word] = raw[4 * start : 4 * end]
+                learned[word] = raw[4 * start : 4 * end]
                 start = end
+        return learned
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -106,12 +110,13 @@ class WordIds:
         ids = [None if words is None else list(map(known.get, words)) for words in found]
         gaps = [[] if own is None else [i for i, x in enumerate(own) if x is None] for own in ids]
         unknown = {words[i] for words, at in zip(found, gaps, strict=True) for i in at}
-        if len(known) + len(unknown) > CACHE_WORDS:
-            known.clear()
-        self.learn(list(unknown))
+        learned = self.learn(list(unknown))
         for words, own, at in zip(found, ids, gaps, strict=True):
             for i in at:
-                own[i] = known[words[i]]
+                own[i] = learned[words[i]]
+        if len(known) >= CACHE_WORDS and sum(map(len, gaps)) > STALE * sum(len(own) for own in ids if own is not None):
+            known.clear()
+        known.update(islice(learned.items(), max(0, CACHE_WORDS - len(known))))
         return [self.whole(t) if own is None else b"".join(own) for t, own in zip(texts, ids, strict=True)]
 
 
@@ -119,10 +124,11 @@ _encoders: dict[str, WordIds] = {}
 
 
 def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """(doc_id, text) -> a row for each piece: doc_id, piece, start, length, ids_crc32.
+    """(doc_id, text, ...) -> a row for each piece: doc_id, piece, start, length, ids_crc32.
 
     A document is its text's ids and then the id `end`; null is the empty text. Documents longer than `capacity` are cut there;
-    only their last piece may be shorter. Texts are encoded whole.
+    only their last piece may be shorter. Texts are encoded whole. doc_id keeps its type and may be null or repeat: each row
+    is a document of its own. Other columns are left out; an empty table gives an empty result.
     """
     closing = struct.pack("<I", end)
 
@@ -133,16 +139,17 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                texts = [t or "" for t in batch.column(1).slice(at, 64).to_pylist()]
+                for row, ids in enumerate(encoder.encode(texts), at):
                     ids += closing
                     for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + capacity)]
-                        for column, value in zip(out, (doc_id, piece, start, len(own) // 4, zlib.crc32(own)), strict=True):
+                        for column, value in zip(out, (row, piece, start, len(own) // 4, zlib.crc32(own)), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            rows, *columns = [pa.array(x, k) for x, k in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES_SCHEMA)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"{ddl(docs, ['doc_id'])}, {PIECES}")
 
 
 class BestFit:
@@ -207,9 +214,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
 
     Full pieces are sequences by themselves. The others are dealt at random, by a hash of all their columns, to tasks of about
     `task_pieces` pieces, which pack them by online best fit over `open_bins` open bins. Of what has come in, twice as many
-    pieces as there may be open bins are placed longest first, so that the short ones fill what the long ones leave. A task leaves its last bins part
-    filled; these bins, with what they hold, are packed again as items by fewer tasks until one level has a single task or
-    nothing is gained, so that what is lost doesn't grow with the number of tasks. Only counts reach the driver.
+    pieces as there may be open bins are placed longest first, so that the short ones fill what the long ones leave. A task
+    leaves its last bins part filled; bins with free space are packed again, as items, by a sixteenth of the tasks, and so on until
+    a level has had one task or saves no bin, so that what is lost doesn't grow with the number of tasks. Only counts reach
+    the driver.
 
     Repeated rows are pieces of their own; an empty table gives an empty result; other columns pass through, except that columns
     named sequence_id or offset are replaced.
@@ -217,24 +225,37 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     row = whole(pieces, names)
     placed = staged(pieces.select(row.alias("_row"), F.col("length").cast("long").alias("length"), row_hash(pieces, names, seed).alias("_deal")), "pieces")
-    count = placed.filter(F.col("length") < capacity).count()
-    tasks = max(1, count // task_pieces)
-    full = placed.filter(F.col("length") >= capacity).select("_row", F.monotonically_increasing_id().alias("_bin"), F.lit(0).cast("long").alias("_bin_offset"))
-    packed = staged(_best_fit(placed.filter(F.col("length") < capacity), tasks, capacity, open_bins, "_bin").drop("_deal"), "packed")
-
-    bins = packed.groupBy("_bin").agg(F.sum("length").alias("length"))
-    if tasks > 1:
-        # bins with free space are packed again as items, each by the same hash deal; their numbers change, closed bins keep theirs
-        level = bins.filter(F.col("length") < capacity).withColumn("_deal", F.xxhash64(F.lit(seed + 1), "_bin"))
-        fewer = max(1, tasks // 16)
-        again = staged(_best_fit(level, fewer, capacity, open_bins, "_outer").drop("_deal", "length"), "repacked")
-        packed = packed.join(again, "_bin", "left")
-        moved = F.col("_outer").isNotNull()
-        packed = packed.withColumns({"_kind": F.when(moved, F.lit(2)).otherwise(F.lit(1)), "_bin": F.coalesce("_outer", "_bin"), "_bin_offset": F.col("_bin_offset") + F.coalesce("_outer_offset", F.lit(0))})
-    else:
-        packed = packed.withColumn("_kind", F.lit(1))
-    both = packed.select("_row", "_bin", "_bin_offset", "_kind").unionByName(full.select("_row", "_bin", "_bin_offset", F.lit(0).alias("_kind")))
-    return both.select("_row.*", (F.col("_bin") * 3 + F.col("_kind")).alias("sequence_id"), F.col("_bin_offset").alias("offset"))
+    tasks = max(1, placed.filter(F.col("length") < capacity).count() // task_pieces)
+    full = placed.filter(F.col("length") >= capacity).select("_row", F.monotonically_increasing_id().alias("_bin"), F.lit(0).cast("long").alias("_at"), F.lit(0).alias("_kind"))
+    first = _best_fit(placed.filter(F.col("length") < capacity), tasks, capacity, open_bins, "_bin")
+    packed = staged(first.select("_row", "_bin", F.col("_bin_offset").alias("_at"), F.lit(1).alias("_kind"), "length"), "packed")
+
+    # (_bin, _kind) names a bin: what a level packs again gets new numbers under the level's kind; the bins' items are small rows
+    bins = packed.groupBy("_bin", "_kind").agg(F.sum("length").alias("length"))
+    moves, level = None, 1
+    while tasks > 1:
+        tasks, level = max(1, tasks // 16), level + 1
+        items = bins.filter(F.col("length") < capacity).withColumn("_deal", F.xxhash64(F.lit(seed + level), "_bin", "_kind"))
+        again = staged(_best_fit(items, tasks, capacity, open_bins, "_outer").select("_bin", "_kind", "length", "_outer", "_outer_offset"), "repacked")
+        sizes = again.agg(F.count("*").alias("n"), F.countDistinct("_outer").alias("m")).first()
+        if sizes["m"] >= sizes["n"]:
+            break
+        step = again.select("_bin", "_kind", F.col("_outer").alias("_to"), F.col("_outer_offset").alias("_shift"), F.lit(level).alias("_level"))
+        moves = step if moves is None else _followed(moves, step)
+        bins = again.groupBy(F.col("_outer").alias("_bin"), F.lit(level).alias("_kind")).agg(F.sum("length").alias("length"))
+    if moves is not None:
+        told = packed.join(moves, ["_bin", "_kind"], "left")
+        packed = told.select("_row", F.coalesce("_to", "_bin").alias("_bin"), (F.col("_at") + F.coalesce("_shift", F.lit(0))).alias("_at"), F.coalesce("_level", "_kind").alias("_kind"))
+    both = packed.select("_row", "_bin", "_at", "_kind").unionByName(full)
+    return both.select("_row.*", (F.col("_bin") * 16 + F.col("_kind")).alias("sequence_id"), F.col("_at").alias("offset"))
+
+
+def _followed(moves: DataFrame, step: DataFrame) -> DataFrame:
+    """Where the bins of the first level have gone, after one more level: moves (_bin, _kind, _to, _shift, _level), then step."""
+    onward = step.select(F.col("_bin").alias("_to"), F.col("_kind").alias("_level"), F.col("_to").alias("_next"), F.col("_shift").alias("_more"), F.col("_level").alias("_last"))
+    told = moves.join(onward, ["_to", "_level"], "left")
+    told = told.select("_bin", "_kind", F.coalesce("_next", "_to").alias("_to"), (F.col("_shift") + F.coalesce("_more", F.lit(0))).alias("_shift"), F.coalesce("_last", "_level").alias("_level"))
+    return staged(told, "moves")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
