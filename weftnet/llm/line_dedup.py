@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weftnet.llm.common import ddl, digest, staged, table, whole
 
 #: Words of a block, the least that is ever deleted, and words of a window: every repeated run of so many is found.
-BLOCK_WORDS, WINDOW_WORDS = 20, 50
+BLOCK_WORDS, WINDOW_WORDS = 10, 25
 
 FOUND_SCHEMA = "hashes array<bigint>, picks array<struct<g:bigint,p:int>>"
 
@@ -85,6 +85,21 @@ def extend(later: list[int], earlier: list[int], p: int, q: int) -> tuple[int, i
     return p - left, p + right
 
 
+def named(block: int, p: int, hashes: list[int], words: list[int], block_words: int = BLOCK_WORDS) -> list[int]:
+    """Names under which a selected block at line p is looked up: by itself, with the line before it, and with the line behind it.
+
+    Each name is matched with its own first occurrence, so a block that stands in several surroundings meets the first text
+    with the same neighbour on either side, and not only the first text of all.
+    """
+    end, held = p, 0
+    while held < block_words:
+        held += words[end]
+        end += 1
+    around = [(1, hashes[p - 1])] if p else []
+    around += [(2, hashes[end])] if end < len(hashes) else []
+    return [block, *(xxhash.xxh64_intdigest(struct.pack("<3Q", block, side, line)) for side, line in around)]
+
+
 def _signed(x: int) -> int:
     return (x & 0xFFFFFFFFFFFFFFFF) - (1 << 64 if x & (1 << 63) else 0)
 
@@ -98,7 +113,7 @@ def _found(rows: DataFrame, block_words: int, window_words: int) -> DataFrame:
             all_hashes, all_picks = [], []
             for text in batch.column(3):
                 hashes, words = line_hashes(text.as_py())
-                all_picks.append([{"g": _signed(g), "p": p} for g, p in winnow(hashes, words, block_words, window_words)])
+                all_picks.append([{"g": _signed(g), "p": p} for h, p in winnow(hashes, words, block_words, window_words) for g in named(h, p, hashes, words, block_words)])
                 all_hashes.append(np.array(hashes, np.uint64).view(np.int64))
             columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(all_hashes, pa.list_(pa.int64())), pa.array(all_picks, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=["_no_id", "_id", "_key", "hashes", "picks"])
@@ -110,9 +125,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(_key, _runs): for each text with repeated runs, the line ranges [first, end) to delete, in order; they may overlap.
 
     _key is the digest of id and text. All occurrences of a selected block but the first in the corpus, by (id, nulls last; digest
-    of the text; line), are joined to that first one, and each match is extended both ways over the lines of the two texts.
-    Each deleted line has an equal line at an earlier place, so one copy of every line stays. Occurrences are matched with the
-    first one only, never with each other: a block in a third of all texts gives as many matches as it has occurrences.
+    of the text; line), are joined to that first one, and so they are to the first with the same line before, and with the same line
+    behind; each match is extended both ways over the lines of the two texts.
+    Each deleted line has an equal line at an earlier place, so one copy of every line stays. Occurrences are matched with
+    first ones only, never with each other: a block in a third of all texts gives three matches an occurrence at most.
     """
     key = text_key(F.col(id_col), F.col(text_col))
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).isNull().alias("_no_id"), F.col(id_col).alias("_id"), key.alias("_key"), F.col(text_col).alias("_text"))
@@ -124,7 +140,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct("_no_id", "_id", "_key", "p")
     first = picks.groupBy("g").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select("g", F.col("_first._key").alias("_from"), F.col("_first.p").alias("q"))
     matches = picks.select("g", "_key", "p").join(first, "g").filter((F.col("_key") != F.col("_from")) | (F.col("p") != F.col("q")))
-    pairs = matches.groupBy("_key", "_from").agg(F.collect_list(F.struct("p", "q")).alias("_at"))
+    pairs = matches.groupBy("_key", "_from").agg(F.collect_set(F.struct("p", "q")).alias("_at"))
     earlier = found.select(F.col("_key").alias("_from"), F.col("hashes").alias("_earlier"))
     both = pairs.join(earlier, "_from").join(found.select("_key", F.col("hashes").alias("_later")), "_key").select("_key", "_at", "_later", "_earlier")
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
