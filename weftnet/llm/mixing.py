@@ -12,8 +12,8 @@ WEIGHTS = (3, 1, 2)
 #: Share of all sizes that the mix holds, and the most copies that a document may expect.
 TOTAL, MOST = 1.5, 2.0
 SEED = 20
-#: Random offsets drawn for a source, of which the one whose words come nearest to the target is used.
-OFFSETS = 32
+#: A document with this share of its source's words or more is decided by itself; there are 1 / LARGE in a source at most.
+LARGE = 0.01
 #: The random offset is a multiple of 1/GRAIN, so that sums with whole numbers stay exact.
 GRAIN = 1 << 20
 
@@ -45,15 +45,17 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TO
     return listed.select("_no_source", "_source", "source_size", "target")
 
 
-def copies(docs: DataFrame, size: Column, order: list[Column], weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = SEED, offsets: int = OFFSETS, source_col: str = "source") -> DataFrame:
+def copies(docs: DataFrame, size: Column, order: list[Column], weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = SEED, large: float = LARGE, source_col: str = "source") -> DataFrame:
     """Add size, source_size, target and copies (long) to docs.
 
-    Within a source every document expects target / source_size copies. Systematic sampling lays those expectations end to end,
-    shifts them by one random offset a source, and gives a document a copy for each whole number inside its stretch: the floor
-    or the ceiling of what it expects. The stretches are in order of size, so that neighbours which round differently have
-    nearly equal sizes and the words taken stay near the target; ties go by a hash and then by `order`, so reruns agree. In a
-    small source the few largest documents still decide much, so `offsets` evenly spaced shifts of the random offset are tried
-    in one pass over the slim rows and the one that takes nearest to the target is kept (1: plain systematic sampling).
+    Systematic sampling lays the documents' expected copies in a source end to end, shifts them by the source's one random offset,
+    and gives a document a copy for each whole number inside its stretch. The stretches are in order of size, so that
+    neighbours which round differently have nearly equal sizes; ties go by a hash and then by `order`, so reruns agree.
+
+    A document that has `large` of its source's words or more would by itself move the source off its target. As is usual for such
+    units, their expectations are made whole numbers first, from the largest down: the first is rounded at random, by the source's
+    offset, each next one so that it makes up for what the ones before it took too much or too little. They are 1 / large at
+    most, so a source's fit in one row. All others expect the same, so that the whole source expects its target.
 
     The running sum needs only a document's rank in its source. Slim rows (no text) are dealt by range of (source, size, ...),
     so a source with a third of all rows spreads over many partitions; the rank is the rank inside the partition plus the
@@ -66,32 +68,54 @@ def copies(docs: DataFrame, size: Column, order: list[Column], weights: tuple =
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     key = {"_no_source": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))}
     ties = {"_tie": F.xxhash64(F.lit(seed), *order)} | {f"_tie{i}": c for i, c in enumerate(order)}
-    keyed = docs.select(whole(docs, names).alias("_row"), size.alias("size"), *[c.alias(n) for n, c in (key | ties).items()])
+    # words are counted once: dealing by range reads its input twice
+    keyed = staged(docs.select(whole(docs, names).alias("_row"), size.alias("size"), *[c.alias(n) for n, c in (key | ties).items()]), "sizes")
     placing = ["_no_source", "_source", "size", *ties]
     ranged = keyed.repartitionByRange(*placing).sortWithinPartitions(*placing)
     placed = staged(ranged.withColumn("_part", F.spark_partition_id()), "mixing")
 
-    part = placed.groupBy("_no_source", "_source", "_part").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
-    earlier = Window.partitionBy("_no_source", "_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    own = ["_no_source", "_source"]
+    part = placed.groupBy(*own, "_part").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
+    earlier = Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    targets = source_targets(part.groupBy("_no_source", "_source").agg(F.sum("_words").alias("source_size")), weights, total, most)
-    part = part.drop("_words", "_n").join(targets, ["_no_source", "_source"])
-
-    inside = Window.partitionBy("_no_source", "_source", "_part").orderBy("size", *ties)
-    ranked = placed.withColumn("_rank", F.row_number().over(inside)).join(part, ["_no_source", "_source", "_part"])
-    rank = F.col("_before") + F.col("_rank")
-    start = F.pmod(F.xxhash64(F.lit(seed), "_no_source", "_source"), F.lit(GRAIN)) / F.lit(float(GRAIN))
+    targets = source_targets(part.groupBy(*own).agg(F.sum("_words").alias("source_size")), weights, total, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    ranked = ranked.withColumns({"_start": start, "_rate": rate, "_upto": rank})
-
-    def crossed(offset: Column) -> Column:
-        return (F.floor(offset + F.col("_rate") * F.col("_upto")) - F.floor(offset + F.col("_rate") * (F.col("_upto") - 1))).cast("long")
-
-    drawn = [F.pmod(F.col("_start") + F.lit(j / offsets), F.lit(1.0)) for j in range(offsets)]
-    taken = ranked.groupBy("_no_source", "_source").agg(F.max("_start").alias("_start"), F.max("target").alias("target"), *[F.sum(crossed(u) * F.col("size")).alias(f"_taken{j}") for j, u in enumerate(drawn)])
-    misses = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_taken{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j"), u.alias("offset")) for j, u in enumerate(drawn)]))
-    ranked = ranked.join(taken.select("_no_source", "_source", misses["offset"].alias("_offset")), ["_no_source", "_source"])
-    return ranked.select("_row.*", "size", "source_size", "target", crossed(F.col("_offset")).alias("copies"))
+    offset = F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(GRAIN)) / F.lit(float(GRAIN))
+    targets = staged(targets.withColumns({"_rate": rate, "_offset": offset}), "targets")
+
+    inside = Window.partitionBy(*own, "_part").orderBy("size", *ties)
+    ranked = placed.withColumn("_rank", F.row_number().over(inside)).join(part.select(*own, "_part", "_before"), [*own, "_part"])
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_rank")).join(targets, own)
+    is_large = (F.col("size") > 0) & (F.col("size") >= F.lit(large) * F.col("source_size"))
+
+    found = ranked.filter(is_large).groupBy(*own, "_rate", "_offset").agg(F.sort_array(F.collect_list(F.struct("_rank", "size")), asc=False).alias("_large"))
+    decided = staged(found.select(*own, decided_copies(F.col("_large"), F.col("_rate"), F.col("_offset")).alias("_d")), "large")
+    rest = targets.join(decided.select(*own, "_d.owed", "_d.words"), own, "left").select(*own, (F.col("_rate") * (F.col("source_size") - F.coalesce("words", F.lit(0))) + F.coalesce("owed", F.lit(0.0))).alias("_want"), (F.col("source_size") - F.coalesce("words", F.lit(0))).alias("_words"))
+    small = ranked.filter(~is_large).join(rest, own)
+    each = F.when(F.col("_words") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col("_want") / F.col("_words")))).otherwise(F.lit(0.0))
+    crossed = (F.floor(F.col("_offset") + each * F.col("_rank")) - F.floor(F.col("_offset") + each * (F.col("_rank") - 1))).cast("long")
+    whole_numbers = decided.select(*own, F.explode("_d.copies").alias("_c")).select(*own, F.col("_c.rank").alias("_rank"), F.col("_c.n").alias("copies"))
+    columns = ["_row", "size", "source_size", "target", "copies"]
+    both = small.withColumn("copies", crossed).select(columns).unionByName(ranked.filter(is_large).join(whole_numbers, [*own, "_rank"]).select(columns))
+    return both.select("_row.*", "size", "source_size", "target", "copies")
+
+
+def decided_copies(rows: Column, rate: Column, offset: Column) -> Column:
+    """Array of (_rank, size), the largest first -> struct of copies (array of rank, n), owed (expected less taken words) and words."""
+    none = F.array().cast("array<struct<rank:bigint,n:bigint>>")
+    begin = F.struct(none.alias("copies"), F.lit(0.0).alias("owed"), F.lit(0).cast("long").alias("words"))
+
+    def step(s: Column, x: Column) -> Column:
+        wanted = rate + s["owed"] / x["size"]
+        shift = F.when(s["words"] == 0, offset).otherwise(F.lit(0.5))
+        n = F.least(F.ceil(rate), F.greatest(F.floor(rate), F.floor(wanted + shift))).cast("long")
+        return F.struct(
+            F.concat(s["copies"], F.array(F.struct(x["_rank"].cast("long").alias("rank"), n.alias("n")))).alias("copies"),
+            (s["owed"] + (rate - n) * x["size"]).alias("owed"),
+            (s["words"] + x["size"]).alias("words"),
+        )
+
+    return F.aggregate(rows, begin, step)
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
