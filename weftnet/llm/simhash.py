@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import digest, staged, table, whole
+from weftnet.llm.common import digest, discard, row_hash, staged, table, whole
 
 #: Words of a shingle, differing bits of a link at most, and the seed of the shingles' XXH64.
 WORDS, BITS, SEED = 4, 4, 42
@@ -23,7 +23,7 @@ BLOCK = 2048
 AXES = ((1_000_000, 6), (30_000_000, 7), (math.inf, 8))
 
 
-def _bits_of(hashes: np.ndarray) -> int:
+def bits_of(hashes: np.ndarray) -> int:
     """The fingerprint: each bit that is set in over half the hashes."""
     totals = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):  # whole texts, in parts that stay in the cache
@@ -49,7 +49,7 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     last = max(0, len(tokens) - words)
     spans = zip(starts[: last + 1].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    return _bits_of(np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, last + 1))
+    return bits_of(np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, last + 1))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
@@ -108,14 +108,30 @@ class Forest:
         return kept
 
 
+def embedded(fps: np.ndarray) -> np.ndarray:
+    """The popcounts of the SEGMENT_BITS = 2 bit segments, each as that many low bits of its segment.
+
+    So written, the Manhattan distance of two embeddings is the number of bits in which they differ.
+    """
+    low = np.uint64(0x5555555555555555)
+    return ((fps & (fps >> np.uint64(1)) & low) << np.uint64(1)) | ((fps | (fps >> np.uint64(1))) & low)
+
+
+def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Whether pairs of fingerprints at an embedded Manhattan distance of `bits` or less, which bounds it from below, are that near exactly."""
+    return np.bitwise_count(a ^ b) <= bits
+
+
 def _close(left: np.ndarray, right: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Links between two sets of fingerprints of one cell, some rows of the comparison at a time."""
+    """Links between two sets of fingerprints of one cell, some rows of the comparison at a time: by Manhattan distance, then exactly."""
+    placed = embedded(right)
     for at in range(0, len(left), 256):
         a = left[at : at + 256]
-        i, j = np.nonzero(np.bitwise_count(a[:, None] ^ right[None, :]) <= bits)
-        differ = a[i] != right[j]
-        if differ.any():
-            yield np.stack([a[i][differ], right[j][differ]], axis=1)
+        i, j = np.nonzero(np.bitwise_count(embedded(a)[:, None] ^ placed[None, :]) <= bits)
+        x, y = a[i], right[j]
+        kept = _near(x, y, bits) & (x != y)
+        if kept.any():
+            yield np.stack([x[kept], y[kept]], axis=1)
 
 
 def _compare(cells: DataFrame, bits: int) -> DataFrame:
@@ -131,7 +147,8 @@ def _compare(cells: DataFrame, bits: int) -> DataFrame:
             same = (rows[1:, :3] == rows[:-1, :3]).all(axis=1)
             edges = np.flatnonzero(np.concatenate(([True], ~same, [True])))
             lengths = np.diff(edges)
-            fps = rows[:, 4].view(np.uint64)
+            fps = np.ascontiguousarray(rows[:, 4]).view(np.uint64)
+            placed = embedded(fps)
             run_of = np.repeat(np.arange(len(lengths)), lengths)
             small = (lengths <= 64) & (rows[edges[:-1], 1] == rows[edges[:-1], 2])
             at = np.flatnonzero(small[run_of])
@@ -140,8 +157,8 @@ def _compare(cells: DataFrame, bits: int) -> DataFrame:
                 at = at[run_of[at] == run_of[at + step]]
                 if not len(at):
                     break
-                near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= bits]
-                near = near[fps[near] != fps[near + step]]
+                near = at[np.bitwise_count(placed[at] ^ placed[at + step]) <= bits]
+                near = near[_near(fps[near], fps[near + step], bits) & (fps[near] != fps[near + step])]
                 found += forest.joins(np.stack([fps[near], fps[near + step]], axis=1))
             for r in np.flatnonzero(~small & (lengths > 1)).tolist():
                 own, part = rows[edges[r] : edges[r + 1]], fps[edges[r] : edges[r + 1]]
@@ -211,7 +228,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         larger = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
         low = larger.groupBy("b").agg(F.min("a").alias("m"))
         smaller = larger.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
-        edges = staged(smaller, "links")
+        before, edges = edges, staged(smaller, "links")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
@@ -254,8 +272,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int =
     marked = marked.select("_row.doc_id", F.col("_row.key").alias("_key"), "fp")
     rooted = marked.join(groups(marked.select("doc_id", "fp"), bits).select("fp", "root"), "fp")
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_weft_key"))
-    rows = docs.select(key.alias("_weft_key"), whole(docs).alias("_row")).join(kept.select("_weft_key"), "_weft_key", "left_semi")
-    return rows.groupBy("_weft_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    rows = docs.select(key.alias("_weft_key"), whole(docs).alias("_row"), row_hash(docs).alias("_order")).join(kept.select("_weft_key"), "_weft_key", "left_semi")
+    return rows.groupBy("_weft_key").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
