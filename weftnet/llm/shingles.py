@@ -1,4 +1,4 @@
-"""Near copies by exact similarity of word shingles: the pipeline's near-duplicate stage."""
+"""Near copies by exact similarity of word shingles: SimHash links first, then what these miss (the pipeline's near-duplicate stage)."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import digest, staged, whole
-from weftnet.llm.simhash import components
+from weftnet.llm.common import digest, discard, row_hash, staged, whole
+from weftnet.llm.simhash import BITS, bits_of, components, links
 
 #: Words of a shingle, and the least similarity |x & y| / |x | y| of two texts' sets of shingles, as a fraction.
 WORDS, SHARE = 5, (4, 5)
@@ -19,7 +19,7 @@ SEED = 42
 #: Texts looked at for frequent shingles, the share of them that makes one, and how many are told to the tasks at most.
 SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 0.001, 50_000
 #: Members of a cell that stand in one order at a time, and orders that are tried before what is left is paired in full.
-BLOCK, ORDERS = 512, 2
+BLOCK, ORDERS = 512, 1
 #: Buckets of a set's sketch, the number of its shingles by their hash modulo this.
 BUCKETS = 64
 
@@ -64,24 +64,25 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, frequent: np.ndarray) -> DataFrame:
-    """(_key, text) -> (_key, id, size, sketch, prefix): id names the set of shingles (0 that of no word), so equal sets are one node."""
+    """(_key, text) -> (_key, id, size, fp, sketch, prefix): id names the set of shingles (0 that of no word), so equal sets are one node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            ids, sizes, sketches, ends, parts = [], [], [], [0], [np.zeros(0, np.uint64)]
+            ids, sizes, fps, sketches, ends, parts = [], [], [], [], [0], [np.zeros(0, np.uint64)]
             for t in batch.column(1):
                 own = shingle_set(t.as_py(), words)
                 ids.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0)
                 sizes.append(len(own))
+                fps.append(bits_of(own))
                 sketches.append(np.bincount((own % BUCKETS).astype(np.int64), minlength=BUCKETS).tolist())
                 parts.append(prefix(own, frequent) if len(own) else own)
                 ends.append(ends[-1] + len(parts[-1]))
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int32())), listed], names=["_key", "id", "size", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.list_(pa.int32())), listed], names=["_key", "id", "size", "fp", "sketch", "prefix"])
 
-    return docs.select("_key", F.col("text").cast("string").alias("text")).mapInArrow(run, "_key binary, id long, size int, sketch array<int>, prefix array<long>")
+    return docs.select("_key", F.col("text").cast("string").alias("text")).mapInArrow(run, "_key binary, id long, size int, fp long, sketch array<int>, prefix array<long>")
 
 
 def _may_link(share: tuple[int, int]) -> Column:
@@ -119,49 +120,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int,
     return met.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> tuple[DataFrame, DataFrame]:
+def similar_groups(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(_key, text) -> (_key, id) and (node, root): the links of all texts at a similarity of `share` or more, to their components.
 
-    Two sets of that similarity share a shingle of their prefixes, the first such satisfying _may_link: no pair is lost. Cells
-    are the texts by shingle of the prefix. In some orders of a cell, neighbours are compared first; pairs that these have put
-    into one component need no comparison, so that a large group of near copies gives about as many pairs as it has members.
-    What is still apart in a cell is then compared in full. Pairs are sifted by their sketches, so that only texts of likely pairs are moved.
+    First the SimHash join of op3: sets whose fingerprints are within `bits` are verified by their exact similarity. That joins most
+    copies, but at this similarity some fingerprints are farther apart, so what is still apart goes on by prefixes: two sets
+    of that similarity share a shingle of their prefixes, the first such satisfying _may_link, so no pair is lost. Cells are the
+    sets by shingle of the prefix. First neighbours of a cell in some order are compared, so that a large group of near copies
+    gives about as many pairs as it has members; what is still apart in a cell is then compared in full. Pairs are sifted by
+    their sketches, so that only texts of likely pairs are moved. Intermediate tables are deleted.
     """
     marked = staged(_sets(docs, words, _frequent(docs, words)), "sets")
-    listed = marked.select("id", "size", F.posexplode("prefix").alias("at", "h"))
+    nodes = staged(marked.groupBy("id").agg(*[F.first(c).alias(c) for c in ("size", "fp", "sketch", "prefix")], F.min("_key").alias("_key")), "nodes")
+    sketches = nodes.select("id", "sketch", "_key")
+    source = docs.select("_key", F.col("text").cast("string").alias("text"))
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(the pairs that the sketches leave, those of them that are similar)."""
+        told = staged(pairs, "candidates")
+        left = staged(_sifted(told, sketches, share), "pairs")
+        ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        keys = staged(sketches.join(ids, "id").select("id", "_key"), "keys")
+        texts = staged(source.join(keys, "_key").groupBy("id").agg(F.first("text").alias("text")), "texts")
+        found = staged(_verified(left, texts, words, share), "near")
+        discard(told, keys, texts)
+        return left, found
+
+    # sets of one fingerprint meet at the least of them, and so do those of linked fingerprints
+    by_fp = staged(nodes.filter("size > 0").groupBy("fp").agg(F.min("id").alias("_first")), "by-fingerprint")
+    same = nodes.filter("size > 0").join(by_fp, "fp").filter("id <> _first").select(F.col("_first").alias("a"), F.col("id").alias("b"))
+    joined = links(by_fp.select("fp"), bits).join(by_fp.select(F.col("fp").alias("a"), F.col("_first").alias("_a")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("_first").alias("_b")), "b")
+    met = same.unionByName(joined.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    compared, found = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    roots = components(found)
+
+    listed = nodes.select("id", "size", F.posexplode("prefix").alias("at", "h"))
     shared = listed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    cells = listed.join(shared, "h").select("h", "id", "size", (F.col("size") - F.col("at") - 1).alias("left"), "n").distinct()
-    cells = staged(cells, "cells")
-    sketches = staged(marked.groupBy("id").agg(F.first("sketch").alias("sketch"), F.min("_key").alias("_key")), "sketches")
-    found, compared, roots = None, None, None
+    cells = staged(listed.join(shared, "h").select("h", "id", "size", (F.col("size") - F.col("at") - 1).alias("left"), "n"), "cells")
     for order in range(ORDERS + 1):
-        if roots is None:
-            apart = cells.withColumn("root", F.col("id"))
-        else:
-            rooted = cells.join(roots, cells["id"] == roots["node"], "left").select("h", "id", "size", "left", "n", F.coalesce("root", "id").alias("root"))
-            open_cells = rooted.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("h")
-            apart = staged(rooted.join(open_cells, "h", "left_semi"), "apart")
+        rooted = cells.join(roots, cells["id"] == roots["node"], "left").select("h", "id", "size", "left", "n", F.coalesce("root", "id").alias("root"))
+        open_cells = rooted.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("h")
+        apart = staged(rooted.join(open_cells, "h", "left_semi"), "apart")
+        columns = ("id", "size", "left", "root")
         if order < ORDERS:
-            key = F.col("id") if order == 0 else F.xxhash64(F.lit(order), "id")
             block = F.pmod(F.xxhash64(F.lit(order + 10), "id"), F.ceil(F.col("n") / BLOCK))
-            line = Window.partitionBy("h", "_block").orderBy(key, "id")
-            told = apart.withColumn("_block", block)
-            both = told.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "size", "left", "root")], *[F.lag(c).over(line).alias(f"b_{c}") for c in ("id", "size", "left", "root")]).filter("b_id is not null")
+            line = Window.partitionBy("h", "_block").orderBy(F.xxhash64(F.lit(order), "id"), "id")
+            both = apart.withColumn("_block", block).select(*[F.col(c).alias(f"a_{c}") for c in columns], *[F.lag(c).over(line).alias(f"b_{c}") for c in columns]).filter("b_id is not null")
         else:
-            one = apart.select("h", *[F.col(c).alias(f"a_{c}") for c in ("id", "size", "left", "root")])
-            both = one.join(apart.select("h", *[F.col(c).alias(f"b_{c}") for c in ("id", "size", "left", "root")]), "h").filter("a_id < b_id")
+            one, other = (apart.select("h", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
+            both = one.join(other, "h").filter("a_id < b_id")
         pairs = both.filter((F.col("a_root") != F.col("b_root")) & _may_link(share)).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = staged(_sifted(staged(pairs, "candidates"), sketches, share), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        keys = staged(sketches.join(ids, "id").select("id", "_key"), "keys")
-        texts = staged(docs.select("_key", F.col("text").cast("string").alias("text")).join(keys, "_key").groupBy("id").agg(F.first("text").alias("text")), "texts")
-        links = staged(_verified(pairs, texts, words, share), "near")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        found = links if found is None else found.unionByName(links)
-        if roots is None or not links.isEmpty():
+        left, more = verified(pairs.join(compared, ["a", "b"], "left_anti"))
+        discard(apart)
+        compared, found = compared.unionByName(left), found.unionByName(more)
+        if not more.isEmpty():
             roots = components(found)
+    discard(nodes, by_fp, cells, compared, found)
     return marked.select("_key", "id"), roots
 
 
@@ -175,5 +189,5 @@ def keep_one(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE
     rooted = own.join(roots, own["id"] == roots["node"], "left").select("_key", F.coalesce("root", "id").alias("root"))
     named = docs.select("doc_id", key.alias("_key")).join(rooted.distinct(), "_key")
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_weft_key"))
-    rows = docs.select(key.alias("_weft_key"), whole(docs).alias("_row")).join(kept.select("_weft_key"), "_weft_key", "left_semi")
-    return rows.groupBy("_weft_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    rows = docs.select(key.alias("_weft_key"), whole(docs).alias("_row"), row_hash(docs).alias("_order")).join(kept.select("_weft_key"), "_weft_key", "left_semi")
+    return rows.groupBy("_weft_key").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
