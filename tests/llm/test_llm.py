@@ -289,17 +289,30 @@ def naive_phrases(text, known):
     return n
 
 
-def test_cross_parsing():
+def test_cross_parsing(monkeypatch):
     rnd = np.random.default_rng(1)
-    known = rnd.integers(0, 4, 300)
-    table = langid.parse_table(known.tolist(), 5)
-    sample = "".join(map(str, known))
-    languages = langid.Languages.__new__(langid.Languages)
-    languages.tables = [table]
-    texts = [rnd.integers(0, 5, n).astype(np.uint8) for n in (0, 1, 7, 300, 64, 63, 65)] + [known[20:120].astype(np.uint8)]
-    for window in (64, 1000):
-        want = [sum(naive_phrases("".join(map(str, t[i : i + window])), sample) for i in range(0, len(t), window)) for t in texts]
-        assert languages.phrases(texts, window)[:, 0].tolist() == want
+    letters = {"aa": "abcd", "bb": "abcdefghijk", "zh": "".join(chr(c) for c in range(0x4E00, 0x4E00 + 900)), "ru": "".join(chr(c) for c in range(0x430, 0x450))}
+    write = lambda own, n: "".join(own[int(x)] if x >= 0 else " " for x in rnd.integers(-1, len(own), n))
+    sample = {name: write(own, 700) for name, own in letters.items()}
+    learned = langid.Languages(sample)
+    texts = [learned.codes(write(own, n)) for own in letters.values() for n in (0, 1, 7, 300, 63)] + [learned.codes(sample["aa"][20:120]), learned.codes("9 \u0e01!")]
+    text_of = lambda codes: "".join(chr(100 + int(c)) for c in codes)
+    want = [[naive_phrases(text_of(t), text_of(learned.codes(sample[name]))) for name in learned.names] for t in texts]
+    assert learned.names == sorted(sample)
+    for few in (0, 48, 10_000):  # all at once, as it is, and one by one
+        monkeypatch.setattr(langid, "FEW", few)
+        assert learned.phrases(texts).tolist() == want
+    assert learned.phrases([]).shape == (0, 4) and langid.Languages({}).phrases([texts[3]]).shape == (1, 0)
+
+
+def test_scripts(spark):
+    """Languages of many letters, each in a script of its own, are told apart."""
+    rnd = np.random.default_rng(7)
+    scripts = [range(0x61, 0x7B), range(0x430, 0x451), range(0x3B1, 0x3CA), range(0x5D0, 0x5EB), range(0x4E00, 0x4E00 + 1500), range(0x6000, 0x6000 + 1500), range(0x61, 0x75)]
+    words = [["".join(chr(int(c)) for c in rnd.choice(list(own), int(rnd.integers(1, 7)))) for _ in range(400)] for own in scripts]
+    rows = [(7 * i + k, " ".join(rnd.choice(words[k], 60)), f"l{k}") for i in range(30) for k in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r.lang == r.lang_pred for r in langid.identify(docs, langid.learn(docs), ["doc_id", "lang"]).collect())
 
 
 def test_language_id(spark):
@@ -317,8 +330,10 @@ def test_language_id(spark):
     ids = [i for i, _, _ in rows if i is not None]
     marked = {r.doc_id: r.h for r in docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("h")).collect()}
     assert all(marked[i] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in ids) and marked[None] is False
-    sample = langid.labelled_sample(docs, docs_per_language=4, doc_chars=50, chars=120)
-    assert set(sample) == set(samples) and all(len(t) <= 120 for t in sample.values())
+    texts = {r.text for r in docs.collect()}
+    sample = langid.labelled_sample(docs, docs_per_language=4, chars=120)
+    assert set(sample) == set(samples) and all(0 < len(t.split("\n")) <= 4 and set(t.split("\n")) <= texts for t in sample.values())
+    assert all(len(t.split("\n")) == 1 for t in langid.labelled_sample(docs, total_chars=10).values())
     assert langid.identify(docs.limit(0), learned, ["doc_id"]).count() == 0
     nothing = langid.learn(docs.filter("lang is null"))
     assert {r.lang_pred for r in langid.identify(docs, nothing, ["doc_id"]).collect()} == {"und"}
@@ -337,10 +352,10 @@ def naive_dedup(rows):
         lines = [" ".join(x.split()) for x in t.split("\n")]
         counts = [len(x.split()) for x in lines]
         reach = lambda a, n: next((e for e in range(a + 1, len(lines) + 1) if sum(counts[a:e]) >= n), None)  # noqa: B023, E731
-        ends = [reach(a, 20) for a in range(len(lines))]
+        ends = [reach(a, 10) for a in range(len(lines))]
         chosen = set()
         for a in range(len(lines)):
-            e = reach(a, 50) or (len(lines) if a == 0 else None)
+            e = reach(a, 25) or (len(lines) if a == 0 else None)
             if e is None:
                 break
             inside = [b for b in range(a, e) if ends[b] is not None and ends[b] <= e]
@@ -349,17 +364,18 @@ def naive_dedup(rows):
                 chosen.add(min(inside, key=lambda b: (code(b), -b)))
         gone = set()
         for b in sorted(chosen):
-            key = tuple(lines[b : ends[b]])
-            if key not in first:
-                first[key] = (lines, b)
-                continue
-            other, q = first[key]
-            lo, hi = 0, 0
-            while b - lo > 0 and q - lo > 0 and lines[b - lo - 1] == other[q - lo - 1]:
-                lo += 1
-            while b + hi < len(lines) and q + hi < len(other) and lines[b + hi] == other[q + hi]:
-                hi += 1
-            gone.update(range(b - lo, b + hi))
+            block = tuple(lines[b : ends[b]])
+            for key in [block, *([(lines[b - 1], block, 1)] if b else []), *([(block, lines[ends[b]], 2)] if ends[b] < len(lines) else [])]:
+                if key not in first:
+                    first[key] = (lines, b)
+                    continue
+                other, q = first[key]
+                lo, hi = 0, 0
+                while b - lo > 0 and q - lo > 0 and lines[b - lo - 1] == other[q - lo - 1]:
+                    lo += 1
+                while b + hi < len(lines) and q + hi < len(other) and lines[b + hi] == other[q + hi]:
+                    hi += 1
+                gone.update(range(b - lo, b + hi))
         out[None if none else i, t] = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
     return out
 
@@ -385,13 +401,21 @@ def test_line_dedup(spark):
     got = Counter((r.doc_id, r.text) for r in out if r.text is not None)
     assert got == Counter({k: v for k, v in Counter((i, want[i, t]) for (i, t), n in source.items() if t is not None for _ in range(n)).items()})
     assert {r.text for r in out if r.doc_id == 102} == {""}
-    assert [r.n_removed for r in out if r.doc_id == 104] == [39] or [r.n_removed for r in out if r.doc_id == 104] == [40]
+    assert [r.n_removed for r in out if r.doc_id == 104][0] in (39, 40, 41)
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
 # 10
 
 
+def test_run_with_other_neighbours(spark):
+    """The first text with a block has other lines around it; a later text that repeats a whole run loses all of it."""
+    line = lambda name: " ".join(f"{name}{k}" for k in range(12))
+    rows = [(1, "\n".join(map(line, "axb"))), (2, "\n".join(map(line, "cxd"))), (3, "\n".join(map(line, "ecxdf")))]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert out[1] == rows[0][1] and "x0" not in out[2] and not {"c0", "x0", "d0"} & set(out[3].split()) and {"e0", "f0"} <= set(out[3].split())
+
+
 def test_packing(spark):
     path = P.path("word_bpe_49k.json")
     t = tokenizers.Tokenizer.from_file(path)
@@ -423,6 +447,24 @@ def test_packing(spark):
             assert at <= 2048
         assert len(bins) <= 1.05 * sum(lengths) / 2048
     assert packing.pack(many.limit(0)).count() == 0
+    # many levels lose no more than one task does
+    small = spark.createDataFrame([(i, int(x)) for i, x in enumerate(rnd.integers(1, 900, 4000))], "doc_id long, length long")
+    bins = [packing.pack(small, open_bins=8, task_pieces=n).select("sequence_id").distinct().count() for n in (100_000, 12)]
+    assert bins[1] <= bins[0] + 4
+    named = spark.createDataFrame([("a", "one two", 1), (None, None, 2), ("a", "one two", 1)], "doc_id string, text string, more int")
+    assert sorted((r.doc_id or "", r.length) for r in packing.cut_into_pieces(named, path).collect()) == [("", 1), ("a", 3), ("a", 3)]
+
+
+def test_word_memory(monkeypatch):
+    """Ids are the library's however few words a worker keeps."""
+    path = P.path("word_bpe_49k.json")
+    texts = [" ".join(f"w{i}x{k % 7}" for k in range(50)) for i in range(40)]
+    for most in (0, 5, 60, 10_000):
+        monkeypatch.setattr(packing, "CACHE_WORDS", most)
+        encoder = packing.WordIds(path)
+        for at in range(0, 40, 4):
+            assert encoder.encode(texts[at : at + 4]) == [encoder.whole(t) for t in texts[at : at + 4]]
+            assert len(encoder.ids) <= most
 
 
 def test_open_bins():
