@@ -6,8 +6,6 @@ documents: doc_id, text, lang, source, n_chars.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A missing label is filled with the prediction; labels that are there stay.
     """
-    learned = langid.learn(docs)
-    found = langid.identify(docs, learned, list(COLUMNS))
-    chance = F.lit(math.log2(learned.alphabet))
-    unlike = (F.col("bits_per_char") > chance) & (F.length("text") >= LEAST_LETTERS)
+    found = langid.identify(docs, langid.learn(docs), list(COLUMNS))
+    unlike = (F.col("bits_per_char") > F.col("chance_bits")) & (F.length("text") >= LEAST_LETTERS)
     kept = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & ~unlike)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
