@@ -16,7 +16,7 @@ from weftnet.llm.common import ddl, table
 #: languages together. Documents are taken whole; those of up to SAMPLE_DOC_CHARS characters are preferred.
 SAMPLE_DOCS, SAMPLE_CHARS, TOTAL_CHARS, SAMPLE_DOC_CHARS = 16, 40_000, 8_000_000, 8192
 #: Characters that are parsed together, and the parses still running below which each is finished by itself.
-GROUP_CHARS, FEW = 1 << 21, 48
+GROUP_CHARS, FEW = 1 << 22, 48
 UNDETERMINED = "und"
 
 

@@ -16,12 +16,12 @@ from weftnet.llm.simhash import BITS, bits_of, components, links
 WORDS, SHARE = 5, (4, 5)
 #: Seed of the shingles' XXH64.
 SEED = 42
+#: Share of all hashes, the lowest, of which each text is told whether another text has them too.
+LOW = 0.3
 #: Texts looked at for frequent shingles, the share of them that makes one, and how many are told to the tasks at most.
 SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 0.001, 50_000
 #: Members of a cell that stand in one order at a time, and orders that are tried before what is left is paired in full.
 BLOCK, ORDERS = 512, 1
-#: Buckets of a set's sketch, the number of its shingles by their hash modulo this.
-BUCKETS = 64
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -36,14 +36,29 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((hashed(b" ".join(tokens[i : i + words]), SEED) for i in range(n)), np.uint64, n))
 
 
-def prefix(own: np.ndarray, frequent: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
+def least_shared(size: int | Column, share: tuple[int, int] = SHARE) -> int | Column:
+    """Shingles of a set that a similar one has at least; all but so many, and one more, are its prefix."""
+    return -(-share[0] * size // share[1]) if isinstance(size, int) else F.ceil(size * share[0] / share[1])
+
+
+def low_part(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The set's shingles among the lowest hashes, without those that are known to be frequent."""
+    low = own[: np.searchsorted(own, np.uint64(int(LOW * 2**64)))]
+    return low[~np.isin(low, frequent)]
+
+
+def prefix(own: np.ndarray, common: np.ndarray, frequent: np.ndarray, share: tuple[int, int] = SHARE) -> tuple[int, np.ndarray]:
     """The first of a set's shingles in an order that is the same for all sets: two similar sets share one of them.
 
-    Frequent shingles come last, so that texts with a common passage don't meet by it; any order gives the same links.
+    First come the low ones that no other set has (`common` are the low ones that others have), then all others, then frequent
+    ones, each by hash. The first kind meets nothing: only their number is given, and what follows them in the prefix.
     """
-    least = -(-share[0] * len(own) // share[1])
-    last = np.isin(own, frequent)
-    return np.concatenate((own[~last], own[last]))[: len(own) - least + 1]
+    low = low_part(own, frequent)
+    alone = low[~np.isin(low, common)]
+    rest = own[~np.isin(own, alone)]
+    last = np.isin(rest, frequent)
+    n = len(own) - least_shared(len(own), share) + 1
+    return min(n, len(alone)), np.concatenate((rest[~last], rest[last]))[: max(0, n - len(alone))]
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
@@ -64,39 +79,44 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, frequent: np.ndarray) -> DataFrame:
-    """(_key, text) -> (_key, id, size, fp, sketch, prefix): id names the set of shingles (0 that of no word), so equal sets are one node."""
+    """(_key, text) -> (_key, id, size, fp, low): id names the set of shingles (0 that of no word), so equal sets are one node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            ids, sizes, fps, sketches, ends, parts = [], [], [], [], [0], [np.zeros(0, np.uint64)]
+            ids, sizes, fps, ends, parts = [], [], [], [0], [np.zeros(0, np.uint64)]
             for t in batch.column(1):
                 own = shingle_set(t.as_py(), words)
                 ids.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0)
                 sizes.append(len(own))
                 fps.append(bits_of(own))
-                sketches.append(np.bincount((own % BUCKETS).astype(np.int64), minlength=BUCKETS).tolist())
-                parts.append(prefix(own, frequent) if len(own) else own)
+                parts.append(low_part(own, frequent))
                 ends.append(ends[-1] + len(parts[-1]))
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.list_(pa.int32())), listed], names=["_key", "id", "size", "fp", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), listed], names=["_key", "id", "size", "fp", "low"])
 
-    return docs.select("_key", F.col("text").cast("string").alias("text")).mapInArrow(run, "_key binary, id long, size int, fp long, sketch array<int>, prefix array<long>")
+    return docs.select("_key", F.col("text").cast("string").alias("text")).mapInArrow(run, "_key binary, id long, size int, fp long, low array<long>")
 
 
-def _may_link(share: tuple[int, int]) -> Column:
-    """Whether two members of a cell can be similar if the cell's shingle is the first they share: sizes (a_size) and what may follow (a_left)."""
-    overlap = F.lit(1) + F.least("a_left", "b_left")
-    return overlap * (share[0] + share[1]) >= (F.col("a_size") + F.col("b_size")) * share[0]
+def _prefixes(texts: DataFrame, words: int, frequent: np.ndarray, share: tuple[int, int]) -> DataFrame:
+    """(id, common, text) -> (id, size, at, h): the shingles of the prefix that other sets may have, with their places in the set's order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, common, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                own = shingle_set(text.as_py(), words)
+                alone, rest = prefix(own, np.array(common.as_py() or [], np.int64).view(np.uint64), frequent, share)
+                n = len(rest)
+                columns = [np.full(n, name, np.int64), np.full(n, len(own), np.int32), np.arange(alone, alone + n, dtype=np.int32), rest.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "size", "at", "h"])
+
+    return texts.select("id", "common", "text").mapInArrow(run, "id long, size int, at int, h long")
 
-def _sifted(pairs: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) without those whose sketches show that they can't be similar: buckets share at most the lesser count."""
-    met = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    total = lambda c: F.aggregate(c, F.lit(0), lambda n, k: n + k)
-    most = total(F.zip_with("x", "y", lambda k, m: F.least(k, m)))
-    return met.filter(most * (share[0] + share[1]) >= (total(F.col("x")) + total(F.col("y"))) * share[0]).select("a", "b")
+
+def _enough(overlap: Column, share: tuple[int, int]) -> Column:
+    """Whether sets of sizes a_size and b_size can be similar if they share `overlap` shingles at most."""
+    return overlap * (share[0] + share[1]) >= (F.col("a_size") + F.col("b_size")) * share[0]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
@@ -123,59 +143,74 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int,
 def similar_groups(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(_key, text) -> (_key, id) and (node, root): the links of all texts at a similarity of `share` or more, to their components.
 
-    First the SimHash join of op3: sets whose fingerprints are within `bits` are verified by their exact similarity. That joins most
-    copies, but at this similarity some fingerprints are farther apart, so what is still apart goes on by prefixes: two sets
-    of that similarity share a shingle of their prefixes, the first such satisfying _may_link, so no pair is lost. Cells are the
-    sets by shingle of the prefix. First neighbours of a cell in some order are compared, so that a large group of near copies
-    gives about as many pairs as it has members; what is still apart in a cell is then compared in full. Pairs are sifted by
-    their sketches, so that only texts of likely pairs are moved. Intermediate tables are deleted.
+    First the SimHash join of op3: sets whose fingerprints are within `bits` are verified by their exact similarity. At this
+    similarity some fingerprints are farther apart, so what is still apart goes on by prefixes: two similar sets share a
+    shingle of their prefixes (see prefix), so no pair is lost. Most texts have so many shingles of their own that their prefix meets
+    nothing: they are done after one exchange of their low hashes. Cells are the others by shingle of the prefix. First
+    neighbours of a cell are compared, so that a large group of near copies gives about as many pairs as it has members; what is
+    still apart in a cell is then paired. A pair is verified on the texts if its shared shingles, and what may follow the last of
+    them, can be enough. Intermediate tables are deleted.
     """
-    marked = staged(_sets(docs, words, _frequent(docs, words)), "sets")
-    nodes = staged(marked.groupBy("id").agg(*[F.first(c).alias(c) for c in ("size", "fp", "sketch", "prefix")], F.min("_key").alias("_key")), "nodes")
-    sketches = nodes.select("id", "sketch", "_key")
+    frequent = _frequent(docs, words)
+    marked = staged(_sets(docs, words, frequent), "sets")
+    nodes = staged(marked.groupBy("id").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.min("_key").alias("_key"), F.max(F.size("low")).alias("n_low")), "nodes")
     source = docs.select("_key", F.col("text").cast("string").alias("text"))
 
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(the pairs that the sketches leave, those of them that are similar)."""
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(id, ...) -> the same with text, of one document of each set."""
+        told = staged(nodes.select("id", "_key").join(ids, "id"), "wanted")
+        return source.join(told, "_key").groupBy("id").agg(*[F.first(c).alias(c) for c in (*[c for c in ids.columns if c != "id"], "text")])
+
+    def verified(pairs: DataFrame) -> DataFrame:
         told = staged(pairs, "candidates")
-        left = staged(_sifted(told, sketches, share), "pairs")
-        ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        keys = staged(sketches.join(ids, "id").select("id", "_key"), "keys")
-        texts = staged(source.join(keys, "_key").groupBy("id").agg(F.first("text").alias("text")), "texts")
-        found = staged(_verified(left, texts, words, share), "near")
-        discard(told, keys, texts)
-        return left, found
+        texts = staged(texts_of(told.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
+        found = staged(_verified(told, texts, words, share), "near")
+        discard(told, texts)
+        return found
 
     # sets of one fingerprint meet at the least of them, and so do those of linked fingerprints
     by_fp = staged(nodes.filter("size > 0").groupBy("fp").agg(F.min("id").alias("_first")), "by-fingerprint")
     same = nodes.filter("size > 0").join(by_fp, "fp").filter("id <> _first").select(F.col("_first").alias("a"), F.col("id").alias("b"))
     joined = links(by_fp.select("fp"), bits).join(by_fp.select(F.col("fp").alias("a"), F.col("_first").alias("_a")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("_first").alias("_b")), "b")
     met = same.unionByName(joined.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    compared, found = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = components(found)
 
-    listed = nodes.select("id", "size", F.posexplode("prefix").alias("at", "h"))
+    low = marked.select("id", F.explode("low").alias("h"))
+    by_hash = Window.partitionBy("h")
+    common = low.withColumns({"_min": F.min("id").over(by_hash), "_max": F.max("id").over(by_hash)}).filter("_min < _max").select("id", "h").distinct()
+    common = staged(common.groupBy("id").agg(F.collect_list("h").alias("common")), "common")
+    alone = F.col("n_low") - F.coalesce(F.size("common"), F.lit(0))
+    told = nodes.join(common, "id", "left").filter((F.col("size") > 0) & (alone < F.col("size") - least_shared(F.col("size"), share) + 1))
+    listed = staged(_prefixes(texts_of(told.select("id", "common")), words, frequent, share), "prefixes")
     shared = listed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    cells = staged(listed.join(shared, "h").select("h", "id", "size", (F.col("size") - F.col("at") - 1).alias("left"), "n"), "cells")
+    cells = staged(listed.join(shared, "h").select("h", "id", "size", "at", "n"), "cells")
+    discard(common, listed)
+    columns = ("id", "size", "at", "root")
     for order in range(ORDERS + 1):
-        rooted = cells.join(roots, cells["id"] == roots["node"], "left").select("h", "id", "size", "left", "n", F.coalesce("root", "id").alias("root"))
+        rooted = cells.join(roots, cells["id"] == roots["node"], "left").select("h", "id", "size", "at", "n", F.coalesce("root", "id").alias("root"))
         open_cells = rooted.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("h")
         apart = staged(rooted.join(open_cells, "h", "left_semi"), "apart")
-        columns = ("id", "size", "left", "root")
         if order < ORDERS:
             block = F.pmod(F.xxhash64(F.lit(order + 10), "id"), F.ceil(F.col("n") / BLOCK))
             line = Window.partitionBy("h", "_block").orderBy(F.xxhash64(F.lit(order), "id"), "id")
             both = apart.withColumn("_block", block).select(*[F.col(c).alias(f"a_{c}") for c in columns], *[F.lag(c).over(line).alias(f"b_{c}") for c in columns]).filter("b_id is not null")
+            most = F.lit(1) + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) - 1
+            both = both.filter((F.col("a_root") != F.col("b_root")) & _enough(F.least("a_at", "b_at") + most, share))
+            pairs = both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
         else:
             one, other = (apart.select("h", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
-            both = one.join(other, "h").filter("a_id < b_id")
-        pairs = both.filter((F.col("a_root") != F.col("b_root")) & _may_link(share)).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
-        left, more = verified(pairs.join(compared, ["a", "b"], "left_anti"))
+            both = one.join(other, "h").filter((F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & _enough(F.least("a_size", "b_size"), share))
+            # all that a pair shares up to the last place that its prefixes share has been met
+            met = both.groupBy(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_size", "b_size").agg(F.count("*").alias("_n"), F.max("a_at").alias("_i"), F.max("b_at").alias("_j"))
+            most = F.col("_n") + F.least(F.col("a_size") - F.col("_i"), F.col("b_size") - F.col("_j")) - 1
+            pairs = met.filter(_enough(most, share)).select("a", "b")
+        more = verified(pairs)
         discard(apart)
-        compared, found = compared.unionByName(left), found.unionByName(more)
+        found = found.unionByName(more)
         if not more.isEmpty():
             roots = components(found)
-    discard(nodes, by_fp, cells, compared, found)
+    discard(nodes, by_fp, cells, found)
     return marked.select("_key", "id"), roots
 
 
