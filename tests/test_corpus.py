@@ -103,7 +103,7 @@ def test_command_line(spark, tmp_path, capsys):
     common = [str(tmp_path / "in.csv"), "--text-column", "body", "--extractor", "gazetteer", "--gazetteer", str(tmp_path / "names.json")]
     assert cli.main(["build", *common, "-o", str(tmp_path / "out.csv"), "-q"], spark) == 0
     assert (tmp_path / "out.csv").read_text().splitlines()[1:] == ["Ada,P,Bo,P,2.0,2"]
-    assert cli.main(["summary", *common], spark) == 0 and "Ada [P] -- Bo [P]" in capsys.readouterr().out
+    assert cli.main(["summary", *common], spark) == 0 and "Ada\tBo\t2\t2" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["build", *common, "-o", "x.doc"], spark)
     with pytest.raises(SystemExit):

@@ -10,6 +10,7 @@ from model import loads, network as model
 from pyspark.sql import functions as F
 
 from weftnet.config import NetworkConfig, available_decays, decay_values, register_decay
+from weftnet.functions.text import STOPWORDS
 from weftnet.operators.align import align_spans, invalid_rows, uncovered_tokens, validate
 from weftnet.operators.extract import FunctionExtractor, Gazetteer, ModelExtractor
 from weftnet.operators.network import Network
@@ -240,3 +241,46 @@ def test_config():
     assert again.decays == [1.0, 0.5] and again.term_pos == ("NOUN",)
     with pytest.raises(ValueError):
         NetworkPipeline(config=NetworkConfig(), window=1)
+
+
+def test_checks_of_annotations(spark):
+    docs = spark.createDataFrame([(1, "Ada met Bo."), (2, "Bo.")], "doc_id long, text string")
+    sents, toks, mentions = NetworkPipeline(Gazetteer({"P": ["Ada", "Bo"]})).annotate(docs)
+    build = lambda d, s, t, m: Network.from_annotations(d, s, t, m)
+    assert build(docs, sents, toks, mentions).mentions.count() == 3
+    with pytest.raises(ValueError, match="more than once"):
+        build(docs.unionByName(docs.limit(1)), sents, toks, mentions)
+    with pytest.raises(ValueError, match="mention 'Ada'"):
+        build(docs, sents, toks, mentions.withColumn("sent", F.when(F.col("text") == "Ada", 7).otherwise(F.col("sent"))))
+    with pytest.raises(ValueError, match="token"):
+        build(docs, sents, toks.withColumn("sent", F.lit(-1)), mentions)
+
+
+def test_places_and_metadata(spark):
+    docs = corpus.from_texts(spark, ["Ada met Bo. Rome?", "Bo."], meta=[{"by": "x"}, {"by": "y"}])
+    n = NetworkPipeline(Gazetteer({"P": ["Ada", "Bo"], "L": ["Rome"]})).run(docs)
+    assert n.document(0)["meta"] == {"by": "x"} and n.document(1)["n_sentences"] == 1 and n.sentence(0, 1)["text"] == "Rome?"
+    assert n.mention(2)["sent"] == 1 and [(r.doc_id, r.sent) for r in n.numbered_sentences().orderBy("sentence_id").collect()] == [(0, 0), (0, 1), (1, 0)]
+    for missing in (lambda: n.document(9), lambda: n.sentence(0, 9), lambda: n.mention(9)):
+        with pytest.raises(KeyError):
+            missing()
+    more = corpus.add(docs, "A third one.", meta={"by": "z"})
+    assert {r.doc_id for r in more.collect()} == {0, 1, 2} and corpus.get(more, 2)["meta"] == {"by": "z"}
+    with pytest.raises(ValueError):
+        corpus.add(docs, "again", 1)
+
+
+def test_stop_words():
+    assert len(STOPWORDS) == len(set(STOPWORDS)) == 184 and "now" not in STOPWORDS and {"two", "you've", "also"} <= set(STOPWORDS)
+
+
+def test_files_in_order(spark, tmp_path):
+    for name, lines in (("b", 3), ("a", 4000), ("c", 50)):
+        (tmp_path / f"{name}.txt").write_text("\n".join(f"{name} {k}" for k in range(lines)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        rows = corpus.from_txt(spark, str(tmp_path)).orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.text for r in rows] == [f"{name} {k}" for name, lines in (("a", 4000), ("b", 3), ("c", 50)) for k in range(lines)]
+    assert [r.doc_id for r in rows] == list(range(4053))

@@ -20,7 +20,7 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", ["seg_sentences", "gazetteer_mentions", "edges_exponential", "load_weights", "rank_documents", "contexts", "graph_export_edges", "rel_edges", "conversation_edges"])
+@pytest.mark.parametrize("name", ["seg_sentences", "gazetteer_mentions", "edges_exponential", "load_weights", "rank_documents", "contexts", "graph_export_edges", "rel_edges", "conversation_edges", "gazetteer_longest", "token_ranges", "unfinished_batch", "tagged_terms"])
 def test_sql_gives_the_same(spark, sql, name):
     df = plans.queries()[name](spark, str(DATA))
     cursor = sql.execute(plans.oracle_sql()[name])

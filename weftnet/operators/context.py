@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection
+from collections.abc import Callable, Collection, Iterable
 
 import numpy as np
 import pandas as pd
@@ -119,9 +119,13 @@ class EdgeClusterer:
         """Clusters of one pair; none if it has no cooccurrence."""
         return self._cluster(network, network.cooccurrences(a, b))
 
-    def cluster_edges(self, network: Network, min_weight: float = 0.0, top_k: int | None = None) -> DataFrame:
-        """Clusters of the edges that edge_table gives: src, dst, label, size, weight, members, centroid."""
-        edges = network.edge_table(min_weight, top_k).select("src", "dst")
+    def cluster_edges(self, network: Network, min_weight: float = 0.0, top_k: int | None = None, pairs: Iterable[tuple] | None = None) -> DataFrame:
+        """Clusters of the given pairs of entities, or else of the edges that edge_table gives: src, dst, label, size, weight, members, centroid."""
+        if pairs is None:
+            edges = network.edge_table(min_weight, top_k).select("src", "dst")
+        else:
+            ids = sorted({tuple(sorted((network.entity(a)["entity_id"], network.entity(b)["entity_id"]))) for a, b in pairs})
+            edges = network.spark.createDataFrame(ids, "src long, dst long")
         pairs = network.all_cooccurrences().withColumns({"src": F.least("a", "b"), "dst": F.greatest("a", "b")})
         return self._cluster(network, pairs.join(edges, ["src", "dst"], "left_semi"))
 

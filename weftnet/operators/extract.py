@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
@@ -10,14 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftnet.functions.text import SPACE, WORD, let, running_starts, sentence_array, token_array
-from weftnet.operators.segment import token_columns
+from weftnet.functions.text import STOPWORDS
+from weftnet.operators.segment import _token_rows, columns_of, in_rows, sentence_spans
 
+ANNOTATED_SCHEMA = "kind string, place int, sent int, start int, end int, text string, label string, is_stop boolean, is_punct boolean"
 SPANS_SCHEMA = "start int, end int, label string, score double, text string"
-#: Dictionaries up to this many surfaces become one pattern; larger ones are joined by their first word.
-PATTERN_SURFACES = 2000
-#: Dictionary rows that may be sent to every executor.
-BROADCAST_SURFACES = 200_000
+#: Dictionaries up to this many surfaces go to every worker (some 50 MB); larger ones are joined by their first words.
+WORKER_SURFACES = 200_000
+_HEAD = re.compile(r"\w+|[^\w\s]")
 
 
 class Gazetteer:
@@ -42,30 +43,12 @@ class Gazetteer:
     def labels(self) -> frozenset[str]:
         return frozenset(self.label_of.values())
 
-    def pattern(self) -> str:
-        """Java pattern: the longest surface at each place, never inside a word.
-
-        Surfaces that start alike share that start, so that few of them are tried at a place; going on is tried before ending.
-        """
-        top: dict = {}
-        for form in map(self.key, self.forms):
-            node = top
-            for c in form:
-                node = node.setdefault(c, {})
-            node[""] = {}
-
-        def shown(node: dict) -> str:
-            branches = [re.sub(r"([^\w\s])", r"\\\1", c) + shown(node[c]) for c in sorted(node) if c]
-            if not branches:
-                return ""
-            body = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
-            return f"{body}?" if "" in node else body
-
-        return rf"{'' if self.case_sensitive else '(?iu)'}(?<![{WORD}])(?:{shown(top)})(?![{WORD}])"
-
     def spans(self, docs: DataFrame) -> DataFrame:
         """(doc_id, start, end, label, score, text): non-overlapping matches from left to right, the longest at each place."""
-        return self._by_pattern(docs) if len(self.label_of) <= PATTERN_SURFACES else self._by_join(docs)
+        if len(self.label_of) > WORKER_SURFACES:
+            return self._by_join(docs)
+        matcher = Matcher(self)
+        return in_rows(docs, columns_of(SPANS_SCHEMA), lambda text: [(a, b, label, 1.0, text[a:b]) for a, b, label in matcher.matches(text)])
 
     def _table(self, docs: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame(list(self.label_of.items()), "key string, label string")
@@ -73,58 +56,45 @@ class Gazetteer:
     def _key(self, text: Column) -> Column:
         return text if self.case_sensitive else F.lower(text)
 
-    def span_array(self, text: Column) -> Column:
-        """Array of (start, end, text) of the matches in a text: what is matched and what lies between give the places."""
-        both = F.struct(F.regexp_extract_all(text, F.lit(self.pattern()), F.lit(0)).alias("found"), F.split(text, self.pattern(), -1).alias("gaps"))
-
-        def placed(b: Column) -> Column:
-            steps = F.zip_with(b["found"], F.slice(b["gaps"], 1, F.size(b["found"])), lambda m, g: F.length(m) + F.length(g))
-            ends = F.slice(running_starts(steps), 2, F.size(b["found"]))
-            return F.zip_with(b["found"], ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("text")))
-
-        return let(both, placed)
+    def annotate(self, docs: DataFrame) -> DataFrame | None:
+        """A row for each sentence, token and mention of documents under the default segmentation, by its kind: s, t or m.
 
-    def _by_pattern(self, docs: DataFrame) -> DataFrame:
-        text = F.coalesce(F.col("text"), F.lit(""))
-        spans = docs.select("doc_id", F.explode(self.span_array(text)).alias("_m"))
-        return self._labelled(spans.select("doc_id", "_m.*"), F.broadcast(self._table(docs)))
-
-    def annotate(self, docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-        """(tokens without covered ones, mentions) of documents under the default segmentation; None for large dictionaries.
-
-        All of it is worked out within a document's row, without any exchange: places of sentences and of matches, the
-        sentence of each match, and which tokens no match overlaps.
+        One pass over the texts gives all three: doc_id, kind, place (its number in the document), sent, start, end, text, label,
+        is_stop, is_punct. Tokens that a mention overlaps are left out. None for dictionaries that don't fit a worker.
         """
-        if len(self.label_of) > PATTERN_SURFACES:
+        if len(self.label_of) > WORKER_SURFACES:
             return None
-        rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        rows = rows.select("doc_id", sentence_array(F.col("text")).alias("_sents"), self.span_array(F.col("text")).alias("_spans"))
-        found = rows.filter(F.size("_spans") > 0).select("doc_id", F.transform("_sents", lambda s: s["start"]).alias("_starts"), F.posexplode("_spans").alias("ord", "_m"))
-        sent = F.greatest(F.size(F.filter("_starts", lambda s: s <= F.col("_m.start"))) - 1, F.lit(0))
-        found = found.select("doc_id", "ord", sent.alias("sent"), "_m.*")
-        names = F.broadcast(self._table(docs))
-        mentions = found.join(names, self._key(F.col("text")) == names["key"]).select("doc_id", "ord", "sent", "start", "end", "text", "label", F.lit(1.0).alias("score"), F.lit(-1).alias("token_start"), F.lit(-1).alias("token_end"))
-        all_tokens = token_array(F.col("_sents"))
-        places = F.transform(all_tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("t")))
-        free = F.filter(places, lambda p: ~F.exists("_spans", lambda s: (p["t"]["start"] < s["end"]) & (p["t"]["end"] > s["start"])))
-        kept = rows.select("doc_id", F.explode(F.when(F.size("_spans") == 0, places).otherwise(free)).alias("_p"))
-        return token_columns(kept.select("doc_id", F.col("_p.pos").alias("pos"), F.col("_p.t").alias("_t"))), mentions
+        matcher, stop = Matcher(self), frozenset(STOPWORDS)
+
+        def rows(text: str) -> list[tuple]:
+            sents = sentence_spans(text)
+            found = matcher.matches(text)
+            out = [("s", i, i, a, b, text[a:b], "", False, False) for i, (a, b) in enumerate(sents)]
+            starts = [a for a, _ in sents]
+            out += [("m", k, max(0, bisect_right(starts, a) - 1), a, b, text[a:b], label, False, False) for k, (a, b, label) in enumerate(found)]
+            at = 0
+            for (a, b), row in _token_rows(text, sents, stop):
+                while at < len(found) and found[at][1] <= a:
+                    at += 1
+                if at == len(found) or found[at][0] >= b:
+                    out.append(("t", *row[:5], "", *row[5:7]))
+            return out
+
+        return in_rows(docs, columns_of(ANNOTATED_SCHEMA), rows)
 
     def _labelled(self, spans: DataFrame, names: DataFrame) -> DataFrame:
         return spans.join(names, self._key(F.col("text")) == names["key"]).select("doc_id", "start", "end", "label", F.lit(1.0).alias("score"), "text")
 
     def _by_join(self, docs: DataFrame) -> DataFrame:
         """Words of the text meet surfaces by their first word; what really stands there stays; then the leftmost-longest are taken."""
-        head = rf"[{WORD}]+|[^{WORD}{SPACE}]"
         text = F.coalesce(F.col("text"), F.lit(""))
-        names = self._table(docs).withColumn("_head", F.regexp_extract("key", head, 0))
-        names = F.broadcast(names) if len(self.label_of) <= BROADCAST_SURFACES else names
-        pieces = F.regexp_extract_all(text, F.lit(rf"{head}|[{SPACE}]+"), F.lit(0))
-        starts = running_starts(F.transform(pieces, lambda p: F.length(p)))
-        words = docs.select("doc_id", text.alias("_text"), F.posexplode(F.arrays_zip(pieces.alias("p"), F.slice(starts, 1, F.size(pieces)).alias("at"))).alias("_n", "_w"))
-        words = words.select("doc_id", "_text", F.col("_w.at").alias("start"), self._key(F.col("_w.p")).alias("_head")).filter(~F.col("_head").rlike(rf"^[{SPACE}]"))
-        near = words.join(names, "_head").withColumn("text", F.substring(F.col("_text"), F.col("start") + 1, F.length("key")))
-        inside = lambda c: F.coalesce(c, F.lit("")).rlike(rf"^[{WORD}]$")
+        names = self._table(docs)
+        heads = in_rows(names.select(F.col("key").alias("doc_id"), F.col("key").alias("text")), {"head": "string"}, lambda key: [(_HEAD.search(key)[0],)])
+        names = names.join(heads.withColumnRenamed("doc_id", "key"), "key").withColumnRenamed("head", "_head")
+        low = (lambda w: w) if self.case_sensitive else str.lower
+        words = in_rows(docs, {"start": "int", "_head": "string"}, lambda text: [(m.start(), low(m[0])) for m in _HEAD.finditer(text)])
+        near = words.join(names, "_head").join(docs.select("doc_id", text.alias("_text")), "doc_id").withColumn("text", F.substring(F.col("_text"), F.col("start") + 1, F.length("key")))
+        inside = lambda c: F.coalesce(c, F.lit("")).rlike(r"^[\p{L}\p{N}_]$")
         before = F.when(F.col("start") > 0, F.substring(F.col("_text"), F.col("start"), F.lit(1)))
         after = F.substring(F.col("_text"), F.col("start") + F.length("key") + 1, F.lit(1))
         near = near.filter((self._key(F.col("text")) == F.col("key")) & ~inside(before) & ~inside(after))
@@ -139,6 +109,38 @@ class Gazetteer:
         return self._labelled(spans, names.select("key", "label"))
 
 
+class Matcher:
+    """A dictionary on a worker: the surfaces by their first word or sign, the longest first."""
+
+    def __init__(self, gazetteer: Gazetteer):
+        self.case_sensitive = gazetteer.case_sensitive
+        self.label_of = gazetteer.label_of
+        self.by_head: dict[str, list[str]] = {}
+        for key in sorted(self.label_of, key=lambda k: (-len(k), k)):
+            self.by_head.setdefault(_HEAD.search(key)[0], []).append(key)
+
+    def matches(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, label): from left to right, the longest at each place, never inside a word."""
+        found, free = [], 0
+        for m in _HEAD.finditer(text):
+            at = m.start()
+            keys = self.by_head.get(m[0] if self.case_sensitive else m[0].lower())
+            if keys is None or at < free or at and _is_word(text[at - 1]) and not _is_word(m[0][0]):
+                continue
+            for key in keys:
+                end = at + len(key)
+                own = text[at:end]
+                if (own if self.case_sensitive else own.lower()) == key and not (end < len(text) and _is_word(text[end])):
+                    found.append((at, end, self.label_of[key]))
+                    free = end
+                    break
+        return found
+
+
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
 class SpanExtractor:
     """Base of extractors that run Python on the workers. extract_spans gives, for each text, (start, end, label, score[, text]) tuples."""
 

@@ -46,13 +46,23 @@ class Network:
     # building, keeping, reading
 
     @classmethod
-    def from_annotations(cls, documents: DataFrame, sentences: DataFrame, tokens: DataFrame, mentions: DataFrame, config: NetworkConfig | None = None, normalise: Normaliser = normal_name, aliases: DataFrame | None = None) -> Network:
+    def from_annotations(cls, documents: DataFrame, sentences: DataFrame, tokens: DataFrame, mentions: DataFrame, config: NetworkConfig | None = None, normalise: Normaliser = normal_name, aliases: DataFrame | None = None, check: bool = True) -> Network:
         """Network of annotated documents.
 
         documents: doc_id; sentences: doc_id, sent, start, end, text; tokens (as of segment.tokens, without those that mentions cover);
-        mentions: doc_id, ord, sent, start, end, text, label, score. doc_id gives the order of documents and must be unique.
+        mentions: doc_id, ord, sent, start, end, text, label, score. doc_id gives the order of documents and must be unique. A
+        repeated doc_id, and a mention or a token of a sentence that its document hasn't, are a ValueError; check=False leaves the
+        latter out, for annotations that are right as they are made. A map column meta of documents is kept.
         """
         config = config or NetworkConfig()
+        if twice := documents.groupBy("doc_id").count().filter("count > 1").limit(1).collect():
+            raise ValueError(f"document id {twice[0]['doc_id']!r} occurs more than once")
+        if check:
+            counted = sentences.groupBy("doc_id").agg(F.count("*").alias("_n"))
+            for kind, rows in (("mention", mentions), ("token", tokens)):
+                bad = rows.select("doc_id", "sent", "text").join(counted, "doc_id", "left").filter("sent < 0 or sent >= coalesce(_n, 0)")
+                if found := bad.limit(1).collect():
+                    raise ValueError(f"{kind} {found[0]['text']!r} of document {found[0]['doc_id']!r} is in sentence {found[0]['sent']}, but the document has {found[0]['_n'] or 0}")
         named = staged(build.named_mentions(mentions, normalise, aliases), "named")
         entities = staged(build.entity_vocabulary(named), "entities")
         known = entities.select("entity_id", "norm", "label")
@@ -69,7 +79,7 @@ class Network:
         histogram = staged(build.cooccurrence_histogram(entity_side, config.window), "histogram")
         pairs = staged(build.entity_term_counts(entity_side, term_side), "entity_terms")
         sentences = staged(sentences if config.store_text else sentences.withColumn("text", F.lit(None).cast("string")), "sentences")
-        sizes = documents.select("doc_id").join(sentences.groupBy("doc_id").agg(F.count("*").alias("n_sentences")), "doc_id", "left").withColumn("n_sentences", F.coalesce("n_sentences", F.lit(0).cast("long")))
+        sizes = documents.select("doc_id", *[c for c in ("meta",) if c in documents.columns]).join(sentences.groupBy("doc_id").agg(F.count("*").alias("n_sentences")), "doc_id", "left").withColumn("n_sentences", F.coalesce("n_sentences", F.lit(0).cast("long")))
         sizes = staged(sizes, "documents")
         return cls(config, sizes, sentences, entities.drop("first_doc", "first_ord"), terms.drop("first_doc", "first_pos"), placed.drop("ord"), found, histogram, pairs, normalise)
 
@@ -235,6 +245,30 @@ class Network:
 
     # places
 
+    def document(self, doc_id) -> Row:
+        """A document's row: doc_id, meta where the documents had it, n_sentences; KeyError without one."""
+        row = self.documents.filter(F.col("doc_id") == doc_id).first()
+        if row is None:
+            raise KeyError(doc_id)
+        return row
+
+    def sentence(self, doc_id, sent: int) -> Row:
+        """A sentence by its document and its number there."""
+        row = self.sentences.filter((F.col("doc_id") == doc_id) & (F.col("sent") == sent)).first()
+        if row is None:
+            raise KeyError((doc_id, sent))
+        return row
+
+    def mention(self, mention_id: int) -> Row:
+        row = self.mentions.filter(F.col("mention_id") == mention_id).first()
+        if row is None:
+            raise KeyError(mention_id)
+        return row
+
+    def numbered_sentences(self) -> DataFrame:
+        """sentences with sentence_id: 0, 1, ... in document order."""
+        return dense_ids(self.sentences, ["doc_id", "sent"], "sentence_id")
+
     def mentions_of(self, ref) -> DataFrame:
         return self.mentions.filter(F.col("entity_id") == self.entity(ref)["entity_id"]).orderBy("mention_id")
 
@@ -341,9 +375,9 @@ class Network:
 
     def summary(self, top: int = 10) -> str:
         s = self.sizes().first()
-        lines = [", ".join(f"{s[c]} {c[2:]}" for c in s.asDict()), "entities:"]
-        lines += [f"  {r['count']:6d}  {r['text']} [{r['label']}]" for r in self.top_entities(top).collect()]
-        lines += ["edges:"] + [f"  {r['weight']:8.3f}  {r['source_text']} [{r['source_label']}] -- {r['target_text']} [{r['target_label']}]  (n={r['count']})" for r in self.edges(top_k=top).collect()]
+        lines = ["table\trows", *[f"{name.removeprefix('n_')}\t{n}" for name, n in s.asDict().items()]]
+        lines += ["", "entity\tlabel\tmentions", *["\t".join(map(str, (r["text"], r["label"], r["count"]))) for r in self.top_entities(top).collect()]]
+        lines += ["", "from\tto\tweight\tcooccurrences", *[f"{r['source_text']}\t{r['target_text']}\t{r['weight']:.6g}\t{r['count']}" for r in self.edges(top_k=top).collect()]]
         return "\n".join(lines)
 
 

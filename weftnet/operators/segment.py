@@ -7,43 +7,89 @@ from collections.abc import Callable, Collection, Iterator
 from typing import Any, NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftnet.functions.text import STOPWORDS, is_punctuation, sentence_array, token_array
+from weftnet.functions.text import BOUNDARY, STOPWORDS, TOKEN
 
 SENTENCES_SCHEMA = "sent int, start int, end int, text string"
 TOKENS_SCHEMA = "pos int, sent int, start int, end int, text string, is_stop boolean, is_punct boolean, is_space boolean, pos_tag string, lemma string"
 
 
+_BOUNDARY, _TOKEN = re.compile(BOUNDARY), re.compile(TOKEN)
+
+
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of a text's sentences under the default boundaries, in order, by code points; blank ones are left out."""
+    found, at = [], 0
+    for m in [*_BOUNDARY.finditer(text), None]:
+        end = len(text) if m is None else m.start() + len(m[1] or "")
+        own = text[at:end]
+        if kept := own.strip():
+            start = at + len(own) - len(own.lstrip())
+            found.append((start, start + len(kept)))
+        at = len(text) if m is None else m.end()
+    return found
+
+
+def token_spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(start, end) of the tokens of a sentence."""
+    return [m.span() for m in _TOKEN.finditer(text, start, end)]
+
+
+def in_rows(docs: DataFrame, columns: dict[str, str], rows: Callable[[str], list[tuple]]) -> DataFrame:
+    """(doc_id, text) -> doc_id and columns (name: type): the tuples that rows gives for each text, made in Arrow batches.
+
+    A batch is cut where it has some 200,000 rows, so that a very long text, or many, don't make one large batch.
+    """
+    schema = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner: list[int] = []
+            found: list[tuple] = []
+
+            def rows_so_far() -> pa.RecordBatch:
+                made = [pa.array(c, schema[k]) for c, k in zip(zip(*found, strict=True), columns.values(), strict=True)] if found else [pa.array([], schema[k]) for k in columns.values()]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), *made], names=["doc_id", *columns])  # noqa: B023
+
+            for i, text in enumerate(batch.column(1)):
+                own = rows(text.as_py() or "")
+                found += own
+                owner += [i] * len(own)
+                if len(found) >= 200_000:
+                    yield rows_so_far()
+                    owner, found = [], []
+            yield rows_so_far()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} {k}" for c, k in columns.items()))
+
+
+def columns_of(schema: str) -> dict[str, str]:
+    return dict(c.split() for c in schema.split(", "))
+
+
 def sentences(docs: DataFrame) -> DataFrame:
-    """documents (doc_id, text) -> (doc_id, sent, start, end, text) under the default boundaries, all in Column expressions."""
-    rows = docs.select("doc_id", F.posexplode(sentence_array(F.col("text"))).alias("sent", "_s"))
-    return rows.select("doc_id", F.col("sent").cast("int").alias("sent"), F.col("_s.start").cast("int").alias("start"), F.col("_s.end").cast("int").alias("end"), "_s.text")
+    """documents (doc_id, text) -> (doc_id, sent, start, end, text) under the default boundaries."""
+    return in_rows(docs, columns_of(SENTENCES_SCHEMA), lambda text: [(i, a, b, text[a:b]) for i, (a, b) in enumerate(sentence_spans(text))])
 
 
 def tokens(docs: DataFrame, stopwords: Collection[str] | None = None) -> DataFrame:
     """documents -> (doc_id, pos, sent, start, end, text, is_stop, is_punct, is_space, pos_tag, lemma) under the default patterns."""
-    return token_columns(docs.select("doc_id", F.posexplode(token_array(sentence_array(F.col("text")))).alias("pos", "_t")), stopwords)
-
-
-def token_columns(rows: DataFrame, stopwords: Collection[str] | None = None) -> DataFrame:
-    """(doc_id, pos, _t), with _t of token_array -> the columns of tokens."""
-    stop = list(STOPWORDS if stopwords is None else {w.lower() for w in stopwords})
-    text = F.col("_t.text")
-    return rows.select(
-        "doc_id",
-        F.col("pos").cast("int").alias("pos"),
-        F.col("_t.sent").cast("int").alias("sent"),
-        F.col("_t.start").cast("int").alias("start"),
-        F.col("_t.end").cast("int").alias("end"),
-        text.alias("text"),
-        (F.lower(text).isin(stop) if stop else F.lit(False)).alias("is_stop"),
-        is_punctuation(text).alias("is_punct"),
-        F.lit(False).alias("is_space"),
-        F.lit("").alias("pos_tag"),
-        F.lit("").alias("lemma"),
-    )
+    stop = frozenset(STOPWORDS if stopwords is None else (w.lower() for w in stopwords))
+    return in_rows(docs, columns_of(TOKENS_SCHEMA), lambda text: [t for _, t in _token_rows(text, sentence_spans(text), stop)])
+
+
+def _token_rows(text: str, sents: list[tuple[int, int]], stop: frozenset[str]) -> Iterator[tuple[tuple[int, int], tuple]]:
+    """((start, end), row of TOKENS_SCHEMA) of each token."""
+    pos = 0
+    for sent, (a, b) in enumerate(sents):
+        for m in _TOKEN.finditer(text, a, b):
+            own = m[0]
+            yield m.span(), (pos, sent, m.start(), m.end(), own, own.lower() in stop, not (own[0].isalnum() or any(c.isalnum() for c in own)), False, "", "")
+            pos += 1
 
 
 class Segmentation(NamedTuple):

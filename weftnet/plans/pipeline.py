@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftnet.config import NetworkConfig
 from weftnet.functions.tables import staged
@@ -49,12 +50,17 @@ class NetworkPipeline:
 
     def run(self, docs: DataFrame) -> Network:
         sents, toks, mentions = self.annotate_for_terms(docs)
-        return Network.from_annotations(docs, sents, toks, mentions, self.config, self.normalise, self.aliases)
+        own = isinstance(self.extractor, Gazetteer) and self.segmenter is None
+        return Network.from_annotations(docs, sents, toks, mentions, self.config, self.normalise, self.aliases, check=not own)
 
     def annotate_for_terms(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Like annotate, with only the tokens that no mention covers; in one row a document where the extractor can."""
-        if isinstance(self.extractor, Gazetteer) and self.segmenter is None and (found := self.extractor.annotate(docs)):
-            return sentences(docs), *found
+        """Like annotate, with only the tokens that no mention covers; texts are read once where the extractor can."""
+        if isinstance(self.extractor, Gazetteer) and self.segmenter is None and (found := self.extractor.annotate(docs)) is not None:
+            found = staged(found, "annotated")
+            sents = found.filter("kind = 's'").select("doc_id", "sent", "start", "end", "text")
+            mentions = found.filter("kind = 'm'").select("doc_id", F.col("place").alias("ord"), "sent", "start", "end", "text", "label", F.lit(1.0).alias("score"), F.lit(-1).alias("token_start"), F.lit(-1).alias("token_end"))
+            toks = found.filter("kind = 't'").select("doc_id", F.col("place").alias("pos"), "sent", "start", "end", "text", "is_stop", "is_punct", F.lit(False).alias("is_space"), F.lit("").alias("pos_tag"), F.lit("").alias("lemma"))
+            return sents, toks, mentions
         sents, toks, mentions = self.annotate(docs)
         mentions = staged(mentions, "aligned")
         return sents, uncovered_tokens(toks, mentions), mentions

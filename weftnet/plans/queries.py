@@ -13,9 +13,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.config import NetworkConfig, decay_values
+from weftnet.config import NetworkConfig, decay_values, register_decay
 from weftnet.functions.tables import dense_ids, shared_dir, staged
-from weftnet.functions.text import CLOSERS, JOINERS, SENTENCE_MARKS, STOPWORDS
 from weftnet.operators import build, segment
 from weftnet.operators.align import align_spans, invalid_rows
 from weftnet.operators.context import EdgeClusterer, bag_of_words
@@ -34,6 +33,8 @@ GAZETTEER = {
 #: Only surfaces of one word take part in the SQL.
 WORDS = {label: [s for s in own if " " not in s] for label, own in GAZETTEER.items()}
 WIDEST = 3
+#: Surfaces of the dictionary that wide_network makes of the commonest longer words.
+WIDE_SURFACES = 12_000
 QUERY = [("thing", "GAMMA"), ("thor", "GAMMA")]
 TABLE = "{}/{}.parquet"
 
@@ -106,17 +107,98 @@ def gazetteer_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gazetteer_longest(spark: SparkSession, d: str) -> DataFrame:
-    """Matches of all surfaces, of several words too, by the join over first words; its rows equal those of the pattern."""
+    """Matches of all surfaces, of several words too, by the join over first words; its rows equal those of the workers' dictionary."""
     docs = _docs(spark, d)
     g = Gazetteer(GAZETTEER)
-    both = g._by_join(docs).select("doc_id", "start", "end", "label", "text", F.lit(1).alias("j"), F.lit(0).alias("p")).unionByName(g._by_pattern(docs).select("doc_id", "start", "end", "label", "text", F.lit(0).alias("j"), F.lit(1).alias("p")))
+    columns = ["doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label", "text"]
+    both = g._by_join(docs).select(*columns, F.lit(1).alias("j"), F.lit(0).alias("p")).unionByName(g.spans(docs).select(*columns, F.lit(0).alias("j"), F.lit(1).alias("p")))
     return both.groupBy("doc_id", "start", "end", "label", "text").agg(F.sum("j").alias("by_join"), F.sum("p").alias("by_pattern"))
 
 
 def token_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Mentions with the range of tokens that each overlaps."""
     docs = _docs(spark, d)
-    return align_spans(Gazetteer(WORDS).spans(docs), segment.sentences(docs), segment.tokens(docs)).select("doc_id", "start", "end", "label", "sent", "token_start", "token_end")
+    found = align_spans(Gazetteer(WORDS).spans(docs), segment.sentences(docs), segment.tokens(docs))
+    return found.select("doc_id", "label", *[F.col(c).cast("long").alias(c) for c in ("start", "end", "sent", "token_start", "token_end")])
+
+
+def mention_table(spark: SparkSession, d: str) -> DataFrame:
+    return network(spark, d).mentions.select("mention_id", "doc_id", "entity_id", *[F.col(c).cast("long").alias(c) for c in ("sent", "start", "end")])
+
+
+def numbered_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return network(spark, d).numbered_sentences().select("sentence_id", "doc_id", F.col("sent").cast("long").alias("sent"))
+
+
+def pair_weights(spark: SparkSession, d: str) -> DataFrame:
+    """weight, count and both importances of a pair of entities, each asked for by itself."""
+    n, (a, b) = network(spark, d), QUERY
+    return spark.createDataFrame([(round(n.weight(a, b), 6), n.count(a, b), round(n.load_weight(a, b), 6), round(n.load_weight(b, a), 6))], "weight double, count long, forth double, back double")
+
+
+def edges_registered(spark: SparkSession, d: str) -> DataFrame:
+    register_decay("halving", lambda delta: 0.5**delta)
+    return _edges(widest(spark, d).reweighted(decay_values("halving", 2)))
+
+
+def _terms(spark: SparkSession, d: str, config: NetworkConfig, **columns) -> DataFrame:
+    tokens = _pipeline().annotate_for_terms(_docs(spark, d))[1].withColumns(columns)
+    return build.term_occurrences(tokens, config).groupBy(F.col("base").alias("text"), F.col("tag").alias("pos")).agg(F.count("*").alias("count"))
+
+
+def all_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms with stop words and punctuation, as they are written."""
+    return _terms(spark, d, NetworkConfig(include_stopwords=True, include_punctuation=True, lowercase_terms=False)).select("text", "count")
+
+
+def tagged_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of some tags only, by their lemmas where they have one."""
+    tag = F.when(F.length("text") > 6, "LONG").when(F.length("text") > 3, "MID").otherwise("SHORT")
+    return _terms(spark, d, NetworkConfig(term_pos=("LONG", "MID")), pos_tag=tag, lemma=F.when(F.length("text") > 6, F.substring("text", 1, 5)).otherwise(F.lit("")))
+
+
+def aliased_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities counted under other names: two become one where their labels agree."""
+    mentions = _pipeline().annotate_for_terms(_docs(spark, d))[2]
+    aliases = spark.createDataFrame([("thing", "thor"), ("heed", "ation"), ("idiot", "license")], "norm string, alias string")
+    return build.named_mentions(mentions, aliases=aliases).groupBy("norm", "label").agg(F.count("*").alias("count"))
+
+
+def txt_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts written as lines of files and read as documents in the files' order."""
+    path = f"{shared_dir(spark)}/weftnet/txt-{uuid.uuid4().hex[:12]}"
+    rows = spark.read.parquet(TABLE.format(d, "benchmark")).repartitionByRange(4, "item_id").sortWithinPartitions("item_id")
+    rows.select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).write.text(path)
+    return corpus.from_txt(spark, path).select("doc_id", "text")
+
+
+def spark_csv_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edge list written by Spark as CSV and read again."""
+    path = f"{shared_dir(spark)}/weftnet/edges-{uuid.uuid4().hex[:12]}"
+    exports.write_edges(network(spark, d), path, "csv")
+    rows = spark.read.csv(path, header=True, schema="source string, source_label string, target string, target_label string, weight double, count long", quote='"', escape='"')
+    return rows.withColumn("weight", F.round("weight", 6))
+
+
+def spark_json_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges written by Spark as JSON; the nodes read again."""
+    path = f"{shared_dir(spark)}/weftnet/graph-{uuid.uuid4().hex[:12]}"
+    exports.write_graph(network(spark, d), path, "json")
+    return spark.read.schema("id string, kind string, text string, norm string, label string, pos string, count long").json(f"{path}/nodes")
+
+
+def wide_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between all longer words of the documents: a dictionary of thousands of surfaces, a network of many edges."""
+    return _edges(wide_network(spark, d).all_edges)
+
+
+def wide_network(spark: SparkSession, d: str) -> Network:
+    words = _docs(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w"))
+    known = words.filter(F.col("w").rlike("^[a-z]{7,9}$")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(WIDE_SURFACES)
+    by_label: dict[str, list[str]] = {}
+    for r in known.collect():
+        by_label.setdefault(f"LENGTH{len(r['w'])}", []).append(r["w"])
+    return NetworkPipeline(Gazetteer(by_label), window=1).run(_docs(spark, d))
 
 
 def edge_invariants(spark: SparkSession, d: str) -> DataFrame:
@@ -171,6 +253,18 @@ def compacted_batches(spark: SparkSession, d: str) -> DataFrame:
     return _edges(store.compact(f"{store.path}-compact").network().all_edges)
 
 
+def unfinished_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Compaction leaves out a batch that stopped before its documents were written, and the first run of one that was repeated."""
+    store, docs = _store(spark), _docs(spark, d)
+    even, odd = (docs.filter(F.pmod(F.col("doc_id"), F.lit(2)) == k) for k in (0, 1))
+    store.add(odd, 0)
+    store.add(even, 0)
+    store.add(odd, 1)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store.path}/documents/batch=1")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return _edges(store.compact(f"{store.path}-compact").network().all_edges)
+
+
 def stream_merge(spark: SparkSession, d: str) -> DataFrame:
     """The documents as files that arrive in a folder, a few in each micro-batch."""
     store = _store(spark)
@@ -256,6 +350,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gazetteer_mentions": gazetteer_mentions,
         "gazetteer_longest": gazetteer_longest,
         "token_ranges": token_ranges,
+        "mention_table": mention_table,
+        "numbered_sentences": numbered_sentences,
+        "pair_weights": pair_weights,
+        "edges_registered": edges_registered,
+        "all_terms": all_terms,
+        "tagged_terms": tagged_terms,
+        "aliased_entities": aliased_entities,
+        "unfinished_batch": unfinished_batch,
+        "txt_round_trip": txt_round_trip,
+        "spark_csv_edges": spark_csv_edges,
+        "spark_json_nodes": spark_json_nodes,
+        "wide_edges": wide_edges,
         "term_counts": on(lambda n: n.terms.select("text", "count")),
         "top_terms": on(lambda n: n.top_terms(20).select("term_id", "text", "count")),
         "entity_counts": on(lambda n: n.entities.select(*named)),
@@ -312,25 +418,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+# Fixed values of the SQL's own: white space, word characters, sentence marks, what may close a sentence, what joins words, stop words.
 _SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _WORD = r"\p{L}\p{N}_"
+_MARKS, _CLOSERS, _JOINERS = ".!?\u2026", "\"'\u201d\u2019)\\]", "-'\u2019"
+_STOP = """
+    a about above after again against all am an and any are aren't as at be because been
+    before being below between both but by can can't cannot could couldn't did didn't do does
+    doesn't doing don't down during each few for from further had hadn't has hasn't have haven't
+    having he he'd he'll he's her here here's hers herself him himself his how how's i i'd i'll
+    i'm i've if in into is isn't it it's its itself let's me more most mustn't my myself no nor
+    not of off on once only or other ought our ours ourselves out over own same shan't she she'd
+    she'll she's should shouldn't so some such than that that's the their theirs them themselves
+    then there there's these they they'd they'll they're they've this those through to too under
+    until up very was wasn't we we'd we'll we're we've were weren't what what's when when's where
+    where's which while who who's whom why why's with won't would wouldn't you you'd you'll you're
+    you've your yours yourself yourselves also just may might must shall will one two
+""".split()
 
 
 def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _base(docs: str = "documents") -> str:
+def _base(docs: str = "documents", gazetteer: str | None = None) -> str:
     """Common table expressions from documents to edges; later ones may use earlier ones."""
-    gazetteer = ", ".join(f"({_text(s)}, {_text(label)})" for label, own in WORDS.items() for s in own)
+    gazetteer = "VALUES " + ", ".join(f"({_text(s)}, {_text(label)})" for label, own in WORDS.items() for s in own) if gazetteer is None else gazetteer
     known = ", ".join(_text(s) for own in WORDS.values() for s in own)
-    stop = ", ".join(map(_text, STOPWORDS))
-    boundary = _text(rf"([{SENTENCE_MARKS}][{CLOSERS}]*)[{_SPACE}]+|\n+")
+    stop = ", ".join(map(_text, _STOP))
+    boundary = _text(rf"([{_MARKS}][{_CLOSERS}]*)[{_SPACE}]+|\n+")
     ends = _text(rf"^[{_SPACE}]+|[{_SPACE}]+$")
-    token = _text(rf"[{_WORD}]+(?:[{JOINERS}][{_WORD}]+)*|[^{_WORD}{_SPACE}]")
+    token = _text(rf"[{_WORD}]+(?:[{_JOINERS}][{_WORD}]+)*|[^{_WORD}{_SPACE}]")
     word = _text(f"[{_WORD}]+")
     return rf"""
-WITH gaz(key, glabel) AS (VALUES {gazetteer}),
+WITH gaz(key, glabel) AS ({gazetteer}),
 split AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, {boundary}, '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, {ends}, '', 'g')), lambda x: x <> '') AS l FROM {docs} WHERE doc_id IS NOT NULL),
 sents AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS sent FROM split),
 runs AS (SELECT doc_id, sent, unnest(regexp_extract_all(text, {word})) AS w, generate_subscripts(regexp_extract_all(text, {word}), 1) AS i FROM sents),
@@ -373,6 +494,37 @@ sc AS (SELECT doc_id, sent, coalesce(c, 0) AS c, coalesce(s, 0) AS s FROM coh FU
 
 _PAIR = "SELECT doc_id, source, target, delta, round(exp(-delta), 6) AS weight{} FROM inst WHERE delta <= 2 AND a IN (SELECT entity_id FROM q) AND b IN (SELECT entity_id FROM q)"
 
+
+
+def _free(token: str) -> str:
+    """That no word of a token is in the dictionary."""
+    known = ", ".join(_text(s) for own in WORDS.values() for s in own)
+    return f"len(list_filter(regexp_extract_all({token}, '[{_WORD}]+'), lambda x: lower(x) IN ({known}))) = 0"
+
+
+#: Sentences, mentions and tokens with their places in the text; chr(1) is put where a sentence ends, before the white space.
+_PLACED = rf""", chunks AS (SELECT doc_id, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, {_text(rf"([{_MARKS}][{_CLOSERS}]*)([{_SPACE}]+)|(\n+)")}, '\1' || chr(1) || '\2\3', 'g'), chr(1)) AS c FROM documents WHERE doc_id IS NOT NULL)),
+cut AS (SELECT doc_id, i, sum(length(c)) OVER (PARTITION BY doc_id ORDER BY i) - length(c) + length(regexp_extract(c, '^[{_SPACE}]*')) AS s_start, regexp_replace(c, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') AS text FROM chunks),
+psents AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent, s_start, text FROM cut WHERE text <> ''),
+pwords AS (SELECT doc_id, sent, s_start, unnest(p) AS w, generate_subscripts(p, 1) AS k FROM (SELECT *, regexp_extract_all(text, '[{_WORD}]+|[^{_WORD}]+') AS p FROM psents)),
+pments AS (SELECT doc_id, sent, CAST(start AS BIGINT) AS start, CAST(start + length(w) AS BIGINT) AS "end", w AS text, glabel AS label FROM (SELECT *, s_start + sum(length(w)) OVER (PARTITION BY doc_id, sent ORDER BY k) - length(w) AS start FROM pwords) JOIN gaz ON lower(w) = key),
+pieces AS (SELECT doc_id, sent, s_start, unnest(p) AS w, generate_subscripts(p, 1) AS k FROM (SELECT *, regexp_extract_all(text, {_text(rf"[{_WORD}]+(?:[{_JOINERS}][{_WORD}]+)*|[^{_WORD}{_SPACE}]|[{_SPACE}]+")}) AS p FROM psents)),
+ptoks AS (SELECT doc_id, sent, row_number() OVER (PARTITION BY doc_id ORDER BY sent, k) - 1 AS pos, t_start, t_start + length(w) AS t_end FROM (SELECT *, s_start + sum(length(w)) OVER (PARTITION BY doc_id, sent ORDER BY k) - length(w) AS t_start FROM pieces) WHERE NOT regexp_matches(w, '^[{_SPACE}]')),
+m2 AS (SELECT mention_id, doc_id, entity_id, row_number() OVER (PARTITION BY doc_id ORDER BY mention_id) - 1 AS ord FROM m)"""
+
+#: Single words of the dictionary, and "the the" where it stands: in a row of the same word each two make one.
+_LONGEST = rf"""
+WITH gaz(key, label) AS (VALUES {", ".join(f"({_text(s)}, {_text(label)})" for label, own in WORDS.items() for s in own)}),
+pieces AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[{_WORD}]+|[^{_WORD}]+') AS p FROM documents WHERE doc_id IS NOT NULL)),
+placed AS (SELECT *, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY k) - length(w) AS start FROM pieces),
+the AS (SELECT doc_id, k, start, w, coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k) = k - 2, false) AS near FROM placed WHERE lower(w) = 'the'),
+joined AS (SELECT t.*, t.near AND g.w = ' ' AS goes_on FROM the t LEFT JOIN placed g ON g.doc_id = t.doc_id AND g.k = t.k - 1),
+island AS (SELECT *, sum(CASE WHEN coalesce(goes_on, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM joined),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY k) AS r FROM island),
+found AS (SELECT doc_id, start, start + length(w) AS e, label, w AS text FROM placed JOIN gaz ON lower(w) = key
+  UNION ALL SELECT a.doc_id, a.start, b.start + 3, 'ALPHA', a.w || ' ' || b.w FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND a.n = b.n AND b.r = a.r + 1 WHERE a.r % 2 = 1)
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", label, text, CAST(1 AS BIGINT) AS by_join, CAST(1 AS BIGINT) AS by_pattern FROM found"""
+
 _REL = """
 WITH names AS (SELECT l_orderkey AS doc_id, l_linenumber AS sent, unnest(['BRAND|' || p_brand, 'NATION|' || n_name]) AS e, l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 inc AS (SELECT doc_id, sent, e, count(*) AS n FROM names GROUP BY ALL)"""
@@ -437,7 +589,24 @@ def oracle_sql() -> dict[str, str]:
         "compacted_batches": " " + default,
         "stream_merge": " " + default,
     }
+    own |= {
+        "numbered_sentences": " SELECT row_number() OVER (ORDER BY doc_id, sent) - 1 AS sentence_id, doc_id, sent FROM sents",
+        "pair_weights": ", p AS (SELECT (SELECT entity_id FROM q1) AS a, (SELECT entity_id FROM q WHERE entity_id <> (SELECT entity_id FROM q1)) AS b) SELECT coalesce((SELECT round(edges.weight, 6) FROM edges, p WHERE src = least(a, b) AND dst = greatest(a, b)), 0.0) AS weight, coalesce((SELECT count FROM edges, p WHERE src = least(a, b) AND dst = greatest(a, b)), 0) AS count, coalesce((SELECT round(loads.weight, 6) FROM loads, p WHERE src = a AND dst = b), 0.0) AS forth, coalesce((SELECT round(loads.weight, 6) FROM loads, p WHERE src = b AND dst = a), 0.0) AS back",
+        "edges_registered": " " + _edge_sql("pow(0.5, delta)"),
+        "all_terms": f" SELECT t AS text, count(*) AS count FROM toks WHERE {_free('t')} GROUP BY t",
+        "tagged_terms": f" SELECT CASE WHEN length(t) > 6 THEN lower(t[1:5]) ELSE lower(t) END AS text, CASE WHEN length(t) > 6 THEN 'LONG' ELSE 'MID' END AS pos, count(*) AS count FROM flags WHERE length(t) > 3 AND NOT is_stop AND NOT is_punct AND {_free('t')} GROUP BY ALL",
+        "aliased_entities": " SELECT CASE norm WHEN 'thing' THEN 'thor' WHEN 'heed' THEN 'ation' WHEN 'idiot' THEN 'license' ELSE norm END AS norm, label, count(*) AS count FROM ments GROUP BY ALL",
+        "spark_csv_edges": " SELECT x.text AS source, x.label AS source_label, y.text AS target, y.label AS target_label, round(edges.weight, 6) AS weight, edges.count AS count FROM edges JOIN ents x ON src = x.entity_id JOIN ents y ON dst = y.entity_id",
+        "spark_json_nodes": f" SELECT {node} AS id, 'entity' AS kind, text, norm, label, CAST(NULL AS VARCHAR) AS pos, count FROM ents",
+        "mention_table": _PLACED + " SELECT mention_id, doc_id, entity_id, sent, start, \"end\" FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS ord FROM pments) JOIN m2 USING (doc_id, ord)",
+        "token_ranges": _PLACED + " SELECT doc_id, label, start, \"end\", sent, min(pos) AS token_start, max(pos) + 1 AS token_end FROM pments JOIN ptoks USING (doc_id, sent) WHERE t_end > start AND t_start < \"end\" GROUP BY ALL",
+    }
     found = {name: base + sql for name, sql in own.items()}
+    found["unfinished_batch"] = _base("evens").replace("WITH gaz", "WITH evens AS (SELECT * FROM documents WHERE doc_id % 2 = 0), gaz", 1) + " " + default
+    found["gazetteer_longest"] = _LONGEST
+    wide = rf"SELECT w, 'LENGTH' || length(w) FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[{_WORD}]+')) AS w FROM documents WHERE doc_id IS NOT NULL) WHERE regexp_full_match(w, '[a-z]{{7,9}}') GROUP BY w ORDER BY n DESC, w LIMIT {WIDE_SURFACES})"
+    found["wide_edges"] = _base(gazetteer=wide) + " " + _edge_sql("exp(-delta)", 1)
+    found["txt_round_trip"] = rf"SELECT row_number() OVER (ORDER BY item_id) - 1 AS doc_id, text FROM (SELECT item_id, regexp_replace(regexp_replace(text, '[\r\n]+', ' ', 'g'), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') AS text FROM benchmark) WHERE text <> ''"
     talks = _base("talks").replace("WITH gaz", "WITH talks AS (SELECT row_number() OVER (ORDER BY conv_id) - 1 AS doc_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id), gaz", 1)
     found["conversation_edges"] = talks + " SELECT x.text AS source, x.label AS source_label, y.text AS target, y.label AS target_label, round(edges.weight, 6) AS weight, edges.count AS count FROM edges JOIN ents x ON src = x.entity_id JOIN ents y ON dst = y.entity_id"
     found["edge_components"] = base.replace("WITH gaz", "WITH RECURSIVE gaz", 1) + """, ends AS (SELECT x.norm || '|' || x.label AS a, y.norm || '|' || y.label AS b FROM dire JOIN ents x ON src = x.entity_id JOIN ents y ON dst = y.entity_id),

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftnet.functions.tables import dense_ids
@@ -35,40 +35,53 @@ def from_txt(spark: SparkSession, path: str, delimiter: str = "\n", encoding: st
     Blocks are records of Spark's text reader, so a large file is read in splits.
     """
     if encoding.upper().replace("-", "") != "UTF8":
-        raw = spark.read.format("binaryFile").load(path).select(F.explode(F.split(F.decode("content", encoding), re.escape(delimiter))).alias("value"), F.col("path").alias("_file"))
-        rows = raw.withColumn("_at", F.monotonically_increasing_id())
+        blocks = F.posexplode(F.split(F.decode("content", encoding), re.escape(delimiter))).alias("_at", "value")
+        rows = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_file"), F.lit(0).alias("_split"), blocks)
     else:
-        rows = spark.read.text(path, lineSep=delimiter).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    rows = rows.select(strip(F.col("value")).alias("text"), "_file", "_at").filter("text <> ''")
-    return dense_ids(rows, ["_at"], "doc_id").select("doc_id", "text", F.create_map().cast(META).alias("meta"))
+        rows = spark.read.text(path, lineSep=delimiter).select("value", *_placed())
+    rows = rows.select(strip(F.col("value")).alias("text"), *PLACE).filter("text <> ''")
+    return dense_ids(rows, list(PLACE), "doc_id").select("doc_id", "text", F.create_map().cast(META).alias("meta"))
+
+
+#: Where a row of a file stands: its file, its split of the file, its place among the rows of the split's task.
+PLACE = ("_file", "_split", "_at")
+
+
+def _placed() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at")]
 
 
 def from_csv(spark: SparkSession, path: str, text_column: str = "text", id_column: str | None = None, delimiter: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """A document for each row of a CSV or TSV file with a header; other named columns become meta. A missing column is a ValueError."""
     sep = delimiter or ("\t" if path.lower().endswith(".tsv") else ",")
     rows = spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"', encoding=encoding)
-    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if not re.fullmatch(r"_c\d+", c)])
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if not re.fullmatch(r"_c\d+", c)], *_placed())
     for column in [text_column, *([id_column] if id_column else [])]:
         if column not in rows.columns:
-            raise ValueError(f"{path} has no column {column!r} (it has {', '.join(rows.columns)})")
-    return from_records(rows, text_column, id_column)
+            raise ValueError(f"{path} has no column {column!r} (it has {', '.join(c for c in rows.columns if c not in PLACE)})")
+    return from_records(rows, text_column, id_column, PLACE)
 
 
-def from_records(rows: DataFrame, text_column: str = "text", id_column: str | None = None) -> DataFrame:
-    """A document for each row of a DataFrame: text stripped, a null text an error when run, other columns to meta as strings."""
+def from_records(rows: DataFrame, text_column: str = "text", id_column: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """A document for each row of a DataFrame: text stripped, a null text an error when run, other columns to meta as strings.
+
+    Without id_column rows are numbered by the columns of order, which don't become meta, or else as they come in the DataFrame.
+    """
     text = F.when(F.col(text_column).isNull(), F.raise_error(F.lit(f"a record has no {text_column!r}"))).otherwise(strip(F.col(text_column).cast("string")))
-    rest = [c for c in rows.columns if c not in (text_column, id_column)]
+    rest = [c for c in rows.columns if c not in (text_column, id_column, *order)]
     pairs = [x for c in rest for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
     meta = F.create_map(*pairs).cast(META) if pairs else F.create_map().cast(META)
     if id_column:
         return unique(rows.select(F.col(f"`{id_column}`").alias("doc_id"), text.alias("text"), meta.alias("meta")))
-    made = rows.select(text.alias("text"), meta.alias("meta"), F.monotonically_increasing_id().alias("_at"))
-    return dense_ids(made, ["_at"], "doc_id").select("doc_id", "text", "meta")
+    places = [F.col(c) for c in order] or [F.monotonically_increasing_id().alias("_at")]
+    made = rows.select(text.alias("text"), meta.alias("meta"), *places)
+    return dense_ids(made, list(order) or ["_at"], "doc_id").select("doc_id", "text", "meta")
 
 
 def from_table(spark: SparkSession, path: str, text_column: str = "text", id_column: str | None = "doc_id", format: str = "parquet") -> DataFrame:
-    """Documents of any table that Spark reads."""
-    return from_records(spark.read.format(format).load(path), text_column, id_column)
+    """Documents of any table of files that Spark reads; without id_column they are numbered by file and place."""
+    rows = spark.read.format(format).load(path)
+    return from_records(rows.select("*", *_placed()), text_column, id_column, PLACE) if not id_column else from_records(rows, text_column, id_column)
 
 
 def unique(docs: DataFrame) -> DataFrame:
@@ -78,8 +91,18 @@ def unique(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def add(docs: DataFrame, more: DataFrame) -> DataFrame:
-    """Both sets of documents; an id in both is a ValueError."""
+def add(docs: DataFrame, more: DataFrame | str, doc_id: Any = None, meta: Mapping[str, Any] | None = None) -> DataFrame:
+    """docs and more documents; an id in both is a ValueError.
+
+    A string is one document, under doc_id, or else under the number of documents, or the next that no document has; with its meta.
+    """
+    if isinstance(more, str):
+        if doc_id is None:
+            doc_id = docs.count()
+            while docs.filter(F.col("doc_id") == F.lit(doc_id)).limit(1).count():
+                doc_id += 1
+        own = {str(k): str(v) for k, v in (meta or {}).items()}
+        more = docs.sparkSession.createDataFrame([(doc_id, more, own)], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, meta {META}")
     return unique(docs.unionByName(more))
 
 

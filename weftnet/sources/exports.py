@@ -56,6 +56,18 @@ def graph(network: Network, min_weight: float = 0.0, top_k: int | None = None, l
     return nodes, edges
 
 
+def write_edges(network: Network, path: str, format: str = "csv", **filters) -> None:
+    """The edge list as files of a Spark format under path, written by all executors; CSV files have a header."""
+    options = {"header": True, "quote": '"', "escape": '"'} if format == "csv" else {}
+    edgelist(network, **filters).write.format(format).options(**options).mode("overwrite").save(path)
+
+
+def write_graph(network: Network, path: str, format: str = "json", **options) -> None:
+    """graph() as two tables of a Spark format, path/nodes and path/edges, written by all executors."""
+    for name, rows in zip(("nodes", "edges"), graph(network, **options), strict=True):
+        rows.write.format(format).mode("overwrite").save(f"{path}/{name}")
+
+
 def to_dict(network: Network, **filters) -> dict:
     """The network as plain values, for small ones: rows pass the driver one partition at a time."""
     nodes = entity_nodes(network, filters.get("labels")).orderBy("entity_id").drop("entity_id")
