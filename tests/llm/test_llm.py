@@ -98,12 +98,80 @@ def test_html_pages(spark):
     out = {r.page_id: r for r in html_text.extract(pages).collect()}
     assert out[1].text == out[2].text == PAGE_TEXT and out[1].n_chars == len(PAGE_TEXT)
     assert out[3].text == "Short."  # its own best container is the teaser; its host's pages agree on another path
-    assert html_text.page_text(other, None).startswith("A long teaser")
+    assert html_text.page_text(other, None) == "Short."
     assert out[4].text == out[5].text == "" and out[6].text == "plain text & more"
     assert out[7].text.split("\n") == ["unclosed tags", "and", "stray"]
     assert html_text.extract(pages).count() == len(rows) and html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_names_of_elements():
+    for name in ("post-share", "article-ad", "entry-related", "content-newsletter", "post-footer", "share-buttons", "relatedPosts", "ad-728x90", "cookie-notice", "comments", "site-nav"):
+        assert html_text.marks_boilerplate(name), name
+    for name in ("has-sidebar", "share-enabled", "no-comments", "notice-of-meeting", "content", "post", "advance", "tags", "social-history", "[&>p]:mt-4", "adventure", ""):
+        assert not html_text.marks_boilerplate(name), name
+
+
+def random_page(rnd):
+    """A page of a random layout, made of blocks that say what they are: the page, and the text that is its article's."""
+    import random
+
+    rnd = random.Random(int(rnd.integers(1 << 30)))
+    words = lambda tag, n: " ".join(f"{tag}{rnd.randrange(10_000)}" for _ in range(n))
+    body, want = [], []
+
+    def add(form, n, linked=False):
+        text = words("good", n)
+        want.append(text)
+        body.append(form.format(f'<a href="/x?a=1&b=2">{text}</a>' if linked else text))
+
+    add("<h1>{}</h1>", 6)
+    add('<p class="lead">{}</p>', 20)
+    inner = rnd.random() < 0.5
+    body.append('<div class="text">' if inner else "")
+    for _ in range(rnd.randint(3, 9)):
+        kind = rnd.randrange(6)
+        if kind == 0:
+            add("<p>{}</p>", 8, linked=True)
+        elif kind == 1:
+            add('<h2 id="notice-of-meeting">{}</h2>', 4)
+        elif kind == 2:
+            items = [words("good", 5) for _ in range(3)]
+            want.extend(items)
+            body.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+        else:
+            add("<p>{}", rnd.randint(15, 60))
+        if rnd.random() < 0.4:
+            name = rnd.choice(["post-share", "article-ad", "entry-related", "content-newsletter", "ad", "comment-list"])
+            body.append(f'<div class="{name}"><p>{words("bad", 12)}</p></div>')
+        if rnd.random() < 0.2:
+            body.append(f"<form>{words('bad', 3)}<input></form><script>var s='<p>{words('bad', 3)}</p>';</script><aside>{words('bad', 9)}</aside>")
+    body.append("</div>" if inner else "")
+    outer = rnd.choice(["<article>{}</article>", '<main class="[&>p]:mt-4">{}</main>', '<div class="post has-sidebar">{}</div>', '<article class="post share-enabled">{}</article>', "<main><article>{}</article></main>"])
+    site = f"<header><h2>{words('bad', 3)}</h2></header><nav><ul><li><a href=/>{words('bad', 2)}</a></ul></nav><div id='cookie-notice'>{words('bad', 8)}</div>"
+    end = f"<section class='comments'><p>{words('bad', 30)}</p></section><footer>{words('bad', 5)}</footer>"
+    return f"<!doctype html><html><head><title>{words('bad', 5)}</title></head><body class='has-sidebar'>{site}<div class='wrap'>{outer.format(''.join(body))}</div>{end}</body></html>", "\n".join(want)
+
+
+def test_generated_pages(spark):
+    """Each block of many random pages is either in the text or not, as it was made, alone and with its host's other pages."""
+    rnd = np.random.default_rng(12)
+    pages = [random_page(rnd) for _ in range(400)]
+    for source, want in pages:
+        assert html_text.page_text(source, None) == want
+    rows = [(i, f"http://h{i % 7}.org/{i}", source) for i, (source, _) in enumerate(pages)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    right = sum(out[i] == want for i, (_, want) in enumerate(pages))
+    assert right == len(pages)
+
+
+def test_pages_to_paths(spark, monkeypatch):
+    """Pages give the same where there are too many hosts to send their paths to the pages."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.org/{i}", random_page(np.random.default_rng(i))[0]) for i in range(30)], "page_id long, url string, html string")
+    want = sorted(map(tuple, html_text.extract(pages).collect()))
+    monkeypatch.setattr(html_text, "FEW_HOSTS", 0)
+    assert sorted(map(tuple, html_text.extract(pages).collect())) == want
+
+
 def test_salted_join(spark):
     rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(3000)], "k string, v long")
     small = spark.createDataFrame([("hot", 1), ("k3", 2), ("other", 3)], "k string, w long")

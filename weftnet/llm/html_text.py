@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import ddl, row_hash, salted_join, table, whole
+from weftnet.llm.common import ddl, row_hash, salted_join, staged, table, whole
 
 #: Pages of a host that must support a path, as a share of its voting pages, before it is used for all of the host's pages.
 LEAST_SUPPORT = 0.25
+#: Hosts, and characters of their names and paths, up to which the paths go to the pages; with more, pages go to the paths.
+FEW_HOSTS, FEW_CHARS = 100_000, 10_000_000
 
 # HTML elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,15 +36,22 @@ CLOSED_BY = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words of class, id and role names that mark what isn't the article.
+# Words of class, id and role names that mark what isn't the article.
 BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright discussion "
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discussion "
     "disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup popover promo promoted promotion related "
-    "reply replies respond rail recommend recommended recommendations share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags tagcloud toc "
+    "reply replies respond recommend recommended recommendations share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription teaser teasers "
     "toolbar topbar widget widgets complementary contentinfo alert overlay login search dialog".split()
 )
-#: Names of the article itself, which outweigh the words above in the same name.
-ARTICLE = frozenset("article articlebody body content entry main post story text".split())
+# Words that may follow such a word in a name ("share-buttons") without another meaning, and those that make it the state of
+# something else ("has-sidebar", "share-enabled").
+FOLLOWING = frozenset(
+    "area bar block body box btn button buttons card cards col column container content entry field footer form group header holder icons inner item items left "
+    "link links list main message outer panel post posts right row section slot small story stories text thread top bottom unit wrap wrapper zone article articles".split()
+)
+STATES = frozenset("has with no without is not hide show enable enabled disable disabled open closed visible hidden active ready supports".split())
+#: Elements that hold text themselves: their ids are names of places in the text and say nothing about their part in the page.
+TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote span a b i em strong figure figcaption caption".split())
 
 _CLOSING = {tag: re.compile(rf"</(?:{tag}|{tag.upper()})\s*>") for tag in RAW}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -50,21 +59,27 @@ _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|itemprop|aria-hi
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-def _names(value: str) -> set[str]:
-    return {w.lower() for w in _NAME.findall(value)}
+def marks_boilerplate(name: str) -> bool:
+    """Whether a class, id or role says that its element isn't the article.
+
+    The last word says what a compound name is ("post-share", "article-ad"); a first word does if what follows only shapes it
+    ("share-buttons"). Numbers and single letters don't count; states of something else say nothing.
+    """
+    words = [w for w in (m.lower() for m in _NAME.findall(name)) if len(w) > 1]
+    if not words or words[0] in STATES or words[-1] in STATES:
+        return False
+    return words[-1] in BOILERPLATE or words[0] in BOILERPLATE and all(w in FOLLOWING or w in BOILERPLATE for w in words[1:])
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
+def _attributes(tag: str, raw: str) -> tuple[str, bool]:
     """(generalised class, drop): the class with digits as #, and whether the element isn't part of an article."""
     shown, drop = "", False
     for m in _ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name == "class":
             shown = ".".join(sorted({re.sub(r"\d+", "#", c.lower()) for c in value.split()}))
-        if name in ("class", "id", "role"):
-            for own in value.split():
-                words = _names(own)
-                drop = drop or bool(words & BOILERPLATE) and not words & ARTICLE or bool(words & {"comment", "comments", "sidebar"})
+        if name in ("class", "role") or name == "id" and tag not in TEXT_ELEMENTS:
+            drop = drop or any(map(marks_boilerplate, value.split()))
         elif name == "hidden":
             drop = drop or value.lower() in ("", "hidden")
         elif name == "aria-hidden":
@@ -168,8 +183,8 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, int]]:
                     break
         if tag in VOID or raw.rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        shown, drops = _attributes(raw) if raw.strip() else ("", False)
-        drops = drops and tag not in ("html", "body") or tag in DROPPED or tag == "header" and not any(p.startswith(("article", "main")) for p in path)
+        shown, drops = _attributes(tag, raw) if raw.strip() else ("", False)
+        drops = drops and tag not in ("html", "body", "main") or tag in DROPPED or tag == "header" and not any(p.startswith(("article", "main")) for p in path)
         contains = tag in CONTAINERS
         stack.append((tag, contains, drops))
         opened[tag] = opened.get(tag, 0) + 1
@@ -200,27 +215,45 @@ def container_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tupl
 
 
 def best_container(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[tuple[str, ...], float] | None:
+    """Path and score of the container that holds the article: the best-scored one, or what encloses it and belongs to it.
+
+    The outermost article, or else main, around the best container is the whole article. Where there is neither, a container
+    around it is taken as long as what it adds is less than half as much text and has few links; the body only for what
+    stands in it directly.
+    """
     scores = container_scores(found)
-    return max(scores.items(), key=lambda x: (x[1], -len(x[0]), x[0])) if scores else None
+    if not scores:
+        return None
+    path, score = max(scores.items(), key=lambda x: (x[1], -len(x[0]), x[0]))
+    for tag in ("article", "main"):
+        for n in range(1, len(path) + 1):
+            if path[n - 1].split(".")[0] == tag:
+                return path[:n], score
+    sizes = [(own, len(text), min(links, len(text))) for own, text, links in found]
+    held = sum(n for own, n, _ in sizes if own[: len(path)] == path)
+    for n in range(len(path) - 1, 0, -1):
+        more = [x for x in sizes if x[0][:n] == path[:n] and x[0][: len(path)] != path]
+        added, links = sum(x[1] for x in more), sum(x[2] for x in more)
+        if not more:
+            continue
+        if 2 * added > held or 3 * links > added or path[n - 1].split(".")[0] in ("body", "page") and any(x[0] != path[:n] for x in more):
+            break
+        path, held = path[:n], held + added
+    return path, score
 
 
 def text_below(found: list[tuple[tuple[str, ...], str, int]], path: tuple[str, ...]) -> str:
-    """The blocks below a path, joined by line feeds, without blocks that are links for the most part."""
-    kept = [text for own, text, links in found if own[: len(path)] == path and 2 * links <= len(text)]
-    return "\n".join(kept)
+    """The blocks below a path, joined by line feeds."""
+    return "\n".join(text for own, text, _ in found if own[: len(path)] == path)
 
 
-def page_text(source: str | None, consensus: str | None) -> str:
+def page_text(source: str | None, consensus: list[str] | None) -> str:
     """Text of a page below its host's path if it has such a container, else below its own best one."""
     found = blocks(source or "")
-    if consensus is not None:
-        path = tuple(consensus.split(">"))
-        if any(own[: len(path)] == path for own, _, _ in found):
-            return text_below(found, path)
+    if consensus is not None and any(own[: len(consensus)] == tuple(consensus) for own, _, _ in found):
+        return text_below(found, tuple(consensus))
     best = best_container(found)
-    if best is None:
-        return "\n".join(text for path, text, links in found if 2 * links <= len(text))
-    return text_below(found, best[0])
+    return text_below(found, best[0]) if best else ""
 
 
 def host_of(url: Column) -> Column:
@@ -239,11 +272,11 @@ def votes(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 best = best_container(blocks(source.as_py() or ""))
                 if best:
                     hosts.append(host)
-                    paths.append(">".join(best[0]))
+                    paths.append(list(best[0]))
                     scores.append(best[1])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(scores, pa.float64())], names=["host", "path", "score"])
 
-    return pages.select("_host", html_col).mapInArrow(run, "host string, path string, score double")
+    return pages.select("_host", html_col).mapInArrow(run, "host string, path array<string>, score double")
 
 
 def winning_paths(voted: DataFrame, least_support: float = LEAST_SUPPORT) -> DataFrame:
@@ -257,7 +290,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     """Add text and n_chars (long) to pages, without their html.
 
     Every page names the path of its best-scored container; a host's pages vote in two aggregations (a host with very many
-    pages meets in partial sums, and its pages are dealt to many tasks); then each page is read again below its host's winning
+    pages meets in partial sums; its pages are read where they are, or are dealt to many tasks); then each page is read again below its host's winning
     path, or below its own best container where it has no such path. Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms, reader
     comments and markup go; character references are decoded; white space inside a block is one space; blocks stand in page order,
     one a line. Null html, and a page of no text, give the empty string; pages without a host form one host. Whole pages
@@ -266,8 +299,12 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     source = F.col(html_col).cast("string")
     hosted = pages.select(whole(pages, keep).alias("_row"), host_of(F.col(url_col)).alias("_host"), F.xxhash64(row_hash(pages, keep), F.octet_length(source)).alias("_spread"), source.alias("_html"))
-    winners = winning_paths(votes(hosted, "_html")).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
-    joined = salted_join(hosted, winners, "_host", F.col("_spread")).select("_row", "_path", "_html")
+    winners = staged(winning_paths(votes(hosted, "_html")).select(F.col("host").alias("_host"), F.col("path").alias("_path")), "winners")
+    size = winners.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("_host") + F.length(F.array_join("_path", " "))), F.lit(0)).alias("chars")).first()
+    if size["n"] <= FEW_HOSTS and size["chars"] <= FEW_CHARS:
+        joined = hosted.join(F.broadcast(winners), "_host", "left").select("_row", "_path", "_html")
+    else:
+        joined = salted_join(hosted, winners, "_host", F.col("_spread")).select("_row", "_path", "_html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
