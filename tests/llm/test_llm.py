@@ -269,7 +269,7 @@ def test_licences(spark):
     mit = "The MIT License\n\n" + ". ".join(licences.SENTENCES[x][0] for x in ("mit-grant", "mit-notice", "no-warranty")).title() + "."
     rows = [(1, mit), (2, "Text.\nLicensed under the Apache License, Version 2.0.\nMore."), (3, "No licence, all wrongs reserved."), (4, None), (5, "All rights reserved.\nReleased under the MIT License."), (6, "licensed  under THE apache license -- version 2.0!")]
     out = {r.doc_id: r for r in licences.recognise(documents(spark, rows)).collect()}
-    assert {i: r.licence for i, r in out.items()} == {1: "MIT", 2: "Apache-2.0", 5: "MIT", 6: "Apache-2.0"}
+    assert {i: r.licence for i, r in out.items() if r.licence} == {1: "MIT", 2: "Apache-2.0", 5: "MIT", 6: "Apache-2.0"}
     assert out[1].rule == "mit-grant mit-notice no-warranty" and out[5].sentences == "all-rights mit-named"
     assert licences.recognise(documents(spark, [])).count() == 0
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import table
+from weftnet.llm.common import table, whole
 
 # Normalised licence sentences by identifier. Normalised: lower case, every run of other characters than a-z, 0-9 and
 # letters beyond ASCII one space, ends trimmed. An identifier stands for all wordings of one statement.
@@ -18,15 +18,42 @@ SENTENCES = {
     "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
     "mit-notice": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
     "no-warranty": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",),
+    "mit-liability": ("in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",),
+    "isc-grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    "isc-no-warranty": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
+    "isc-named": ("isc license", "licensed under the isc license"),
+    "boost-grant": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",),
     "gpl3-named": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "gnu general public license version 3", "this program is licensed under the gnu general public license version 3"),
     "gpl2-named": ("this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
     "gpl-free": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
-    "gpl-no-warranty": ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",),
+    "gpl3-only": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation"),
+    "gpl2-free": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
+    "gpl2-only": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    "lgpl21-free": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",),
+    "lgpl21-only": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license version 2 1 as published by the free software foundation", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation version 2 1 of the license"),
+    "lgpl3-free": ("this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    "agpl3-free": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "agpl3-only": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation version 3 of the license", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license version 3 as published by the free software foundation"),
+    "gpl-no-warranty": ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     "bsd-named": ("licensed under the bsd 3 clause license", "released under the bsd license", "bsd 3 clause license"),
+    "bsd2-named": ("licensed under the bsd 2 clause license", "bsd 2 clause license", "simplified bsd license"),
     "bsd-redistribution": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
+    "bsd-source": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",),
+    "bsd-binary": ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",),
+    "bsd-advertising": ("all advertising materials mentioning features or use of this software must display the following acknowledgement",),
+    "bsd-endorsement": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of the copyright owner nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "bsd-no-warranty": ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
+    "zlib-no-warranty": ("this software is provided as is without any express or implied warranty",),
+    "zlib-grant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+    "unlicense": ("this is free and unencumbered software released into the public domain",),
+    "epl2-named": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at https www eclipse org legal epl 2 0", "licensed under the eclipse public license version 2 0"),
+    "epl1-named": ("this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html", "licensed under the eclipse public license version 1 0"),
     "cc-by-named": ("this work is licensed under a creative commons attribution 4 0 international license", "licensed under cc by 4 0", "this work is licensed under cc by 4 0"),
     "cc-by-sa-named": ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0"),
     "cc-by-nc-named": ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0"),
+    "cc-by-nd-named": ("this work is licensed under a creative commons attribution noderivatives 4 0 international license", "licensed under cc by nd 4 0", "this work is licensed under cc by nd 4 0"),
+    "cc-by-nc-sa-named": ("this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", "licensed under cc by nc sa 4 0", "this work is licensed under cc by nc sa 4 0"),
+    "cc-by-nc-nd-named": ("this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", "licensed under cc by nc nd 4 0", "this work is licensed under cc by nc nd 4 0"),
     "cc0-named": ("this work is dedicated to the public domain", "released under cc0 1 0", "cc0 1 0 universal"),
     "mpl-named": ("this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"),
     "all-rights": ("all rights reserved",),
@@ -39,13 +66,35 @@ RULES = (
     ("Apache-2.0", ("apache-named",)),
     ("MIT", ("mit-grant", "mit-notice", "no-warranty")),
     ("MIT", ("mit-named",)),
-    ("GPL-3.0", ("gpl-free", "gpl-no-warranty")),
+    ("BSL-1.0", ("boost-grant",)),
+    ("ISC", ("isc-grant", "isc-no-warranty")),
+    ("ISC", ("isc-named",)),
+    ("AGPL-3.0-or-later", ("agpl3-free", "gpl-no-warranty")),
+    ("AGPL-3.0-only", ("agpl3-only", "gpl-no-warranty")),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "gpl-no-warranty")),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "gpl-no-warranty")),
+    ("LGPL-2.1-only", ("lgpl21-only", "gpl-no-warranty")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-no-warranty")),
+    ("GPL-3.0-only", ("gpl3-only", "gpl-no-warranty")),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-no-warranty")),
+    ("GPL-2.0-only", ("gpl2-only", "gpl-no-warranty")),
     ("GPL-3.0", ("gpl3-named",)),
     ("GPL-2.0", ("gpl2-named",)),
-    ("BSD-3-Clause", ("bsd-redistribution",)),
+    ("BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorsement")),
+    ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
+    ("BSD", ("bsd-redistribution",)),
     ("BSD-3-Clause", ("bsd-named",)),
+    ("BSD-2-Clause", ("bsd2-named",)),
+    ("Zlib", ("zlib-no-warranty", "zlib-grant")),
+    ("Unlicense", ("unlicense",)),
+    ("EPL-2.0", ("epl2-named",)),
+    ("EPL-1.0", ("epl1-named",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-named",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-named",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-named",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-named",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-named",)),
     ("CC-BY-4.0", ("cc-by-named",)),
     ("CC0-1.0", ("cc0-named",)),
     ("MPL-2.0", ("mpl-named",)),
@@ -87,36 +136,32 @@ def wording_pattern() -> str:
     return r"(?<![^\n\t])(?:" + "|".join(w.replace(" ", r"[ \t]") for w in known) + r")(?![^\n\t])"
 
 
-def known_sentences(docs: DataFrame) -> DataFrame:
-    """The fixed table (sentence, ident): as many rows as SENTENCES lists, so it may be broadcast."""
-    rows = [(s, name) for name, wordings in SENTENCES.items() for s in wordings]
-    return docs.sparkSession.createDataFrame(rows, "sentence string, ident string")
+def identifiers(text: Column) -> Column:
+    """Array of the identifiers of a text's licence sentences, in order; empty for null and for a text that holds none of HINTS."""
+    low = F.lower(text)
+    likely = low.contains(HINTS[0])
+    for hint in HINTS[1:]:
+        likely = likely | low.contains(hint)
+    known = F.create_map(*[F.lit(x) for name, wordings in SENTENCES.items() for w in wordings for x in (w, name)])
+    found = F.regexp_extract_all(normalised(text), F.lit(wording_pattern()), F.lit(0))
+    return F.when(likely, F.transform(found, lambda w: F.element_at(known, F.translate(w, "\t", " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def recognise(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, licence, rule, sentences): a row for each key with a licence sentence.
+def recognise(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add licence, rule and sentences to docs.
 
-    Known wordings are found in the normal form of the text, from one break to another, also over line ends and weak stops inside.
-    A text without any ends there, before any exchange.
-    What is left of a key is put in text order, and its identifier sequence is held against RULES. sentences is that sequence,
-    space-joined; rule the matching rule's identifiers, space-joined; licence and rule are null if none matches.
+    Known wordings are found in the normal form of the text, from one break to another, also over line ends and weak stops inside,
+    and their identifier sequence is held against RULES, all within the row. sentences is that sequence, space-joined; rule the
+    matching rule's identifiers, space-joined; licence and rule are null if none matches.
 
-    Rows with equal keys count as one text each only if their texts differ in position: their sentences are merged, so keys
-    should be unique; equal rows give the same licence as one. Null and empty texts have no row. Sentences of any length are
-    compared whole.
+    Each row is judged by itself, whatever its key: repeated rows each get their result. Null and empty texts have no sentence;
+    an empty table gives an empty result; sentences of any length are compared whole. Other columns pass through (columns named
+    like the added ones are replaced).
     """
-    text = F.lower(F.col(text_col))
-    likely = text.contains(HINTS[0])
-    for hint in HINTS[1:]:
-        likely = likely | text.contains(hint)
-    found = F.regexp_extract_all(normalised(F.col(text_col)), F.lit(wording_pattern()), F.lit(0))
-    sentences = docs.filter(likely).select(F.col(key_col).alias("_key"), F.posexplode(found).alias("_at", "_raw"))
-    named = sentences.select("_key", "_at", F.translate("_raw", "\t", " ").alias("sentence")).join(F.broadcast(known_sentences(docs)), "sentence")
-    listed = named.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("_at", "ident"))).alias("_found"))
-    sequence = F.transform("_found", lambda f: f["ident"])
-    listed = listed.select(F.col("_key").alias(key_col), F.array_join(sequence, " ").alias("sentences"))
+    names = [c for c in docs.columns if c not in ("licence", "rule", "sentences")]
+    listed = docs.select(whole(docs, names).alias("_row"), F.array_join(identifiers(F.col(text_col).cast("string")), " ").alias("sentences"))
     decided = F.coalesce(*[F.when(F.col("sentences").rlike(rule_pattern(idents)), F.struct(F.lit(licence).alias("licence"), F.lit(" ".join(idents)).alias("rule"))) for licence, idents in RULES])
-    return listed.withColumn("_rule", decided).select(key_col, F.col("_rule.licence").alias("licence"), F.col("_rule.rule").alias("rule"), "sentences")
+    return listed.withColumn("_rule", decided).select("_row.*", F.col("_rule.licence").alias("licence"), F.col("_rule.rule").alias("rule"), "sentences")
 
 
 def rule_pattern(idents: tuple[str, ...]) -> str:
@@ -125,15 +170,12 @@ def rule_pattern(idents: tuple[str, ...]) -> str:
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, licence ('none' without one), n_sentences (licence sentences), sentences."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = recognise(docs)
-    found = found.withColumnRenamed("doc_id", "_key")
-    rows = docs.select("doc_id").join(found, docs["doc_id"].eqNullSafe(found["_key"]), "left")
-    return rows.select(
+    found = recognise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
         "doc_id",
         F.coalesce("licence", F.lit("none")).alias("licence"),
-        F.when(F.col("sentences").isNull(), F.lit(0)).otherwise(F.size(F.split("sentences", " "))).cast("long").alias("n_sentences"),
-        F.coalesce("sentences", F.lit("")).alias("sentences"),
+        F.when(F.col("sentences") == "", F.lit(0)).otherwise(F.size(F.split("sentences", " "))).cast("long").alias("n_sentences"),
+        "sentences",
     )
 
 
