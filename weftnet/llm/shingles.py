@@ -19,9 +19,9 @@ SEED = 42
 #: Share of all hashes, the lowest, of which each text is told whether another text has them too.
 LOW = 0.3
 #: Texts looked at for frequent shingles, the share of them that makes one, and how many are told to the tasks at most.
-SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 0.001, 50_000
-#: Members of a cell that stand in one order at a time, and orders that are tried before what is left is paired in full.
-BLOCK, ORDERS = 512, 1
+SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 0.001, 20_000
+#: Members of a cell that stand in one order at a time.
+BLOCK = 512
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -100,7 +100,7 @@ def _sets(docs: DataFrame, words: int, frequent: np.ndarray) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, words: int, frequent: np.ndarray, share: tuple[int, int]) -> DataFrame:
-    """(id, common, text) -> (id, size, at, h): the shingles of the prefix that other sets may have, with their places in the set's order."""
+    """(id, common, text) -> (id, size, alone, at, h): the shingles of the prefix that other sets may have, with their places in the set's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +108,10 @@ def _prefixes(texts: DataFrame, words: int, frequent: np.ndarray, share: tuple[i
                 own = shingle_set(text.as_py(), words)
                 alone, rest = prefix(own, np.array(common.as_py() or [], np.int64).view(np.uint64), frequent, share)
                 n = len(rest)
-                columns = [np.full(n, name, np.int64), np.full(n, len(own), np.int32), np.arange(alone, alone + n, dtype=np.int32), rest.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "size", "at", "h"])
+                columns = [np.full(n, name, np.int64), np.full(n, len(own), np.int32), np.full(n, alone, np.int32), np.arange(alone, alone + n, dtype=np.int32), rest.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "size", "alone", "at", "h"])
 
-    return texts.select("id", "common", "text").mapInArrow(run, "id long, size int, at int, h long")
+    return texts.select("id", "common", "text").mapInArrow(run, "id long, size int, alone int, at int, h long")
 
 
 def _enough(overlap: Column, share: tuple[int, int]) -> Column:
@@ -144,11 +144,11 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: tuple[int, int] =
     """(_key, text) -> (_key, id) and (node, root): the links of all texts at a similarity of `share` or more, to their components.
 
     First the SimHash join of op3: sets whose fingerprints are within `bits` are verified by their exact similarity. At this
-    similarity some fingerprints are farther apart, so what is still apart goes on by prefixes: two similar sets share a
-    shingle of their prefixes (see prefix), so no pair is lost. Most texts have so many shingles of their own that their prefix meets
-    nothing: they are done after one exchange of their low hashes. Cells are the others by shingle of the prefix. First
-    neighbours of a cell are compared, so that a large group of near copies gives about as many pairs as it has members; what is
-    still apart in a cell is then paired. A pair is verified on the texts if its shared shingles, and what may follow the last of
+    similarity some fingerprints are farther apart, so there are prefixes too: two similar sets share a shingle of their
+    prefixes (see prefix), so no pair is lost. Most texts have so many shingles of their own that their prefix meets nothing:
+    they are done after one exchange of their low hashes. Cells are the others by shingle of the prefix. With the SimHash pairs,
+    each set of a cell is compared with a neighbour and with the cell's hub, so that a large group of near copies gives about as
+    many pairs as it has members; what is still apart in a cell is then paired. A pair is verified on the texts if its shared shingles, and what may follow the last of
     them, can be enough. Intermediate tables are deleted.
     """
     frequent = _frequent(docs, words)
@@ -172,9 +172,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: tuple[int, int] =
     by_fp = staged(nodes.filter("size > 0").groupBy("fp").agg(F.min("id").alias("_first")), "by-fingerprint")
     same = nodes.filter("size > 0").join(by_fp, "fp").filter("id <> _first").select(F.col("_first").alias("a"), F.col("id").alias("b"))
     joined = links(by_fp.select("fp"), bits).join(by_fp.select(F.col("fp").alias("a"), F.col("_first").alias("_a")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("_first").alias("_b")), "b")
-    met = same.unionByName(joined.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    found = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = components(found)
+    by_bits = same.unionByName(joined.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
     low = marked.select("id", F.explode("low").alias("h"))
     by_hash = Window.partitionBy("h")
@@ -183,33 +181,40 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: tuple[int, int] =
     alone = F.col("n_low") - F.coalesce(F.size("common"), F.lit(0))
     told = nodes.join(common, "id", "left").filter((F.col("size") > 0) & (alone < F.col("size") - least_shared(F.col("size"), share) + 1))
     listed = staged(_prefixes(texts_of(told.select("id", "common")), words, frequent, share), "prefixes")
-    shared = listed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    cells = staged(listed.join(shared, "h").select("h", "id", "size", "at", "n"), "cells")
+    # the hub of a cell is the set with the fewest shingles of its own: the text that the others were made from, if there is one
+    hub = F.min(F.struct("alone", "id", "size", "at"))
+    shared = listed.groupBy("h").agg(F.count("*").alias("n"), hub.alias("hub")).filter("n > 1")
+    cells = staged(listed.join(shared, "h").select("h", "id", "size", "at", "n", "hub"), "cells")
     discard(common, listed)
-    columns = ("id", "size", "at", "root")
-    for order in range(ORDERS + 1):
-        rooted = cells.join(roots, cells["id"] == roots["node"], "left").select("h", "id", "size", "at", "n", F.coalesce("root", "id").alias("root"))
-        open_cells = rooted.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("h")
-        apart = staged(rooted.join(open_cells, "h", "left_semi"), "apart")
-        if order < ORDERS:
-            block = F.pmod(F.xxhash64(F.lit(order + 10), "id"), F.ceil(F.col("n") / BLOCK))
-            line = Window.partitionBy("h", "_block").orderBy(F.xxhash64(F.lit(order), "id"), "id")
-            both = apart.withColumn("_block", block).select(*[F.col(c).alias(f"a_{c}") for c in columns], *[F.lag(c).over(line).alias(f"b_{c}") for c in columns]).filter("b_id is not null")
-            most = F.lit(1) + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) - 1
-            both = both.filter((F.col("a_root") != F.col("b_root")) & _enough(F.least("a_at", "b_at") + most, share))
-            pairs = both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
-        else:
-            one, other = (apart.select("h", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
-            both = one.join(other, "h").filter((F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & _enough(F.least("a_size", "b_size"), share))
-            # all that a pair shares up to the last place that its prefixes share has been met
-            met = both.groupBy(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_size", "b_size").agg(F.count("*").alias("_n"), F.max("a_at").alias("_i"), F.max("b_at").alias("_j"))
-            most = F.col("_n") + F.least(F.col("a_size") - F.col("_i"), F.col("b_size") - F.col("_j")) - 1
-            pairs = met.filter(_enough(most, share)).select("a", "b")
-        more = verified(pairs)
-        discard(apart)
+
+    def near(rows: DataFrame) -> DataFrame:
+        """Pairs a, b of rows that hold a_ and b_ columns of one cell, if they can be similar: whatever stands before the place, and behind it."""
+        most = F.least("a_at", "b_at") + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+        return rows.filter((F.col("a_id") != F.col("b_id")) & _enough(most, share)).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+
+    columns = ("id", "size", "at")
+    block = F.pmod(F.xxhash64(F.lit(10), "id"), F.ceil(F.col("n") / BLOCK))
+    line = Window.partitionBy("h", "_block").orderBy(F.xxhash64(F.lit(0), "id"), "id")
+    own = [F.col(c).alias(f"a_{c}") for c in columns]
+    beside = cells.withColumn("_block", block).select(*own, *[F.lag(c).over(line).alias(f"b_{c}") for c in columns]).filter("b_id is not null")
+    to_hub = cells.select(*own, *[F.col(f"hub.{c}").alias(f"b_{c}") for c in columns])
+    by_bits = by_bits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = verified(by_bits.unionByName(near(beside)).unionByName(near(to_hub)).distinct())
+    roots = components(found)
+
+    rooted = cells.join(roots, cells["id"] == roots["node"], "left").select("h", *columns, F.coalesce("root", "id").alias("root"))
+    open_cells = rooted.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("h")
+    apart = staged(rooted.join(open_cells, "h", "left_semi"), "apart")
+    one, other = (apart.select("h", *[F.col(c).alias(f"{side}_{c}") for c in (*columns, "root")]) for side in "ab")
+    both = one.join(other, "h").filter((F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & _enough(F.least("a_size", "b_size"), share))
+    # all that a pair shares up to the last place that its prefixes share has been met
+    met = both.groupBy(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_size", "b_size").agg(F.count("*").alias("_n"), F.max("a_at").alias("_i"), F.max("b_at").alias("_j"))
+    most = F.col("_n") + F.least(F.col("a_size") - F.col("_i"), F.col("b_size") - F.col("_j")) - 1
+    more = verified(met.filter(_enough(most, share)).select("a", "b"))
+    discard(apart)
+    if not more.isEmpty():
         found = found.unionByName(more)
-        if not more.isEmpty():
-            roots = components(found)
+        roots = components(found)
     discard(nodes, by_fp, cells, found)
     return marked.select("_key", "id"), roots
 
