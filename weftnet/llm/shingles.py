@@ -184,15 +184,18 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: tuple[int, int] =
     # the hub of a cell is the set with the fewest shingles of its own: the text that the others were made from, if there is one
     hub = F.min(F.struct("alone", "id", "size", "at"))
     shared = listed.groupBy("h").agg(F.count("*").alias("n"), hub.alias("hub")).filter("n > 1")
-    cells = staged(listed.join(shared, "h").select("h", "id", "size", "at", "n", "hub"), "cells")
+    cells = staged(listed.join(shared, "h").select("h", "id", "size", "alone", "at", "n", "hub"), "cells")
     discard(common, listed)
 
+    # of what stands before a shared place the shingles that a set has alone can't be shared, nor more behind it than the shorter rest
+    most = F.least(F.col("a_at") - F.col("a_alone"), F.col("b_at") - F.col("b_alone")) + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    possible = _enough(most, share)
+
     def near(rows: DataFrame) -> DataFrame:
-        """Pairs a, b of rows that hold a_ and b_ columns of one cell, if they can be similar: whatever stands before the place, and behind it."""
-        most = F.least("a_at", "b_at") + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
-        return rows.filter((F.col("a_id") != F.col("b_id")) & _enough(most, share)).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+        """Pairs a, b of rows that hold a_ and b_ columns of one cell, if they can be similar."""
+        return rows.filter((F.col("a_id") != F.col("b_id")) & possible).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
-    columns = ("id", "size", "at")
+    columns = ("id", "size", "alone", "at")
     block = F.pmod(F.xxhash64(F.lit(10), "id"), F.ceil(F.col("n") / BLOCK))
     line = Window.partitionBy("h", "_block").orderBy(F.xxhash64(F.lit(0), "id"), "id")
     own = [F.col(c).alias(f"a_{c}") for c in columns]
@@ -206,7 +209,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: tuple[int, int] =
     open_cells = rooted.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("h")
     apart = staged(rooted.join(open_cells, "h", "left_semi"), "apart")
     one, other = (apart.select("h", *[F.col(c).alias(f"{side}_{c}") for c in (*columns, "root")]) for side in "ab")
-    both = one.join(other, "h").filter((F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & _enough(F.least("a_size", "b_size"), share))
+    both = one.join(other, "h").filter((F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & possible)
     # all that a pair shares up to the last place that its prefixes share has been met
     met = both.groupBy(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_size", "b_size").agg(F.count("*").alias("_n"), F.max("a_at").alias("_i"), F.max("b_at").alias("_j"))
     most = F.col("_n") + F.least(F.col("a_size") - F.col("_i"), F.col("b_size") - F.col("_j")) - 1
