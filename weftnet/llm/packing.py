@@ -20,9 +20,9 @@ from weftnet.llm.common import ddl, row_hash, staged, table, whole
 CAPACITY, END = 2048, 0
 #: Open bins of a packing task, and the pieces that a task gets at least.
 OPEN_BINS, TASK_PIECES = 512, 20_000
-#: Words whose ids a worker keeps, the first that it meets (some 35 MB in all). If it is full and more than this share of a group's
+#: Words whose ids a worker keeps, the first that it meets (some 70 MB in all). If it is full and more than this share of a group's
 #: words isn't in it, it is filled anew.
-CACHE_WORDS, STALE = 50_000, 0.2
+CACHE_WORDS, STALE = 120_000, 0.2
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 _END_OF_WORD = "</w>"
