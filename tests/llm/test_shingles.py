@@ -45,3 +45,13 @@ def test_stage_links_all_similar_texts(spark, tmp_path, monkeypatch):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want and len(want) < len(rows)
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_parity_bitmaps_differ_in_no_more_bits_than_the_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    for size in (1, 40, 300, 5_000):
+        own = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        other = np.unique(np.concatenate((own[: len(own) * 3 // 4], rng.integers(0, 2**64, size // 5 + 1, np.uint64))))
+        bits = sum(int(x).bit_count() for x in (shingles.parity_bitmap(own) ^ shingles.parity_bitmap(other)).view(np.uint64))
+        assert bits <= len(np.setxor1d(own, other))
+        assert not (shingles.parity_bitmap(own) ^ shingles.parity_bitmap(own[::-1])).any()

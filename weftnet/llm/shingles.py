@@ -22,6 +22,8 @@ LOW = 0.3
 SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 0.001, 20_000
 #: Members of a cell that stand in one order at a time.
 BLOCK = 512
+#: Longs of a set's parity bitmap.
+SIGNS = tuple(f"sign{i}" for i in range(4))
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -61,6 +63,16 @@ def prefix(own: np.ndarray, common: np.ndarray, frequent: np.ndarray, share: tup
     return min(n, len(alone)), np.concatenate((rest[~last], rest[last]))[: max(0, n - len(alone))]
 
 
+def parity_bitmap(own: np.ndarray) -> np.ndarray:
+    """Bits as 64-bit integers: a shingle turns over the bit that its hash names.
+
+    Two sets' bitmaps differ in no more bits than the sets do in shingles, as what both have turns over the same bits in both.
+    """
+    width = 64 * len(SIGNS)
+    odd = np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles of many texts, by a sample: only their place in the order depends on it."""
     n = docs.count()
@@ -100,7 +112,7 @@ def _sets(docs: DataFrame, words: int, frequent: np.ndarray) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, words: int, frequent: np.ndarray, share: tuple[int, int]) -> DataFrame:
-    """(id, common, text) -> (id, size, alone, at, h): the shingles of the prefix that other sets may have, with their places in the set's order."""
+    """(id, common, text) -> (id, size, SIGNS, alone, at, h): the shingles of the prefix that other sets may have, with their places in the set's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +120,11 @@ def _prefixes(texts: DataFrame, words: int, frequent: np.ndarray, share: tuple[i
                 own = shingle_set(text.as_py(), words)
                 alone, rest = prefix(own, np.array(common.as_py() or [], np.int64).view(np.uint64), frequent, share)
                 n = len(rest)
-                columns = [np.full(n, name, np.int64), np.full(n, len(own), np.int32), np.full(n, alone, np.int32), np.arange(alone, alone + n, dtype=np.int32), rest.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "size", "alone", "at", "h"])
+                signs = [np.full(n, s, np.int64) for s in parity_bitmap(own)]
+                columns = [np.full(n, name, np.int64), np.full(n, len(own), np.int32), *signs, np.full(n, alone, np.int32), np.arange(alone, alone + n, dtype=np.int32), rest.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "size", *SIGNS, "alone", "at", "h"])
 
-    return texts.select("id", "common", "text").mapInArrow(run, "id long, size int, alone int, at int, h long")
+    return texts.select("id", "common", "text").mapInArrow(run, f"id long, size int, {', '.join(f'{s} long' for s in SIGNS)}, alone int, at int, h long")
 
 
 def _enough(overlap: Column, share: tuple[int, int]) -> Column:
@@ -119,6 +132,12 @@ def _enough(overlap: Column, share: tuple[int, int]) -> Column:
     return overlap * (share[0] + share[1]) >= (F.col("a_size") + F.col("b_size")) * share[0]
 
 
+def _alike(share: tuple[int, int]) -> Column:
+    """Whether sets of sizes a_size and b_size can be similar by the bits in which their parity bitmaps differ."""
+    apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SIGNS[1:]), F.bit_count(F.col(f"a_{SIGNS[0]}").bitwiseXOR(F.col(f"b_{SIGNS[0]}"))))
+    return apart * (share[0] + share[1]) <= (F.col("a_size") + F.col("b_size")) * (share[1] - share[0])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar; texts: (id, text), a row for each id."""
 
@@ -149,7 +168,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: tuple[int, int] =
     they are done after one exchange of their low hashes. Cells are the others by shingle of the prefix. With the SimHash pairs,
     each set of a cell is compared with a neighbour and with the cell's hub, so that a large group of near copies gives about as
     many pairs as it has members; what is still apart in a cell is then paired. A pair is verified on the texts if its shared shingles, and what may follow the last of
-    them, can be enough. Intermediate tables are deleted.
+    them, can be enough, and if its parity bitmaps differ in no more bits than similar sets do in shingles. Intermediate tables are deleted.
     """
     frequent = _frequent(docs, words)
     marked = staged(_sets(docs, words, frequent), "sets")
@@ -182,20 +201,20 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: tuple[int, int] =
     told = nodes.join(common, "id", "left").filter((F.col("size") > 0) & (alone < F.col("size") - least_shared(F.col("size"), share) + 1))
     listed = staged(_prefixes(texts_of(told.select("id", "common")), words, frequent, share), "prefixes")
     # the hub of a cell is the set with the fewest shingles of its own: the text that the others were made from, if there is one
-    hub = F.min(F.struct("alone", "id", "size", "at"))
+    hub = F.min(F.struct("alone", "id", "size", "at", *SIGNS))
     shared = listed.groupBy("h").agg(F.count("*").alias("n"), hub.alias("hub")).filter("n > 1")
-    cells = staged(listed.join(shared, "h").select("h", "id", "size", "alone", "at", "n", "hub"), "cells")
+    cells = staged(listed.join(shared, "h").select("h", "id", "size", *SIGNS, "alone", "at", "n", "hub"), "cells")
     discard(common, listed)
 
     # of what stands before a shared place the shingles that a set has alone can't be shared, nor more behind it than the shorter rest
     most = F.least(F.col("a_at") - F.col("a_alone"), F.col("b_at") - F.col("b_alone")) + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
-    possible = _enough(most, share)
+    possible = _enough(most, share) & _alike(share)
 
     def near(rows: DataFrame) -> DataFrame:
         """Pairs a, b of rows that hold a_ and b_ columns of one cell, if they can be similar."""
         return rows.filter((F.col("a_id") != F.col("b_id")) & possible).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
-    columns = ("id", "size", "alone", "at")
+    columns = ("id", "size", *SIGNS, "alone", "at")
     block = F.pmod(F.xxhash64(F.lit(10), "id"), F.ceil(F.col("n") / BLOCK))
     line = Window.partitionBy("h", "_block").orderBy(F.xxhash64(F.lit(0), "id"), "id")
     own = [F.col(c).alias(f"a_{c}") for c in columns]
