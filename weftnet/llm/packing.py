@@ -215,9 +215,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     Full pieces are sequences by themselves. The others are dealt at random, by a hash of all their columns, to tasks of about
     `task_pieces` pieces, which pack them by online best fit over `open_bins` open bins. Of what has come in, twice as many
     pieces as there may be open bins are placed longest first, so that the short ones fill what the long ones leave. A task
-    leaves its last bins part filled; bins with free space are packed again, as items, by a sixteenth of the tasks, and so on until
-    a level has had one task or saves no bin, so that what is lost doesn't grow with the number of tasks. Only counts reach
-    the driver.
+    leaves its last bins part filled, `open_bins` at most; bins with free space are packed again, as items, by a sixteenth of the tasks,
+    and so on until a level has had one task or saves no bin. As items, bins fill each other less well than pieces do: what that loses
+    depends on the open bins for each of a task's pieces, which is why tasks are large (at 512 of 20,000 and more it is a few
+    sequences in 40,000). Whatever the sizes, all but one sequence of each task of the last level are over half full, as a bin is
+    opened for an item only if it fits in no other. Only counts reach the driver.
 
     Repeated rows are pieces of their own; an empty table gives an empty result; other columns pass through, except that columns
     named sequence_id or offset are replaced.
