@@ -32,6 +32,49 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path in it)."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def bytes_of(spark: SparkSession, path: str) -> int:
+    fs, at = file_system(spark, path)
+    return fs.getContentSummary(at).getLength()
+
+
+def write_new_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that isn't there yet, whole or not at all: under another name first, which then is changed."""
+    jvm = spark.sparkContext._jvm
+    fs, at = file_system(spark, path)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:12]}.draft")
+    out = fs.create(draft, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    if fs.exists(at) or not fs.rename(draft, at):
+        fs.delete(draft, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = file_system(spark, path)
+    source = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    fs, at = file_system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def write_sorted(df: DataFrame, path: str, *keys: str, group_bytes: int = 256 * 1024, mode: str = "errorifexists") -> None:
+    """df as Parquet, dealt by range of keys and sorted by them, in small row groups: a reader of one key skips all others by their statistics."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).option("parquet.block.size", group_bytes).parquet(path)
+
+
 def dense_ids(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """df with ids 0, 1, ... in the given order (which should be total).
 

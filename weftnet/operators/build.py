@@ -45,17 +45,25 @@ def term_occurrences(tokens: DataFrame, config: NetworkConfig) -> DataFrame:
 
 def entity_vocabulary(mentions: DataFrame) -> DataFrame:
     """(entity_id, norm, label, text, count): ids by first appearance, over documents and the mentions' order in them."""
+    return dense_ids(first_mentions(mentions).withColumnRenamed("n", "count"), ["first_doc", "first_ord", "norm", "label"], "entity_id")
+
+
+def first_mentions(mentions: DataFrame) -> DataFrame:
+    """(norm, label, text, n, first_doc, first_ord) of each entity: how often, where and in which words it first stands."""
     first = F.min(F.struct("doc_id", "ord", collapse(F.col("text")).alias("text")))
-    found = mentions.groupBy("norm", "label").agg(first.alias("_first"), F.count("*").alias("count"))
-    found = found.select("norm", "label", F.col("_first.text").alias("text"), "count", F.col("_first.doc_id").alias("first_doc"), F.col("_first.ord").alias("first_ord"))
-    return dense_ids(found, ["first_doc", "first_ord", "norm", "label"], "entity_id")
+    found = mentions.groupBy("norm", "label").agg(first.alias("_first"), F.count("*").alias("n"))
+    return found.select("norm", "label", F.col("_first.text").alias("text"), "n", F.col("_first.doc_id").alias("first_doc"), F.col("_first.ord").alias("first_ord"))
 
 
 def term_vocabulary(terms: DataFrame) -> DataFrame:
     """(term_id, text, pos, count): ids by first appearance in token order."""
-    found = terms.groupBy("base", "tag").agg(F.min(F.struct("doc_id", "pos")).alias("_first"), F.count("*").alias("count"))
-    found = found.select(F.col("base").alias("text"), F.col("tag").alias("pos"), "count", F.col("_first.doc_id").alias("first_doc"), F.col("_first.pos").alias("first_pos"))
-    return dense_ids(found, ["first_doc", "first_pos", "text", "pos"], "term_id")
+    return dense_ids(first_terms(terms).withColumnRenamed("n", "count"), ["first_doc", "first_pos", "text", "pos"], "term_id")
+
+
+def first_terms(terms: DataFrame) -> DataFrame:
+    """(text, pos, n, first_doc, first_pos) of each term."""
+    found = terms.groupBy("base", "tag").agg(F.min(F.struct("doc_id", "pos")).alias("_first"), F.count("*").alias("n"))
+    return found.select(F.col("base").alias("text"), F.col("tag").alias("pos"), "n", F.col("_first.doc_id").alias("first_doc"), F.col("_first.pos").alias("first_pos"))
 
 
 def sentence_counts(rows: DataFrame, *keys: str) -> DataFrame:

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftnet.config import NetworkConfig
-from weftnet.functions.tables import dense_ids, path_exists, staged, top_rows
+from weftnet.functions.tables import dense_ids, path_exists, staged, top_rows, write_sorted
 from weftnet.functions.text import normal_name
 from weftnet.operators import build
 from weftnet.operators.build import Normaliser
 
 FORMAT = 1
 TABLES = ("documents", "sentences", "entities", "terms", "mentions", "term_occurrences", "histogram", "entity_terms")
+#: What a saved table is sorted by, so that a question about one entity, term or document reads only its rows.
+SORTED_BY = {"sentences": ("doc_id", "sent"), "mentions": ("entity_id", "mention_id"), "term_occurrences": ("doc_id", "sent"), "histogram": ("src", "dst"), "entity_terms": ("entity_id", "term_id"), "adjacency": ("src", "dst")}
 
 
 @dataclass
@@ -25,7 +27,8 @@ class Network:
 
     documents(doc_id, n_sentences); sentences(doc_id, sent, start, end, text); entities(entity_id, norm, label, text, count);
     terms(term_id, text, pos, count); mentions(mention_id, doc_id, sent, start, end, score, entity_id); term_occurrences(doc_id, sent,
-    start, end, term_id); histogram(src, dst, delta, n); entity_terms(entity_id, term_id, n).
+    start, end, term_id); histogram(src, dst, delta, n); entity_terms(entity_id, term_id, n). adjacency, where there is one, is the
+    histogram in both directions, sorted by src: questions about one entity read only its rows of it.
     """
 
     config: NetworkConfig
@@ -38,6 +41,7 @@ class Network:
     histogram: DataFrame
     entity_terms: DataFrame
     normalise: Normaliser = field(default=normal_name)
+    adjacency: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -84,9 +88,13 @@ class Network:
         return cls(config, sizes, sentences, entities.drop("first_doc", "first_ord"), terms.drop("first_doc", "first_pos"), placed.drop("ord"), found, histogram, pairs, normalise)
 
     def save(self, path: str) -> None:
-        """A Parquet table for each of TABLES under path, and meta, which holds the format's version and the configuration."""
-        for name in TABLES:
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """A Parquet table for each of TABLES and the adjacency under path, sorted for look-ups, and meta, which holds the format's version and the configuration."""
+        for name in (*TABLES, "adjacency"):
+            rows = both_ways(self.histogram) if name == "adjacency" else getattr(self, name)
+            if keys := SORTED_BY.get(name):
+                write_sorted(rows, f"{path}/{name}", *keys, mode="overwrite")
+            else:
+                rows.write.mode("overwrite").parquet(f"{path}/{name}")
         self.spark.createDataFrame([(FORMAT, self.config.to_json())], "format int, config string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
@@ -96,7 +104,8 @@ class Network:
         meta = spark.read.parquet(f"{path}/meta").first()
         if meta["format"] != FORMAT:
             raise ValueError(f"format {meta['format']} of {path} can't be read; this version reads {FORMAT}")
-        return cls(NetworkConfig.from_json(meta["config"]), *[spark.read.parquet(f"{path}/{name}") for name in TABLES], normalise)
+        adjacency = spark.read.parquet(f"{path}/adjacency") if path_exists(spark, f"{path}/adjacency") else None
+        return cls(NetworkConfig.from_json(meta["config"]), *[spark.read.parquet(f"{path}/{name}") for name in TABLES], normalise, adjacency)
 
     # vocabulary
 
@@ -162,6 +171,17 @@ class Network:
         e = self.all_edges
         return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "count"))
 
+    def edges_of(self, ref, weighting: str = "raw") -> DataFrame:
+        """(src, dst, weight) of an entity's edges, as src, weighting raw or load; only its own rows are read where the network has an adjacency."""
+        if weighting not in ("raw", "load"):
+            raise ValueError("weighting is 'raw' or 'load'")
+        own = self.entity(ref)["entity_id"]
+        near = F.col("src") == own
+        if self.adjacency is None:
+            return (self.directed().select("src", "dst", "weight") if weighting == "raw" else self.load_edges()).filter(near)
+        rows = build.edge_list(self.adjacency.filter(near & (F.col("delta") < len(self.config.decays))), self.config.decays)
+        return rows.select("src", "dst", "weight") if weighting == "raw" else self._loads(rows)
+
     def edge_table(self, min_weight: float = 0.0, top_k: int | None = None, labels: Iterable[str] | None = None) -> DataFrame:
         """(src, dst, weight, count) by falling weight. min_weight <= 0 filters nothing; a negative top_k neither; labels hold for both ends."""
         rows = self.all_edges
@@ -182,10 +202,7 @@ class Network:
 
     def neighbors(self, ref, k: int | None = None, min_weight: float = 0.0, weighting: str = "raw") -> DataFrame:
         """(entity_id, weight) of an entity's neighbours by falling weight; weighting raw or load. Weights must exceed 0 and reach min_weight."""
-        if weighting not in ("raw", "load"):
-            raise ValueError("weighting is 'raw' or 'load'")
-        own = self.entity(ref)["entity_id"]
-        rows = (self.directed() if weighting == "raw" else self.load_edges()).filter((F.col("src") == own) & (F.col("weight") > 0) & (F.col("weight") >= min_weight))
+        rows = self.edges_of(ref, weighting).filter((F.col("weight") > 0) & (F.col("weight") >= min_weight))
         return top_rows(rows.select(F.col("dst").alias("entity_id"), "weight"), k, F.desc("weight"), F.asc("entity_id"))
 
     def weight(self, a, b) -> float:
@@ -204,8 +221,8 @@ class Network:
 
     def load_weight(self, a, b) -> float:
         """Importance of b for a."""
-        x, y = self.entity(a)["entity_id"], self.entity(b)["entity_id"]
-        row = self.load_edges().filter((F.col("src") == x) & (F.col("dst") == y)).first()
+        other = self.entity(b)["entity_id"]
+        row = self.edges_of(a, "load").filter(F.col("dst") == other).first()
         return row["weight"] if row else 0.0
 
     def load_edges(self) -> DataFrame:
@@ -213,8 +230,12 @@ class Network:
 
         Pairs whose factor is ln 1 are no edges; that is decided on the two counts, which are whole numbers.
         """
+        return self._loads(self.directed())
+
+    def _loads(self, directed: DataFrame) -> DataFrame:
+        """load_edges of the edges given, which must have all of each src they have."""
         label = self.entities.select(F.col("entity_id").alias("dst"), F.col("label").alias("dst_label"))
-        both = self.directed().join(label, "dst")
+        both = directed.join(label, "dst")
         sizes = self.entities.groupBy(F.col("label").alias("dst_label")).agg(F.count("*").alias("_size"))
         degrees = both.groupBy("src", "dst_label").agg(F.count("*").alias("_degree"))
         rows = both.join(degrees, ["src", "dst_label"]).join(sizes, "dst_label").filter("_size <> _degree")
@@ -389,5 +410,10 @@ def _ordered_sum(order: Column, value: Column) -> Column:
     return F.aggregate(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), F.lit(0.0), lambda s, x: s + x["v"])
 
 
+def both_ways(histogram: DataFrame) -> DataFrame:
+    """(src, dst, delta, n) in both directions."""
+    return histogram.select("src", "dst", "delta", "n").unionByName(histogram.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "delta", "n"))
+
+
 def entity_key(norm: Column, label: Column) -> Column:
     return F.concat_ws("|", norm, label)

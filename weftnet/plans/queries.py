@@ -22,6 +22,7 @@ from weftnet.operators.extract import Gazetteer
 from weftnet.operators.network import Network
 from weftnet.plans.pipeline import NetworkPipeline
 from weftnet.sources import corpus, exports
+from weftnet.streaming.growing import GrowingNetwork
 from weftnet.streaming.store import NetworkStore
 
 GAZETTEER = {
@@ -265,6 +266,42 @@ def unfinished_batch(spark: SparkSession, d: str) -> DataFrame:
     return _edges(store.compact(f"{store.path}-compact").network().all_edges)
 
 
+def _growing(spark: SparkSession) -> GrowingNetwork:
+    return GrowingNetwork(spark, f"{shared_dir(spark)}/weftnet/growing-{uuid.uuid4().hex[:12]}", _pipeline(), fan=3)
+
+
+def _in_order(spark: SparkSession, d: str, batches: int = 4) -> GrowingNetwork:
+    """The documents in batches by ranges of their ids; with four batches, tiers of three are merged once."""
+    docs, growing = _docs(spark, d), _growing(spark)
+    ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    step = (ends[1] - ends[0]) // batches + 1
+    for k in range(batches):
+        growing.add(docs.filter((F.col("doc_id") - ends[0] >= k * step) & (F.col("doc_id") - ends[0] < (k + 1) * step)), k)
+    return growing
+
+
+def grown_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of a network that grew by batches, under the ids of one build."""
+    return _edges(_in_order(spark, d).network().all_edges)
+
+
+def grown_by_arrival(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of a network to which the odd documents came after the even ones, by a stream's numbers, one of them twice: ids by arrival."""
+    docs, growing = _docs(spark, d), _growing(spark)
+    for batch in (0, 1, 1, 0):
+        growing.add(docs.filter(F.pmod(F.col("doc_id"), F.lit(2)) == batch), batch, "stream")
+    return growing.network().entities.select("entity_id", "norm", "label", "text", "count")
+
+
+def laid_out_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of an entity of a saved network by both weightings, read from its adjacency."""
+    path = f"{shared_dir(spark)}/weftnet/saved-{uuid.uuid4().hex[:12]}"
+    network(spark, d).save(path)
+    n = Network.load(spark, path)
+    raw, load = (n.neighbors(QUERY[0], weighting=w).select("entity_id", F.round("weight", 6).alias(w)) for w in ("raw", "load"))
+    return raw.join(load, "entity_id", "left")
+
+
 def stream_merge(spark: SparkSession, d: str) -> DataFrame:
     """The documents as files that arrive in a folder, a few in each micro-batch."""
     store = _store(spark)
@@ -409,6 +446,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "merge_batches": merge_batches,
         "compacted_batches": compacted_batches,
         "stream_merge": stream_merge,
+        "grown_edges": grown_edges,
+        "grown_by_arrival": grown_by_arrival,
+        "laid_out_neighbours": laid_out_neighbours,
         "bow_buckets": bow_buckets,
         "context_clusters": context_clusters,
         "conversation_edges": conversation_edges,
@@ -588,6 +628,9 @@ def oracle_sql() -> dict[str, str]:
         "merge_batches": " " + default,
         "compacted_batches": " " + default,
         "stream_merge": " " + default,
+        "grown_edges": " " + default,
+        "grown_by_arrival": " SELECT row_number() OVER (ORDER BY f) - 1 AS entity_id, norm, label, f.text AS text, count FROM (SELECT norm, label, min({'half': doc_id % 2, 'doc_id': doc_id, 'ord': ord, 'text': text}) AS f, count(*) AS count FROM ments GROUP BY norm, label)",
+        "laid_out_neighbours": " SELECT dire.dst AS entity_id, round(dire.weight, 6) AS raw, round(loads.weight, 6) AS load FROM dire LEFT JOIN loads ON loads.src = dire.src AND loads.dst = dire.dst WHERE dire.src = (SELECT entity_id FROM q1)",
     }
     own |= {
         "numbered_sentences": " SELECT row_number() OVER (ORDER BY doc_id, sent) - 1 AS sentence_id, doc_id, sent FROM sents",
