@@ -10,13 +10,13 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftnet.config import NetworkConfig, decay_values, register_decay
 from weftnet.functions.tables import dense_ids, shared_dir, staged
 from weftnet.operators import build, segment
-from weftnet.operators.align import align_spans, invalid_rows
+from weftnet.operators.align import align_spans, invalid_rows, uncovered_tokens
 from weftnet.operators.context import EdgeClusterer, bag_of_words
 from weftnet.operators.extract import Gazetteer
 from weftnet.operators.network import Network
@@ -123,6 +123,34 @@ def token_ranges(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "label", *[F.col(c).cast("long").alias(c) for c in ("start", "end", "sent", "token_start", "token_end")])
 
 
+def _laid_over(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans, sentences, tokens): spans that overlap and nest, from the second character of every fifth token to the first of the third behind it, and of every fifteenth to that of the ninth."""
+    docs = _docs(spark, d)
+    sents, toks = segment.sentences(docs), staged(segment.tokens(docs), "tokens")
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    places = toks.select("doc_id", "pos", (F.col("start") + 1).alias("start"), (F.lead("start", 3).over(order) + 1).alias("near"), (F.lead("start", 9).over(order) + 1).alias("far"))
+    spans = None
+    for every, end, label in ((5, "near", "NEAR"), (15, "far", "FAR")):
+        own = places.filter((F.col("pos") % every == 0) & F.col(end).isNotNull()).select("doc_id", "start", F.col(end).alias("end"), F.lit(label).alias("label"), F.lit(1.0).alias("score"), F.lit("").alias("text"))
+        spans = own if spans is None else spans.unionByName(own)
+    return spans, sents, toks
+
+
+def nested_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence and tokens of spans that overlap and nest."""
+    found = align_spans(*_laid_over(spark, d))
+    return found.select("doc_id", "label", *[F.col(c).cast("long").alias(c) for c in ("ord", "start", "end", "sent", "token_start", "token_end")])
+
+
+def uncovered_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each document that no such span covers, by the spans' characters and by their token ranges."""
+    spans, sents, toks = _laid_over(spark, d)
+    own = spans.filter("label = 'NEAR'")
+    by = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(f"n_{name}"), F.sum("pos").alias(f"sum_{name}"))
+    chars = by(uncovered_tokens(toks, align_spans(own, sents)), "chars")
+    return chars.join(by(uncovered_tokens(toks, align_spans(own, sents, toks)), "ranges"), "doc_id", "full_outer")
+
+
 def mention_table(spark: SparkSession, d: str) -> DataFrame:
     return network(spark, d).mentions.select("mention_id", "doc_id", "entity_id", *[F.col(c).cast("long").alias(c) for c in ("sent", "start", "end")])
 
@@ -387,6 +415,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gazetteer_mentions": gazetteer_mentions,
         "gazetteer_longest": gazetteer_longest,
         "token_ranges": token_ranges,
+        "nested_spans": nested_spans,
+        "uncovered_counts": uncovered_counts,
         "mention_table": mention_table,
         "numbered_sentences": numbered_sentences,
         "pair_weights": pair_weights,
@@ -552,6 +582,11 @@ pieces AS (SELECT doc_id, sent, s_start, unnest(p) AS w, generate_subscripts(p,
 ptoks AS (SELECT doc_id, sent, row_number() OVER (PARTITION BY doc_id ORDER BY sent, k) - 1 AS pos, t_start, t_start + length(w) AS t_end FROM (SELECT *, s_start + sum(length(w)) OVER (PARTITION BY doc_id, sent ORDER BY k) - length(w) AS t_start FROM pieces) WHERE NOT regexp_matches(w, '^[{_SPACE}]')),
 m2 AS (SELECT mention_id, doc_id, entity_id, row_number() OVER (PARTITION BY doc_id ORDER BY mention_id) - 1 AS ord FROM m)"""
 
+#: Spans over the tokens, and the tokens that each touches; only nearby tokens are compared.
+_OVER = """, leads AS (SELECT *, t_start + 1 AS start, lead(t_start, 3) OVER w + 1 AS near, lead(t_start, 9) OVER w + 1 AS far FROM ptoks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+over_ AS (SELECT doc_id, pos, sent, CAST(start AS BIGINT) AS start, CAST(near AS BIGINT) AS e, 'NEAR' AS label FROM leads WHERE pos % 5 = 0 AND near IS NOT NULL UNION ALL SELECT doc_id, pos, sent, CAST(start AS BIGINT), CAST(far AS BIGINT), 'FAR' FROM leads WHERE pos % 15 = 0 AND far IS NOT NULL),
+touched AS (SELECT o.doc_id AS doc_id, o.label AS label, o.pos AS pos, min(t.pos) AS token_start, max(t.pos) + 1 AS token_end FROM over_ o JOIN (SELECT *, unnest(generate_series(pos - 10, pos + 2)) AS near_pos FROM ptoks) t ON t.doc_id = o.doc_id AND t.near_pos = o.pos WHERE t.t_end > o.start AND t.t_start < o.e GROUP BY ALL)"""
+
 #: Single words of the dictionary, and "the the" where it stands: in a row of the same word each two make one.
 _LONGEST = rf"""
 WITH gaz(key, label) AS (VALUES {", ".join(f"({_text(s)}, {_text(label)})" for label, own in WORDS.items() for s in own)}),
@@ -642,6 +677,8 @@ def oracle_sql() -> dict[str, str]:
         "spark_csv_edges": " SELECT x.text AS source, x.label AS source_label, y.text AS target, y.label AS target_label, round(edges.weight, 6) AS weight, edges.count AS count FROM edges JOIN ents x ON src = x.entity_id JOIN ents y ON dst = y.entity_id",
         "spark_json_nodes": f" SELECT {node} AS id, 'entity' AS kind, text, norm, label, CAST(NULL AS VARCHAR) AS pos, count FROM ents",
         "mention_table": _PLACED + " SELECT mention_id, doc_id, entity_id, sent, start, \"end\" FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS ord FROM pments) JOIN m2 USING (doc_id, ord)",
+        "nested_spans": _PLACED + _OVER + " SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY o.start, o.e, label) - 1 AS ord, o.start AS start, o.e AS \"end\", (SELECT max(sent) FROM psents p WHERE p.doc_id = o.doc_id AND p.s_start <= o.start AND p.sent BETWEEN o.sent - 1 AND o.sent + 1) AS sent, token_start, token_end FROM over_ o JOIN touched USING (doc_id, label, pos)",
+        "uncovered_counts": _PLACED + _OVER + " SELECT doc_id, count(*) AS n_chars, CAST(sum(pos) AS BIGINT) AS sum_chars, count(*) AS n_ranges, CAST(sum(pos) AS BIGINT) AS sum_ranges FROM ptoks WHERE NOT EXISTS (SELECT 1 FROM touched u WHERE u.doc_id = ptoks.doc_id AND u.label = 'NEAR' AND ptoks.pos >= u.token_start AND ptoks.pos < u.token_end) GROUP BY doc_id",
         "token_ranges": _PLACED + " SELECT doc_id, label, start, \"end\", sent, min(pos) AS token_start, max(pos) + 1 AS token_end FROM pments JOIN ptoks USING (doc_id, sent) WHERE t_end > start AND t_start < \"end\" GROUP BY ALL",
     }
     found = {name: base + sql for name, sql in own.items()}
