@@ -6,19 +6,21 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
+from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftnet.functions.text import STOPWORDS
+from weftnet.operators.dictionary import Matcher, PackedDictionary
 from weftnet.operators.segment import _token_rows, columns_of, in_rows, sentence_spans
 
 ANNOTATED_SCHEMA = "kind string, place int, sent int, start int, end int, text string, label string, is_stop boolean, is_punct boolean"
 SPANS_SCHEMA = "start int, end int, label string, score double, text string"
-#: Dictionaries up to this many surfaces go to every worker (some 50 MB); larger ones are joined by their first words.
-WORKER_SURFACES = 200_000
-_HEAD = re.compile(r"\w+|[^\w\s]")
+#: Dictionaries up to this many surfaces go to every worker as they are (some 50 MB); larger ones in packed arrays, in shards of so many bytes.
+WORKER_SURFACES, SHARD_BYTES = 200_000, 256 * 1024 * 1024
 
 
 class Gazetteer:
@@ -33,6 +35,7 @@ class Gazetteer:
                 if surface:
                     self.label_of[self.key(surface)] = label
                     self.forms.append(surface)
+        self._shards: list[PackedDictionary] | None = None
         if not self.forms:
             raise ValueError("the gazetteer has no surface forms")
 
@@ -43,18 +46,41 @@ class Gazetteer:
     def labels(self) -> frozenset[str]:
         return frozenset(self.label_of.values())
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_shards": None}
+
+    def labelled(self) -> Iterator[tuple[str, str]]:
+        """(surface, label) of all forms."""
+        return ((s, self.label_of[self.key(s)]) for s in dict.fromkeys(self.forms))
+
+    def shards(self, most_bytes: int = SHARD_BYTES) -> list[PackedDictionary]:
+        """The dictionary in packed arrays, each of most_bytes or so, as each goes to all workers; surfaces are dealt by their digests."""
+        if self._shards is None:
+            own = list(self.labelled())
+            size = sum(60 + 2 * len(s.encode("utf-8", "surrogatepass")) for s, _ in own)
+            n = -(-size // most_bytes)
+            dealt: list[list[tuple[str, str]]] = [[] for _ in range(n)]
+            for form in own:
+                dealt[crc32(form[0].encode("utf-8", "surrogatepass")) % n].append(form)
+            self._shards = [PackedDictionary(d, self.case_sensitive) for d in dealt if d]
+        return self._shards
+
+    def _matcher(self, docs: DataFrame) -> Callable[[], Matcher | PackedDictionary] | None:
+        """What gives a worker its dictionary, or None if that has to be sharded. A small one goes with the function, a large one is broadcast."""
+        if len(self.label_of) <= WORKER_SURFACES:
+            matcher = Matcher(list(self.labelled()), self.case_sensitive)
+            return lambda: matcher
+        if len(shards := self.shards()) > 1:
+            return None
+        sent = docs.sparkSession.sparkContext.broadcast(shards[0])
+        return lambda: sent.value
+
     def spans(self, docs: DataFrame) -> DataFrame:
         """(doc_id, start, end, label, score, text): non-overlapping matches from left to right, the longest at each place."""
-        if len(self.label_of) > WORKER_SURFACES:
-            return self._by_join(docs)
-        matcher = Matcher(self)
-        return in_rows(docs, columns_of(SPANS_SCHEMA), lambda text: [(a, b, label, 1.0, text[a:b]) for a, b, label in matcher.matches(text)])
-
-    def _table(self, docs: DataFrame) -> DataFrame:
-        return docs.sparkSession.createDataFrame(list(self.label_of.items()), "key string, label string")
-
-    def _key(self, text: Column) -> Column:
-        return text if self.case_sensitive else F.lower(text)
+        matcher = self._matcher(docs)
+        if matcher is None:
+            return self._by_shards(docs, self.shards())
+        return in_rows(docs, columns_of(SPANS_SCHEMA), lambda text: [(a, b, label, 1.0, text[a:b]) for a, b, label in matcher().matches(text)])
 
     def annotate(self, docs: DataFrame) -> DataFrame | None:
         """A row for each sentence, token and mention of documents under the default segmentation, by its kind: s, t or m.
@@ -62,13 +88,13 @@ class Gazetteer:
         One pass over the texts gives all three: doc_id, kind, place (its number in the document), sent, start, end, text, label,
         is_stop, is_punct. Tokens that a mention overlaps are left out. None for dictionaries that don't fit a worker.
         """
-        if len(self.label_of) > WORKER_SURFACES:
+        matcher, stop = self._matcher(docs), frozenset(STOPWORDS)
+        if matcher is None:
             return None
-        matcher, stop = Matcher(self), frozenset(STOPWORDS)
 
         def rows(text: str) -> list[tuple]:
             sents = sentence_spans(text)
-            found = matcher.matches(text)
+            found = matcher().matches(text)
             out = [("s", i, i, a, b, text[a:b], "", False, False) for i, (a, b) in enumerate(sents)]
             starts = [a for a, _ in sents]
             out += [("m", k, max(0, bisect_right(starts, a) - 1), a, b, text[a:b], label, False, False) for k, (a, b, label) in enumerate(found)]
@@ -82,63 +108,31 @@ class Gazetteer:
 
         return in_rows(docs, columns_of(ANNOTATED_SCHEMA), rows)
 
-    def _labelled(self, spans: DataFrame, names: DataFrame) -> DataFrame:
-        return spans.join(names, self._key(F.col("text")) == names["key"]).select("doc_id", "start", "end", "label", F.lit(1.0).alias("score"), "text")
-
-    def _by_join(self, docs: DataFrame) -> DataFrame:
-        """Words of the text meet surfaces by their first word; what really stands there stays; then the leftmost-longest are taken."""
-        text = F.coalesce(F.col("text"), F.lit(""))
-        names = self._table(docs)
-        heads = in_rows(names.select(F.col("key").alias("doc_id"), F.col("key").alias("text")), {"head": "string"}, lambda key: [(_HEAD.search(key)[0],)])
-        names = names.join(heads.withColumnRenamed("doc_id", "key"), "key").withColumnRenamed("head", "_head")
-        low = (lambda w: w) if self.case_sensitive else str.lower
-        words = in_rows(docs, {"start": "int", "_head": "string"}, lambda text: [(m.start(), low(m[0])) for m in _HEAD.finditer(text)])
-        near = words.join(names, "_head").join(docs.select("doc_id", text.alias("_text")), "doc_id").withColumn("text", F.substring(F.col("_text"), F.col("start") + 1, F.length("key")))
-        inside = lambda c: F.coalesce(c, F.lit("")).rlike(r"^[\p{L}\p{N}_]$")
-        before = F.when(F.col("start") > 0, F.substring(F.col("_text"), F.col("start"), F.lit(1)))
-        after = F.substring(F.col("_text"), F.col("start") + F.length("key") + 1, F.lit(1))
-        near = near.filter((self._key(F.col("text")) == F.col("key")) & ~inside(before) & ~inside(after))
-        spans = near.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", (-F.length("key")).alias("size"), "text"))).alias("_spans"))
-        none = F.lit(None).cast("array<struct<start:int,size:int,text:string>>")
-        taken = F.aggregate(
-            "_spans",
-            F.struct(F.lit(0).alias("free"), F.coalesce(none, F.slice("_spans", 1, 0)).alias("kept")),
-            lambda s, m: F.when(m["start"] >= s["free"], F.struct((m["start"] - m["size"]).alias("free"), F.concat(s["kept"], F.array(m)).alias("kept"))).otherwise(s),
-        )["kept"]
-        spans = spans.select("doc_id", F.explode(taken).alias("_m")).select("doc_id", "_m.start", (F.col("_m.start") - F.col("_m.size")).cast("int").alias("end"), "_m.text")
-        return self._labelled(spans, names.select("key", "label"))
-
-
-class Matcher:
-    """A dictionary on a worker: the surfaces by their first word or sign, the longest first."""
-
-    def __init__(self, gazetteer: Gazetteer):
-        self.case_sensitive = gazetteer.case_sensitive
-        self.label_of = gazetteer.label_of
-        self.by_head: dict[str, list[str]] = {}
-        for key in sorted(self.label_of, key=lambda k: (-len(k), k)):
-            self.by_head.setdefault(_HEAD.search(key)[0], []).append(key)
-
-    def matches(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, label): from left to right, the longest at each place, never inside a word."""
-        found, free = [], 0
-        for m in _HEAD.finditer(text):
-            at = m.start()
-            keys = self.by_head.get(m[0] if self.case_sensitive else m[0].lower())
-            if keys is None or at < free or at and _is_word(text[at - 1]) and not _is_word(m[0][0]):
-                continue
-            for key in keys:
-                end = at + len(key)
-                own = text[at:end]
-                if (own if self.case_sensitive else own.lower()) == key and not (end < len(text) and _is_word(text[end])):
-                    found.append((at, end, self.label_of[key]))
-                    free = end
-                    break
-        return found
-
-
-def _is_word(c: str) -> bool:
-    return c.isalnum() or c == "_"
+    def _by_shards(self, docs: DataFrame, shards: list[PackedDictionary]) -> DataFrame:
+        """Matches of each shard, a pass over the texts each; then one exchange of the matches, of which the leftmost-longest are kept.
+
+        The matches of a document go by in order in one task, which holds the end of the last one kept.
+        """
+        found = None
+        for shard in shards:
+            sent = docs.sparkSession.sparkContext.broadcast(shard)
+            own = in_rows(docs, columns_of(SPANS_SCHEMA), lambda text, sent=sent: [(a, b, label, 1.0, text[a:b]) for a, b, label in sent.value.all_matches(text)])
+            found = own if found is None else found.unionByName(own)
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, free = None, 0
+            for batch in batches:
+                take = []
+                for i, (doc, start, end) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                    if doc != last:
+                        last, free = doc, 0
+                    if start >= free:
+                        take.append(i)
+                        free = end
+                yield batch.take(pa.array(take, pa.int32()))
+
+        ordered = found.repartition("doc_id").sortWithinPartitions("doc_id", "start", F.desc("end"))
+        return ordered.mapInArrow(kept, ordered.schema)
 
 
 class SpanExtractor:

@@ -108,11 +108,11 @@ def gazetteer_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gazetteer_longest(spark: SparkSession, d: str) -> DataFrame:
-    """Matches of all surfaces, of several words too, by the join over first words; its rows equal those of the workers' dictionary."""
+    """Matches of all surfaces, of several words too, by packed shards of the dictionary; their rows equal those of the workers' dictionary."""
     docs = _docs(spark, d)
     g = Gazetteer(GAZETTEER)
     columns = ["doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label", "text"]
-    both = g._by_join(docs).select(*columns, F.lit(1).alias("j"), F.lit(0).alias("p")).unionByName(g.spans(docs).select(*columns, F.lit(0).alias("j"), F.lit(1).alias("p")))
+    both = g._by_shards(docs, g.shards(400)).select(*columns, F.lit(1).alias("j"), F.lit(0).alias("p")).unionByName(g.spans(docs).select(*columns, F.lit(0).alias("j"), F.lit(1).alias("p")))
     return both.groupBy("doc_id", "start", "end", "label", "text").agg(F.sum("j").alias("by_join"), F.sum("p").alias("by_pattern"))
 
 
