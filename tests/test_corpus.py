@@ -1,6 +1,8 @@
 """Sources, contexts and the command line."""
 
 import json
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftnet import cli
+from weftnet.functions.text import STOPWORDS
 from weftnet.operators.context import EdgeClusterer, bag_of_words, dbscan
 from weftnet.operators.extract import Gazetteer
 from weftnet.plans.pipeline import NetworkPipeline
@@ -97,6 +100,32 @@ def test_clusters(spark):
     assert sum(bag.values()) == 3 and max(bag.values()) >= 2
 
 
+@pytest.mark.parametrize("least,metric,eps,block", [(3, "cosine", 0.2, 20), (2, "euclidean", 0.6, 25)])
+def test_clusters_in_blocks(spark, least, metric, eps, block):
+    """An edge whose contexts are dealt to many blocks has the clusters of one matrix of all of them."""
+    rnd = np.random.default_rng(least)
+    themes = [["red", "blue", "green", "grey", "pink"], ["apple", "pear", "plum", "fig", "lime"], ["rain", "snow", "hail", "fog", "wind"]]
+    texts = [f"Ada {' '.join(rnd.choice(themes[rnd.integers(3)], 3))} Bo" + (f" odd{k}" if k % 4 == 0 else "") + "." for k in range(60)] + ["Ada Bo.", "Ada Bo.", "Ada met Rome."]
+    n = NetworkPipeline(Gazetteer({"P": ["Ada", "Bo"], "L": ["Rome"]}), window=0).run(corpus.from_texts(spark, texts))
+    clusterer = EdgeClusterer(eps=eps, min_samples=least, metric=metric, block=block)
+    got = clusterer.memberships(n, pairs=[("Ada", "Bo")]).orderBy("source", "target").collect()
+    vectors = np.zeros((62, 2048))
+    for i, t in enumerate(texts[:62]):
+        for w in re.findall(r"\w+", t.lower()):
+            if w not in STOPWORDS:
+                vectors[i, zlib.crc32(w.encode()) % 2048] += 1
+    sizes = np.sqrt((vectors**2).sum(axis=1))
+    unit = np.divide(vectors, sizes[:, None], out=np.zeros_like(vectors), where=sizes[:, None] > 0) if metric == "euclidean" else vectors
+    want = dbscan(unit, eps, least, metric)
+    assert [r.label for r in got] == want.tolist() and len(set(want.tolist())) > 2
+    assert clusterer.memberships(n, pairs=[("Ada", "Rome")]).first()["label"] == 0
+    means = {(r.label, r.bucket): r.value for r in clusterer.centroids(n, pairs=[("Ada", "Bo")]).collect()}
+    unit = np.divide(vectors, sizes[:, None], out=np.zeros_like(vectors), where=sizes[:, None] > 0)
+    for label in set(want.tolist()):
+        mean = unit[want == label].mean(axis=0)
+        assert {b for k, b in means if k == label} == set(np.flatnonzero(mean).tolist()) and all(abs(means[label, b] - mean[b]) < 1e-12 for b in np.flatnonzero(mean).tolist())
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in.csv").write_text("id,body\n1,Ada met Bo.\n2,Bo met Ada.\n", encoding="utf-8")
     (tmp_path / "names.json").write_text(json.dumps({"P": ["Ada", "Bo"]}), encoding="utf-8")

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection, Iterable
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftnet.functions.tables import dense_ids, staged
 from weftnet.functions.text import STOPWORDS, WORD
 from weftnet.operators.network import Network
+from weftnet.sources.exports import connected_parts
 
 Embedder = Callable[[list[str]], np.ndarray]
 
-CLUSTERS_SCHEMA = "src long, dst long, label long, size long, weight double, members array<struct<source:bigint,target:bigint>>, centroid array<float>"
+#: Contexts of an edge that are compared with as many others in one task.
+BLOCK = 1024
 
 
 def buckets(context: Column, n_features: int = 2048, stopwords: Collection[str] | None = None) -> Column:
@@ -91,67 +94,225 @@ def dbscan(vectors: np.ndarray, eps: float, min_samples: int = 1, metric: str =
     return labels
 
 
-def bag_matrix(bags: list[dict[int, int]]) -> np.ndarray:
-    """Bags as rows over the buckets that any of them has."""
-    used = {b: i for i, b in enumerate(sorted({b for bag in bags for b in bag}))}
-    out = np.zeros((len(bags), max(1, len(used))))
-    for i, bag in enumerate(bags):
-        for b, n in bag.items():
-            out[i, used[b]] = n
-    return out
+class Block:
+    """Vectors of some contexts of an edge: rows of (buckets, values) for bags, or dense rows."""
+
+    def __init__(self, rows: pa.Table, sparse: bool):
+        self.ids = rows.column("vid").to_numpy()
+        self.times = rows.column("times").to_numpy()
+        self.core = rows.column("core").to_numpy(zero_copy_only=False)
+        values = rows.column("values").combine_chunks()
+        flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        self.sparse, n = sparse, len(self.ids)
+        if sparse:
+            sizes = np.diff(values.offsets.to_numpy())
+            keys, owner = rows.column("keys").combine_chunks().flatten().to_numpy(), np.repeat(np.arange(n), sizes)
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.owner, self.values = keys[order], owner[order], flat[order]
+            self.used, self.begins = np.unique(self.keys, return_index=True)
+            self.ends = np.append(self.begins[1:], len(self.keys))
+            self.own = np.bincount(self.owner, weights=self.values**2, minlength=n)
+        else:
+            self.dense = flat.reshape(n, -1) if n else flat.reshape(0, 0)
+            self.own = np.einsum("ij,ij->i", self.dense, self.dense)
+
+    def within(self, other: Block, cosine: float) -> np.ndarray:
+        """Which bags may have a cosine of so much with one of the other block: each bucket counts with the most that any unit vector there has in it."""
+        unit = other.values / np.sqrt(other.own)[other.owner]
+        most = np.maximum.reduceat(unit, other.begins) if len(unit) else unit
+        at = np.searchsorted(other.used, self.keys)
+        known = at < len(other.used)
+        known[known] = other.used[at[known]] == self.keys[known]
+        bound = np.bincount(self.owner[known], weights=self.values[known] * most[at[known]], minlength=len(self.ids))
+        return bound >= (cosine - 1e-9) * np.sqrt(self.own)
+
+    def dots(self, other: Block, rows: np.ndarray) -> np.ndarray:
+        """Dot products; of bags bucket by bucket, for the rows that may be near."""
+        if not self.sparse:
+            return self.dense @ other.dense.T
+        out = np.zeros((len(self.ids), len(other.ids)))
+        _, mine, theirs = np.intersect1d(self.used, other.used, assume_unique=True, return_indices=True)
+        for i, j in zip(mine.tolist(), theirs.tolist(), strict=True):
+            a, b = slice(self.begins[i], self.ends[i]), slice(other.begins[j], other.ends[j])
+            kept = rows[self.owner[a]]
+            if kept.any():
+                out[np.ix_(self.owner[a][kept], other.owner[b])] += np.outer(self.values[a][kept], other.values[b])
+        return out
+
+    def near(self, other: Block, eps: float, metric: str, same: bool) -> np.ndarray:
+        """Whether contexts lie within eps. Bags are compared as unit vectors; the cosine distance to a zero vector is 1."""
+        rows = np.ones(len(self.ids), bool)
+        if self.sparse and not same and metric == "cosine" and eps < 1:
+            rows = self.within(other, 1 - eps)
+        dots, sizes = self.dots(other, rows), np.sqrt(self.own[:, None] * other.own[None, :])
+        cosine = np.divide(dots, sizes, out=np.zeros_like(dots), where=sizes > 0)
+        if metric == "cosine":
+            close = np.clip(1 - cosine, 0, 2) <= eps
+        else:
+            a, b = ((self.own > 0) * 1.0, (other.own > 0) * 1.0) if self.sparse else (self.own, other.own)
+            close = np.sqrt(np.clip(a[:, None] + b[None, :] - 2 * (cosine if self.sparse else dots), 0, None)) <= eps
+        if same:
+            np.fill_diagonal(close, True)
+        return close
+
+
+def _roots(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least id that each row and column of a block pair reaches over its links."""
+    a, b, none = left.copy(), right.copy(), np.iinfo(np.int64).max
+    while True:
+        new_b = np.minimum(b, np.where(close, a[:, None], none).min(axis=0, initial=none))
+        new_a = np.minimum(a, np.where(close, new_b[None, :], none).min(axis=1, initial=none))
+        if (new_a == a).all() and (new_b == b).all():
+            return a, b
+        a, b = new_a, new_b
 
 
 class EdgeClusterer:
     """Clusters the contexts of each edge by DBSCAN.
 
-    embed: function from texts to a matrix, run on the workers, whose clusters have centroids; None uses hashed bags of words, made in Spark. Equal contexts of an
-    edge are embedded and compared once and count as often as they occur.
+    embed: function from texts to a matrix, run on the workers; None uses hashed bags of words, made in Spark. Equal contexts of an
+    edge are embedded and compared once and count as often as they occur. An edge's contexts are dealt to blocks of `block`, and pairs of
+    blocks are compared in tasks of their own: they give counts of neighbours, then a tree of links between cores instead of all links, and
+    the first core of every other context. Components of these are found in Spark; no task holds more than two blocks.
     """
 
-    def __init__(self, eps: float = 0.25, min_samples: int = 1, metric: str = "cosine", n_features: int = 2048, embed: Embedder | None = None, keep_centroids: bool = True):
+    def __init__(self, eps: float = 0.25, min_samples: int = 1, metric: str = "cosine", n_features: int = 2048, embed: Embedder | None = None, keep_centroids: bool = True, block: int = BLOCK):
         if metric not in ("cosine", "euclidean"):
             raise ValueError("metric is 'cosine' or 'euclidean'")
         if eps < 0 or min_samples < 1:
             raise ValueError("eps must be 0 or more, min_samples 1 or more")
-        self.eps, self.min_samples, self.metric, self.n_features, self.embed, self.keep_centroids = eps, min_samples, metric, n_features, embed, keep_centroids
+        self.eps, self.min_samples, self.metric, self.n_features, self.embed, self.keep_centroids, self.block = eps, min_samples, metric, n_features, embed, keep_centroids, block
 
     def cluster_edge(self, network: Network, a, b) -> DataFrame:
         """Clusters of one pair; none if it has no cooccurrence."""
-        return self._cluster(network, network.cooccurrences(a, b))
+        return self._summary(*self._labelled(network, network.cooccurrences(a, b)))
 
     def cluster_edges(self, network: Network, min_weight: float = 0.0, top_k: int | None = None, pairs: Iterable[tuple] | None = None) -> DataFrame:
-        """Clusters of the given pairs of entities, or else of the edges that edge_table gives: src, dst, label, size, weight, members, centroid."""
+        """Clusters of the given pairs of entities, or else of the edges that edge_table gives: src, dst, label, size, weight, members, centroid.
+
+        members is an array in a row; memberships() and centroids() give the same as rows, however large a cluster is.
+        """
+        return self._summary(*self._labelled(network, self._instances(network, min_weight, top_k, pairs)))
+
+    def memberships(self, network: Network, min_weight: float = 0.0, top_k: int | None = None, pairs: Iterable[tuple] | None = None) -> DataFrame:
+        """(src, dst, label, source, target, weight): a row for each cooccurrence of the edges; -1 is noise."""
+        rows, labels = self._labelled(network, self._instances(network, min_weight, top_k, pairs))
+        return self._members(rows, labels)
+
+    def centroids(self, network: Network, min_weight: float = 0.0, top_k: int | None = None, pairs: Iterable[tuple] | None = None) -> DataFrame:
+        """(src, dst, label, bucket, value): the mean of a cluster's vectors, of bags as unit vectors, where it isn't 0; a row for each bucket or dimension."""
+        return self._centroid_rows(self._labelled(network, self._instances(network, min_weight, top_k, pairs))[1])
+
+    def _instances(self, network: Network, min_weight: float, top_k: int | None, pairs: Iterable[tuple] | None) -> DataFrame:
         if pairs is None:
             edges = network.edge_table(min_weight, top_k).select("src", "dst")
         else:
             ids = sorted({tuple(sorted((network.entity(a)["entity_id"], network.entity(b)["entity_id"]))) for a, b in pairs})
             edges = network.spark.createDataFrame(ids, "src long, dst long")
-        pairs = network.all_cooccurrences().withColumns({"src": F.least("a", "b"), "dst": F.greatest("a", "b")})
-        return self._cluster(network, pairs.join(edges, ["src", "dst"], "left_semi"))
+        found = network.all_cooccurrences().withColumns({"src": F.least("a", "b"), "dst": F.greatest("a", "b")})
+        return found.join(edges, ["src", "dst"], "left_semi")
 
-    def _cluster(self, network: Network, pairs: DataFrame) -> DataFrame:
+    def _labelled(self, network: Network, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(src, dst, key, source, target, weight) of the cooccurrences, and (src, dst, key, vid, times, keys, values, label) of their distinct contexts."""
         rows = network.with_contexts(pairs.withColumns({"src": F.least("a", "b"), "dst": F.greatest("a", "b")}))
-        member = F.struct("source", "target")
-        once = rows.groupBy("src", "dst", "context").agg(F.array_sort(F.collect_list(member)).alias("members"), F.sum("weight").alias("weight"), F.min(member).alias("first"))
-        once = bag_of_words(once, self.n_features) if self.embed is None else once.withColumn("bag", F.lit(None).cast("map<int,int>"))
-        once = once.select("src", "dst", "context", "weight", F.size("members").alias("times"), F.col("first.source").alias("source"), F.col("first.target").alias("target"), F.map_entries("bag").alias("bag"))
-        labelled = once.groupBy("src", "dst").applyInPandas(lambda edge: self._label(edge), "src long, dst long, context string, label long, vector array<float>")
-        told = rows.join(labelled, ["src", "dst", "context"])
-        found = told.groupBy("src", "dst", "label").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"), F.array_sort(F.collect_list(member)).alias("members"), F.collect_list("vector").alias("_vectors"))
-        dims = F.size(F.col("_vectors")[0])
-        centroid = F.transform(F.sequence(F.lit(0), dims - 1), lambda i: (F.aggregate("_vectors", F.lit(0.0), lambda s, v: s + F.get(v, i)) / F.col("size")).cast("float"))
-        return found.select("src", "dst", "label", "size", "weight", "members", F.when(F.lit(self.keep_centroids) & (dims > 0), centroid).alias("centroid"))
-
-    def _label(self, edge: pd.DataFrame) -> pd.DataFrame:
-        """Labels and vectors of the distinct contexts of one edge."""
-        edge = edge.sort_values(["source", "target"]).reset_index(drop=True)
-        if self.embed is not None:
-            vectors = np.asarray(self.embed(edge["context"].tolist()), np.float64)
-        else:
-            vectors = bag_matrix([{e["key"]: e["value"] for e in (bag if bag is not None else [])} for bag in edge["bag"]])
-        if edge["times"].sum() == 1:
-            labels = np.zeros(1, np.int64)
+        rows = staged(rows.select("src", "dst", F.md5("context").alias("key"), "source", "target", "weight", "context"), "instances")
+        once = rows.groupBy("src", "dst", "key").agg(F.count("*").alias("times"), F.min(F.struct("source", "target")).alias("first"), F.first("context").alias("context"))
+        once = self._vectors(once)
+        # vid is in the order of edges, and of first cooccurrences in them
+        once = dense_ids(once.select("src", "dst", "key", "times", F.col("first.source").alias("_s"), F.col("first.target").alias("_t"), "keys", "values"), ["src", "dst", "_s", "_t"], "vid")
+        edges = once.groupBy("src", "dst").agg(F.count("*").alias("_n"), F.sum("times").alias("_all"))
+        once = once.join(edges, ["src", "dst"]).withColumn("blocks", F.ceil(F.col("_n") / self.block).cast("int"))
+        once = staged(once.withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")).drop("_s", "_t", "_n"), "contexts")
+        labels = staged(self._labels(once), "labels")
+        return rows.drop("context"), once.join(labels, "vid").select("src", "dst", "key", "vid", "times", "keys", "values", "label")
+
+    def _vectors(self, once: DataFrame) -> DataFrame:
+        """once with keys and values instead of context: buckets and counts, or no keys and what embed gives."""
+        if self.embed is None:
+            entries = F.array_sort(F.map_entries("bag"))
+            bags = bag_of_words(once, self.n_features).withColumn("_e", entries)
+            return bags.withColumns({"keys": F.transform("_e", lambda e: e["key"]), "values": F.transform("_e", lambda e: e["value"].cast("double"))}).drop("bag", "_e", "context")
+        embed, names = self.embed, [c for c in once.columns if c != "context"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column("context").to_pylist()
+                vectors = np.asarray(embed(texts), np.float64) if texts else np.zeros((0, 0))
+                columns = [*(batch.column(c) for c in names), pa.array([[]] * len(texts), pa.list_(pa.int32())), pa.array(list(vectors), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "keys", "values"])
+
+        kinds = ", ".join(f"{c} {once.schema[c].dataType.simpleString()}" for c in names)
+        return once.mapInArrow(run, f"{kinds}, keys array<int>, values array<double>")
+
+    def _compared(self, once: DataFrame, links: bool) -> DataFrame:
+        """(kind, a, b) over all pairs of blocks of an edge: n, neighbours b of a; or link, a core b that core a reaches; first, a core b near a that is none."""
+        partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        dealt = once.select("src", "dst", "vid", "times", "core", "keys", "values", "block", partner.alias("_p")).withColumns({"i": F.least("block", "_p"), "j": F.greatest("block", "_p")})
+        eps, metric, sparse = self.eps, self.metric, self.embed is None
+
+        def run(table: pa.Table) -> pa.Table:
+            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+            at = table.column("block").to_numpy()
+            left = Block(table.filter(pa.array(at == i)), sparse)
+            right = left if i == j else Block(table.filter(pa.array(at == j)), sparse)
+            close = left.near(right, eps, metric, i == j)
+            out: list[tuple[str, np.ndarray, np.ndarray]] = []
+            if not links:
+                out.append(("n", left.ids, close @ right.times))
+                if i != j:
+                    out.append(("n", right.ids, left.times @ close))
+            else:
+                both = close & left.core[:, None] & right.core[None, :]
+                for ids, roots in zip((left.ids, right.ids), _roots(both, left.ids, right.ids), strict=True):
+                    out.append(("link", ids[roots < ids], roots[roots < ids]))
+                sides = [(left, right, close)] if i == j else [(left, right, close), (right, left, close.T)]
+                for own, other, near in sides:
+                    first = np.where(near & other.core[None, :], other.ids[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+                    has = ~own.core & (first < np.iinfo(np.int64).max)
+                    out.append(("first", own.ids[has], first[has]))
+            kinds = np.repeat([k for k, _, _ in out], [len(a) for _, a, _ in out])
+            return pa.table({"kind": pa.array(kinds.tolist(), pa.string()), "a": pa.array(np.concatenate([a for _, a, _ in out]), pa.int64()), "b": pa.array(np.concatenate([b for _, _, b in out]), pa.int64())})
+
+        return dealt.groupBy("src", "dst", "i", "j").applyInArrow(run, "kind string, a long, b long")
+
+    def _labels(self, once: DataFrame) -> DataFrame:
+        """(vid, label): clusters of an edge count from 0 in the order of their first contexts; noise is -1."""
+        alone = F.col("_all") == 1  # an edge with a single cooccurrence is a cluster whatever min_samples is
+        if self.min_samples == 1:
+            once = once.withColumn("core", F.lit(True))
         else:
-            labels = dbscan(vectors, self.eps, self.min_samples, self.metric, edge["times"].to_numpy())
-        kept = [v.astype(np.float32).tolist() for v in vectors] if self.keep_centroids and self.embed is not None else [[] for _ in vectors]
-        return pd.DataFrame({"src": edge["src"], "dst": edge["dst"], "context": edge["context"], "label": labels, "vector": kept})
+            counts = self._compared(once.withColumn("core", F.lit(True)), False).groupBy(F.col("a").alias("vid")).agg(F.sum("b").alias("_near"))
+            once = staged(once.join(counts, "vid").withColumn("core", (F.col("_near") >= self.min_samples) | alone), "cores")
+        found = staged(self._compared(once, True), "links")
+        parts = connected_parts(found.filter("kind = 'link'").select(F.col("a").alias("source"), F.col("b").alias("target")))
+        own = once.filter("core").select("src", "dst", "vid").join(parts.select(F.col("id").alias("vid"), "part"), "vid", "left").withColumn("part", F.coalesce("part", "vid"))
+        own = staged(own, "core-parts")
+        first = found.filter("kind = 'first'").groupBy(F.col("a").alias("_border")).agg(F.min("b").alias("vid"))
+        border = own.join(first, "vid").select("src", "dst", F.col("_border").alias("vid"), "part")
+        placed = staged(own.select("src", "dst", "vid", "part").unionByName(border), "placed")
+        # the order of clusters over all edges, less that of the edge's first one
+        clusters = dense_ids(placed.groupBy("src", "dst", "part").agg(F.min("vid").alias("_member")), ["_member"], "_number")
+        clusters = staged(clusters, "clusters")
+        least = clusters.groupBy("src", "dst").agg(F.min("_number").alias("_least"))
+        named = clusters.join(least, ["src", "dst"]).select("part", (F.col("_number") - F.col("_least")).alias("label"))
+        return once.select("vid").join(placed.join(named, "part").select("vid", "label"), "vid", "left").select("vid", F.coalesce("label", F.lit(-1).cast("long")).alias("label"))
+
+    def _members(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels.select("src", "dst", "key", "label"), ["src", "dst", "key"]).select("src", "dst", "label", "source", "target", "weight")
+
+    def _centroid_rows(self, labels: DataFrame) -> DataFrame:
+        norm = F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, v: s + v * v)) if self.embed is None else F.lit(1.0)
+        index = (lambda: F.arrays_zip("keys", "values")) if self.embed is None else (lambda: F.transform("values", lambda v, i: F.struct(i.alias("keys"), v.alias("values"))))
+        each = labels.select("src", "dst", "label", "times", norm.alias("_norm"), F.explode(index()).alias("_e"))
+        sizes = labels.groupBy("src", "dst", "label").agg(F.sum("times").alias("_size"))
+        sums = each.groupBy("src", "dst", "label", F.col("_e.keys").alias("bucket")).agg(F.sum(F.col("_e.values") / F.col("_norm") * F.col("times")).alias("_sum"))
+        return sums.join(sizes, ["src", "dst", "label"]).select("src", "dst", "label", "bucket", (F.col("_sum") / F.col("_size")).alias("value"))
+
+    def _summary(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        member = F.struct("source", "target")
+        told = self._members(rows, labels)
+        found = told.groupBy("src", "dst", "label").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"), F.array_sort(F.collect_list(member)).alias("members"))
+        if self.embed is None or not self.keep_centroids:
+            return found.withColumn("centroid", F.lit(None).cast("array<float>"))
+        dense = self._centroid_rows(labels).groupBy("src", "dst", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "value"))), lambda e: e["value"].cast("float")).alias("centroid"))
+        return found.join(dense, ["src", "dst", "label"], "left")

@@ -363,6 +363,16 @@ def context_clusters(spark: SparkSession, d: str) -> DataFrame:
     return found.select("src", "dst", "label", "size", F.round("weight", 6).alias("weight"))
 
 
+def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
+    """Means of the unit bags of each such cluster, a row for each bucket."""
+    return EdgeClusterer(eps=0.5, min_samples=1).centroids(network(spark, d), top_k=20).withColumn("value", F.round("value", 6))
+
+
+def cluster_members(spark: SparkSession, d: str) -> DataFrame:
+    """The cluster of each cooccurrence of these edges where a core has three contexts within eps; small blocks, so that edges are compared in pairs of them."""
+    return EdgeClusterer(eps=0.4, min_samples=3, block=16).memberships(network(spark, d), top_k=20).select("src", "dst", "label", "source", "target")
+
+
 def conversation_edges(spark: SparkSession, d: str) -> DataFrame:
     """A conversation is a document, each turn a line of it."""
     turns = spark.read.parquet(TABLE.format(d, "conversations"))
@@ -481,6 +491,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "laid_out_neighbours": laid_out_neighbours,
         "bow_buckets": bow_buckets,
         "context_clusters": context_clusters,
+        "cluster_centroids": cluster_centroids,
+        "cluster_members": cluster_members,
         "conversation_edges": conversation_edges,
         "csv_round_trip": csv_round_trip,
         "rel_edges": rel_edges,
@@ -605,6 +617,37 @@ WITH names AS (SELECT l_orderkey AS doc_id, l_linenumber AS sent, unnest(['BRAND
 inc AS (SELECT doc_id, sent, e, count(*) AS n FROM names GROUP BY ALL)"""
 
 
+#: crc32 of the words of {words}(w), by a fold over their bytes with a table made here by its rule.
+_CRC = """, crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+hexes AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM {words}),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(generate_series(1, len(h), 2), lambda i: CAST(instr('0123456789ABCDEF', h[i]) * 16 + instr('0123456789ABCDEF', h[i + 1]) - 17 AS BIGINT))), lambda c, z: xor(c >> 8, t[(xor(c, z) & 255) + 1])), 4294967295) AS c FROM hexes, crc)"""
+
+
+def _words(text: str) -> str:
+    """Words of a text that are no stop words, as a list."""
+    return f"list_filter(regexp_extract_all(lower({text}), '[{_WORD}]+'), lambda x: x NOT IN ({', '.join(map(_text, _STOP))}))"
+
+
+def _clusters(eps: float, least: int) -> str:
+    """Contexts of the 20 heaviest edges, their bags, which are near each other, which are cores, and their clusters by reachability."""
+    return f""", top AS (SELECT src, dst FROM edges ORDER BY edges.weight DESC, src, dst LIMIT 20),
+ci AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, source, target, exp(-delta) AS w, (SELECT string_agg(s.text, ' ' ORDER BY s.sent) FROM sents s WHERE s.doc_id = inst.doc_id AND s.sent BETWEEN inst.first_sent AND inst.last_sent) AS context FROM inst WHERE delta <= 2 AND (least(a, b), greatest(a, b)) IN (SELECT (src, dst) FROM top)),
+ctx AS (SELECT *, row_number() OVER (ORDER BY src, dst, first) AS id FROM (SELECT src, dst, context, min({{'s': source, 't': target}}) AS first, count(*) AS times FROM ci GROUP BY ALL)),
+cw AS (SELECT id, src, dst, times, unnest({_words("context")}) AS w FROM ctx){_CRC.format(words="cw")},
+bags AS (SELECT id, src, dst, times, c % 2048 AS b, count(*) AS n FROM cw JOIN hashed USING (w) GROUP BY ALL),
+norms AS (SELECT id, sum(n * n) AS o FROM bags GROUP BY id),
+dots AS (SELECT x.id AS i, y.id AS j, sum(x.n * y.n) AS dot FROM bags x JOIN bags y ON x.src = y.src AND x.dst = y.dst AND x.b = y.b WHERE x.id <> y.id GROUP BY ALL),
+near AS (SELECT i, j FROM dots JOIN norms p ON p.id = i JOIN norms q ON q.id = j WHERE 1 - dot / sqrt(p.o * q.o) <= {eps} UNION ALL SELECT id, id FROM ctx),
+alone AS (SELECT src, dst FROM ctx GROUP BY ALL HAVING sum(times) = 1),
+cores AS (SELECT i AS id FROM near JOIN ctx ON ctx.id = j GROUP BY i HAVING sum(times) >= {least} UNION SELECT id FROM ctx JOIN alone USING (src, dst)),
+reach(id, other) AS (SELECT id, id FROM cores UNION SELECT r.id, n.j FROM reach r JOIN near n ON r.other = n.i WHERE n.j IN (SELECT id FROM cores)),
+roots AS (SELECT id, min(other) AS part FROM reach GROUP BY id),
+own AS (SELECT ctx.id AS id, coalesce(r.part, (SELECT part FROM roots WHERE id = (SELECT min(j) FROM near WHERE i = ctx.id AND j IN (SELECT id FROM cores)))) AS part FROM ctx LEFT JOIN roots r USING (id)),
+firsts AS (SELECT part, min(id) AS first_id FROM own WHERE part IS NOT NULL GROUP BY part),
+ranked AS (SELECT part, dense_rank() OVER (PARTITION BY src, dst ORDER BY first_id) - 1 AS label FROM firsts JOIN ctx ON ctx.id = first_id),
+labels AS (SELECT id, src, dst, context, times, coalesce(label, -1) AS label FROM ctx JOIN own USING (id) LEFT JOIN ranked USING (part))"""
+
+
 def oracle_sql() -> dict[str, str]:
     base = _base()
     default = "SELECT src, dst, round(weight, 6) AS weight, count FROM edges"
@@ -693,6 +736,11 @@ def oracle_sql() -> dict[str, str]:
 reach(id, other) AS (SELECT DISTINCT a, a FROM ends UNION SELECT r.id, e.b FROM reach r JOIN ends e ON r.other = e.a),
 parts AS (SELECT id, min(other) AS part FROM reach GROUP BY id)
 SELECT id, part, count(*) OVER (PARTITION BY part) AS size FROM parts"""
+    recursive = base.replace("WITH gaz", "WITH RECURSIVE gaz", 1)
+    found["context_clusters"] = recursive + _clusters(0.5, 1) + " SELECT src, dst, label, count(*) AS size, round(sum(w), 6) AS weight FROM ci JOIN labels USING (src, dst, context) GROUP BY ALL"
+    found["cluster_centroids"] = recursive + _clusters(0.5, 1) + ", many AS (SELECT src, dst, label, sum(times) AS size FROM labels GROUP BY ALL) SELECT l.src AS src, l.dst AS dst, l.label AS label, CAST(b AS INTEGER) AS bucket, round(sum(n / sqrt(o) * l.times) / any_value(size), 6) AS value FROM labels l JOIN bags USING (id) JOIN norms USING (id) JOIN many m ON m.src = l.src AND m.dst = l.dst AND m.label = l.label GROUP BY ALL"
+    found["cluster_members"] = recursive + _clusters(0.4, 3) + " SELECT src, dst, label, source, target FROM ci JOIN labels USING (src, dst, context)"
+    found["bow_buckets"] = base + f", bw AS (SELECT doc_id, sent, unnest({_words('text')}) AS w FROM sents SEMI JOIN m USING (doc_id, sent)){_CRC.format(words='bw')} SELECT doc_id, CAST(sent AS INTEGER) AS sent, CAST(c % 64 AS INTEGER) AS bucket, CAST(count(*) AS INTEGER) AS n FROM bw JOIN hashed USING (w) GROUP BY ALL"
     found["csv_round_trip"] = "SELECT item_id, trim(text) AS text, CAST(0 AS BIGINT) AS n_meta FROM benchmark"
     found["rel_edges"] = _REL + """ SELECT least(x.e, y.e) AS src, greatest(x.e, y.e) AS dst, round(sum(x.n * y.n * (1.0::DOUBLE / (1 + y.sent - x.sent))), 6) AS weight, CAST(sum(x.n * y.n) AS BIGINT) AS count
 FROM inc x JOIN inc y ON x.doc_id = y.doc_id AND y.sent BETWEEN x.sent AND x.sent + 2 AND (x.e < y.e OR x.e > y.e AND y.sent > x.sent) GROUP BY ALL"""
