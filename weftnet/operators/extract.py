@@ -36,6 +36,7 @@ class Gazetteer:
                     self.label_of[self.key(surface)] = label
                     self.forms.append(surface)
         self._shards: list[PackedDictionary] | None = None
+        self._local: Matcher | None = None
         if not self.forms:
             raise ValueError("the gazetteer has no surface forms")
 
@@ -47,7 +48,7 @@ class Gazetteer:
         return frozenset(self.label_of.values())
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_shards": None}
+        return self.__dict__ | {"_shards": None, "_local": None}
 
     def labelled(self) -> Iterator[tuple[str, str]]:
         """(surface, label) of all forms."""
@@ -65,6 +66,12 @@ class Gazetteer:
             self._shards = [PackedDictionary(d, self.case_sensitive) for d in dealt if d]
         return self._shards
 
+    def local_matcher(self) -> Matcher:
+        """The dictionary as it is, for single texts on this machine."""
+        if self._local is None:
+            self._local = Matcher(list(self.labelled()), self.case_sensitive)
+        return self._local
+
     def _matcher(self, docs: DataFrame) -> Callable[[], Matcher | PackedDictionary] | None:
         """What gives a worker its dictionary, or None if that has to be sharded. A small one goes with the function, a large one is broadcast."""
         if len(self.label_of) <= WORKER_SURFACES:

@@ -11,6 +11,7 @@ from weftnet.config import NetworkConfig
 from weftnet.functions.tables import staged
 from weftnet.functions.text import normal_name
 from weftnet.operators.align import align_spans, uncovered_tokens
+from weftnet.operators.annotate import Annotation, Annotator, tables
 from weftnet.operators.build import Normaliser
 from weftnet.operators.context import EdgeClusterer
 from weftnet.operators.extract import Gazetteer, SpanExtractor, SpacyExtractor
@@ -38,16 +39,39 @@ class NetworkPipeline:
         return self._extractor
 
     def annotate(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """documents (doc_id, text) -> (sentences, tokens, mentions), lazily."""
+        """documents (doc_id, text) -> (sentences, tokens, mentions).
+
+        Extractors that run text by text do so in one pass with the segmenter, whose rows are written once; others are joined, lazily.
+        """
+        if (annotator := Annotator.of(self.extractor, self.segmenter, docs)) is not None:
+            sents, toks, mentions = tables(staged(annotator.rows(docs), "annotated"))
+            return sents, toks.drop("covered"), mentions
+        return self._by_tables(docs)
+
+    def _by_tables(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         sents, toks = segment_with(docs, self.segmenter) if self.segmenter else (sentences(docs), tokens(docs))
-        if isinstance(self.extractor, SpanExtractor):
-            spans = self.extractor.spans(docs, sents)
-        elif isinstance(self.extractor, Gazetteer):
-            spans = self.extractor.spans(docs)
-        else:
-            spans = self.extractor(docs)
+        spans = self.extractor.spans(docs) if isinstance(self.extractor, Gazetteer) else self.extractor(docs)
         return sents, toks, align_spans(spans, sents)
 
+    def annotated_rows(self, docs: DataFrame) -> DataFrame:
+        """Sentences, tokens and mentions of documents as rows of their kinds, lazily; docs may be a stream."""
+        annotator = Annotator.of(self.extractor, self.segmenter, docs)
+        if annotator is None:
+            raise TypeError("the extractor doesn't run text by text")
+        return annotator.rows(docs)
+
+    def annotate_text(self, text: str) -> Annotation:
+        """The annotation of a single text, here and now, by the function that the workers run."""
+        if isinstance(self.extractor, Gazetteer):
+            return Annotator(self.extractor, self.segmenter, self.extractor.local_matcher).annotate([text])[0]
+        if isinstance(self.extractor, SpanExtractor):
+            return Annotator(self.extractor, self.segmenter).annotate([text])[0]
+        raise TypeError("the extractor doesn't run text by text")
+
+    def annotate_all(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """annotate(), with all three tables written."""
+        return tuple(staged(t, "annotation") for t in self.annotate(docs))
+
     def run(self, docs: DataFrame) -> Network:
         sents, toks, mentions = self.annotate_for_terms(docs)
         own = isinstance(self.extractor, Gazetteer) and self.segmenter is None
@@ -61,7 +85,10 @@ class NetworkPipeline:
             mentions = found.filter("kind = 'm'").select("doc_id", F.col("place").alias("ord"), "sent", "start", "end", "text", "label", F.lit(1.0).alias("score"), F.lit(-1).alias("token_start"), F.lit(-1).alias("token_end"))
             toks = found.filter("kind = 't'").select("doc_id", F.col("place").alias("pos"), "sent", "start", "end", "text", "is_stop", "is_punct", F.lit(False).alias("is_space"), F.lit("").alias("pos_tag"), F.lit("").alias("lemma"))
             return sents, toks, mentions
-        sents, toks, mentions = self.annotate(docs)
+        if (annotator := Annotator.of(self.extractor, self.segmenter, docs)) is not None:
+            sents, toks, mentions = tables(staged(annotator.rows(docs), "annotated"))
+            return sents, toks.filter("not covered").drop("covered"), mentions
+        sents, toks, mentions = self._by_tables(docs)
         mentions = staged(mentions, "aligned")
         return sents, uncovered_tokens(toks, mentions), mentions
 

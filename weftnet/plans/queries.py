@@ -151,6 +151,21 @@ def uncovered_counts(spark: SparkSession, d: str) -> DataFrame:
     return chars.join(by(uncovered_tokens(toks, align_spans(own, sents, toks)), "ranges"), "doc_id", "full_outer")
 
 
+def one_pass_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each kind of every document, and how many tokens its mentions cover, by own patterns in one pass over a stream of the texts."""
+    path = f"{shared_dir(spark)}/weftnet/arriving-{uuid.uuid4().hex[:12]}"
+    _docs(spark, d).repartition(4).write.parquet(path)
+    own = segment.PatternSegmenter(segment.BOUNDARY, segment.TOKEN)
+    pipeline = NetworkPipeline(Gazetteer(WORDS), segmenter=own)
+    stream = spark.readStream.schema("doc_id long, text string").parquet(path)
+    rows = pipeline.annotated_rows(stream)
+    query = rows.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema(rows.schema).parquet(f"{path}-out")
+    of = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
+    return found.groupBy("doc_id").agg(of("s").alias("n_sentences"), of("t").alias("n_tokens"), of("m").alias("n_mentions"), F.sum(F.coalesce(F.col("covered").cast("long"), F.lit(0))).alias("n_covered"))
+
+
 def mention_table(spark: SparkSession, d: str) -> DataFrame:
     return network(spark, d).mentions.select("mention_id", "doc_id", "entity_id", *[F.col(c).cast("long").alias(c) for c in ("sent", "start", "end")])
 
@@ -427,6 +442,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "token_ranges": token_ranges,
         "nested_spans": nested_spans,
         "uncovered_counts": uncovered_counts,
+        "one_pass_counts": one_pass_counts,
         "mention_table": mention_table,
         "numbered_sentences": numbered_sentences,
         "pair_weights": pair_weights,
@@ -720,6 +736,7 @@ def oracle_sql() -> dict[str, str]:
         "spark_csv_edges": " SELECT x.text AS source, x.label AS source_label, y.text AS target, y.label AS target_label, round(edges.weight, 6) AS weight, edges.count AS count FROM edges JOIN ents x ON src = x.entity_id JOIN ents y ON dst = y.entity_id",
         "spark_json_nodes": f" SELECT {node} AS id, 'entity' AS kind, text, norm, label, CAST(NULL AS VARCHAR) AS pos, count FROM ents",
         "mention_table": _PLACED + " SELECT mention_id, doc_id, entity_id, sent, start, \"end\" FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS ord FROM pments) JOIN m2 USING (doc_id, ord)",
+        "one_pass_counts": f", tk AS (SELECT doc_id, count(*) AS n, CAST(sum((NOT ({_free('t')}))::INT) AS BIGINT) AS c FROM toks GROUP BY doc_id), se2 AS (SELECT doc_id, count(*) AS n FROM sents GROUP BY doc_id), me AS (SELECT doc_id, count(*) AS n FROM ments GROUP BY doc_id) SELECT se2.doc_id AS doc_id, se2.n AS n_sentences, coalesce(tk.n, 0) AS n_tokens, coalesce(me.n, 0) AS n_mentions, coalesce(c, 0) AS n_covered FROM se2 LEFT JOIN tk USING (doc_id) LEFT JOIN me USING (doc_id)",
         "nested_spans": _PLACED + _OVER + " SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY o.start, o.e, label) - 1 AS ord, o.start AS start, o.e AS \"end\", (SELECT max(sent) FROM psents p WHERE p.doc_id = o.doc_id AND p.s_start <= o.start AND p.sent BETWEEN o.sent - 1 AND o.sent + 1) AS sent, token_start, token_end FROM over_ o JOIN touched USING (doc_id, label, pos)",
         "uncovered_counts": _PLACED + _OVER + " SELECT doc_id, count(*) AS n_chars, CAST(sum(pos) AS BIGINT) AS sum_chars, count(*) AS n_ranges, CAST(sum(pos) AS BIGINT) AS sum_ranges FROM ptoks WHERE NOT EXISTS (SELECT 1 FROM touched u WHERE u.doc_id = ptoks.doc_id AND u.label = 'NEAR' AND ptoks.pos >= u.token_start AND ptoks.pos < u.token_end) GROUP BY doc_id",
         "token_ranges": _PLACED + " SELECT doc_id, label, start, \"end\", sent, min(pos) AS token_start, max(pos) + 1 AS token_end FROM pments JOIN ptoks USING (doc_id, sent) WHERE t_end > start AND t_start < \"end\" GROUP BY ALL",
