@@ -9,6 +9,7 @@ import json
 import os
 import sys
 import time
+import uuid
 from pathlib import Path
 
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parent}:{os.environ.get('PYTHONPATH', '')}"
@@ -16,6 +17,8 @@ os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parent}:{os.environ.get('
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from weftnet.functions.tables import shared_dir  # noqa: E402
+from weftnet.operators.network import Network  # noqa: E402
 from weftnet.plans import queries as plans  # noqa: E402
 
 
@@ -52,6 +55,12 @@ def main() -> None:
     timed("wide_neighbors", lambda: wide[0].neighbors(strongest["src"], 100))
     timed("wide_rank_entities", lambda: wide[0].rank_entities([strongest["src"], strongest["dst"]], k=100))
     timed("wide_cooccurrences", lambda: wide[0].cooccurrences(strongest["src"], strongest["dst"]))
+    kept = f"{shared_dir(spark)}/weftnet/bench-{uuid.uuid4().hex[:12]}"
+    timed("wide_save", lambda: wide[0].save(kept) or wide[0].entities.limit(1))
+    laid = Network.load(spark, kept)
+    laid.neighbors(strongest["src"], 100).count()
+    timed("laid_neighbors", lambda: laid.neighbors(strongest["src"], 100))
+    timed("laid_cooccurrences", lambda: laid.cooccurrences(strongest["src"], strongest["dst"]))
     for name in ("seg_tokens", "gazetteer_mentions", "edges_exponential", "edges_top_k", "neighbors_raw", "load_weights", "rank_entities_multi", "rank_sentences", "rank_documents", "cooccurrence_instances", "contexts", "all_cooccurrences", "entity_terms", "rel_edges", "rel_terms", "context_clusters"):
         timed(name, lambda name=name: registered[name](spark, sf_dir))
     n_tokens = registered["seg_tokens"](spark, sf_dir).agg(F.sum("n_tokens")).first()[0]
