@@ -91,6 +91,24 @@ PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style></head><b
 PAGE_TEXT = "A & B ©\nFirst part of it, with words enough to be the text of a page.\nSecond part, <not a tag> and a < b.\none\ntwo"
 
 
+def test_html_frames():
+    """Forms and layout names around the article don't drop it; forms to fill in and boilerplate inside them go."""
+    prose = "<p>" + "Some words of the article, and more. " * 5 + "</p>"
+    want = " ".join(("Some words of the article, and more. " * 5).split())
+    search = "<form class='search-form'><input name=q><label>Find it</label></form>"
+    for page in (
+        f"<body><form id='aspnetForm' action='/x'><div class='menu'>Menu</div><article><h1>Title</h1>{prose}</article><div class='sidebar'>Side</div></form></body>",
+        f"<body><FORM><main><h1>Title</h1>{prose}</main><div class='comments'><p>A comment.</p></div></FORM></body>",
+        f"<body><div class='content-with-sidebar'><h1>Title</h1>{prose}</div><div class='sidebar'>Side</div></body>",
+        f"<body><div class='page'><h1>Title</h1>{prose}</div>{search}<form><p>Subscribe to our letter, please. Do it now.</p></form></body>",
+    ):
+        assert html_text.page_text(page, None) == "Title\n" + want, page
+    assert html_text.page_text("<form><p>Only a form to fill in.</p></form>", None) == ""
+    assert not html_text.marks_boilerplate("content-with-sidebar") and html_text.marks_boilerplate("ad-visible-banner") and html_text.marks_boilerplate("page-sidebar")
+    many = "<form>" * 20_000
+    assert html_text.page_text(many, None) == ""
+
+
 def test_html_pages(spark):
     other = "<html><body><div class='wrap-9'><div class='post-content p3'>Short.</div><div class='teaser'>" + "A long teaser of another article, with commas, and stops. " * 9 + "</div></div></body></html>"
     rows = [(1, "http://www.a.com/1", PAGE), (2, "https://A.com:80/2", PAGE.replace("p12", "p77")), (2, "https://A.com:80/2", PAGE.replace("p12", "p77")), (3, "http://u@a.com/x", other), (4, "http://b.com", None), (5, None, ""), (6, "http://c.com", "plain text & <b>more</b>"), (7, "x", "<p>un<b>closed <i>tags</p> <div>and</div> </section>stray")]

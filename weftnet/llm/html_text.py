@@ -55,6 +55,8 @@ TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote spa
 
 _CLOSING = {tag: re.compile(rf"</(?:{tag}|{tag.upper()})\s*>") for tag in RAW}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: What a form that frames the page has inside, or its end.
+_FRAMED = re.compile(r"<(?:(/form)|article|main|h1)\b", re.I)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|itemprop|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -63,11 +65,14 @@ def marks_boilerplate(name: str) -> bool:
     """Whether a class, id or role says that its element isn't the article.
 
     The last word says what a compound name is ("post-share", "article-ad"); a first word does if what follows only shapes it
-    ("share-buttons"). Numbers and single letters don't count; states of something else say nothing.
+    ("share-buttons"). Numbers and single letters don't count; states of something else say nothing, also in the middle
+    ("content-with-sidebar").
     """
     words = [w for w in (m.lower() for m in _NAME.findall(name)) if len(w) > 1]
     if not words or words[0] in STATES or words[-1] in STATES:
         return False
+    if words[0] not in BOILERPLATE and any(w in STATES for w in words):
+        return False
     return words[-1] in BOILERPLATE or words[0] in BOILERPLATE and all(w in FOLLOWING or w in BOILERPLATE for w in words[1:])
 
 
@@ -92,7 +97,8 @@ def _attributes(tag: str, raw: str) -> tuple[str, bool]:
 def blocks(source: str) -> list[tuple[tuple[str, ...], str, int]]:
     """The page's text blocks in order: (path, text, characters in links).
 
-    path names the open containers, from the outermost, as tag or tag.class. Text in dropped elements is left out; what closes an
+    path names the open containers, from the outermost, as tag or tag.class. Text in dropped elements is left out; a form around an
+    article, a main part or a first heading frames the page and isn't dropped. What closes an
     element that isn't open is ignored, and what is still open at the end counts as closed there.
     """
     found: list[tuple[tuple[str, ...], str, int]] = []
@@ -122,6 +128,15 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, int]]:
         linked -= tag == "a"
         return tag
 
+    framed: tuple[int, bool] = (-1, False)  # the next place where a form ends or has an article, and whether it has
+
+    def frames(at: int) -> bool:
+        nonlocal framed
+        if framed[0] < at:
+            m = _FRAMED.search(source, at)
+            framed = (m.start(), not m[1]) if m else (len(source), False)
+        return framed[1]
+
     at, length = 0, len(source)
     while at < length:
         end = source.find("<", at)
@@ -184,7 +199,7 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in VOID or raw.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         shown, drops = _attributes(tag, raw) if raw.strip() else ("", False)
-        drops = drops and tag not in ("html", "body", "main") or tag in DROPPED or tag == "header" and not any(p.startswith(("article", "main")) for p in path)
+        drops = drops and tag not in ("html", "body", "main") or tag in DROPPED and not (tag == "form" and frames(at)) or tag == "header" and not any(p.startswith(("article", "main")) for p in path)
         contains = tag in CONTAINERS
         stack.append((tag, contains, drops))
         opened[tag] = opened.get(tag, 0) + 1
