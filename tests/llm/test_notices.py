@@ -105,3 +105,31 @@ def test_rows_of_one_key(spark):
     out = licences.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.licence or "") for r in out) == [(0, ""), (0, "GPL-3.0-or-later"), (0, "GPL-3.0-or-later"), (1, ""), (1, "MIT")]
     assert licences.recognise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_names_tails_and_several_licences(spark):
+    """Holders by name, words after a wording, tags, and texts with more than one licence."""
+    holder = THIRD.replace("the copyright holder", "Acme Inc.")
+    cases = [
+        (BSD + holder, "BSD-3-Clause"),
+        (BSD + THIRD.replace("the copyright holder", "the Board of Trustees of the\n   University of Somewhere, Ltd."), "BSD-3-Clause"),
+        (BSD + THIRD.replace("the copyright holder", " ".join(f"w{i}" for i in range(13))), "BSD-2-Clause"),
+        (BSD, "BSD-2-Clause"),
+        ("The MIT License.\n\nLicensed under the Apache License, Version 2.0.", "Apache-2.0 MIT"),
+        (GPL + "\n" + BSD + holder + "\nAll rights reserved.", "GPL-3.0-or-later BSD-3-Clause"),
+        ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
+        ("/* SPDX-License-Identifier: MIT */\nint x;", "MIT"),
+        ("Released under the MIT License by Acme.", "MIT"),
+        ("GNU General Public License version 3 or later", "GPL-3.0-or-later"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License (https://creativecommons.org/licenses/by/4.0/).", "CC-BY-4.0"),
+        ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+        ("3-clause BSD license", "BSD-3-Clause"),
+        ("# SPDX-License-Identifier: LGPL-3.0-only", "LGPL-3.0-only"),
+        ("Released under the MIT License bylaws.", ""),
+        ("He kept all rights reserved for himself.", ""),
+        ("All rights reserved.", "Proprietary"),
+        ("", ""),
+    ]
+    out = licences.recognise(spark.createDataFrame([(i, t, w, "x") for i, (t, w) in enumerate(cases)], "doc_id long, text string, want string, licences string")).collect()
+    assert [(r.doc_id, r.licences) for r in out if r.licences != r.want] == []
+    assert all(r.licence == (r.want.split() or [None])[0] for r in out)
