@@ -362,6 +362,20 @@ def test_mixing(spark):
     assert mixing.copies(docs.limit(0), mixing.n_words(F.col("text")), [F.col("doc_id")]).count() == 0
 
 
+def test_inclusion_rates(spark):
+    """Over many offsets each document is taken as often as its source's rate says, large ones included."""
+    sizes = [1, 2, 3, 5, 8, 400, 90, 7, 7, 7, 30, 2]
+    docs = spark.createDataFrame([(i, n, "a" if i % 3 else "b") for i, n in enumerate(sizes)], "doc_id long, n long, source string")
+    seeds, taken, rates = 200, Counter(), {}
+    rows = docs.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("source", F.concat_ws("-", "source", "seed"))
+    for r in mixing.copies(rows, F.col("n"), [F.col("doc_id"), F.col("seed")], weights=(1,), total=0.7).collect():
+        rates[r.doc_id] = r.target / r.source_size
+        assert int(rates[r.doc_id]) <= r.copies <= int(rates[r.doc_id]) + 1
+        taken[r.doc_id] += r.copies
+    for i, rate in rates.items():
+        assert abs(taken[i] / seeds - rate) < 4 * max(rate * (1 - rate), 0.02) ** 0.5 / seeds**0.5, (i, taken[i] / seeds, rate)
+
+
 # 8
 
 
@@ -401,6 +415,16 @@ def test_scripts(spark):
     assert all(r.lang == r.lang_pred for r in langid.identify(docs, langid.learn(docs), ["doc_id", "lang"]).collect())
 
 
+def test_more_letters_than_sixteen_bits():
+    """Letters of samples are told apart however many there are."""
+    letters = [chr(c) for c in range(0x3400, 0x32000) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    assert len(letters) > 0x10000
+    last = letters[-40:]
+    learned = langid.Languages({"a": "".join(letters[:-40]), "b": "".join(last)})
+    assert learned.alphabet == len(letters) + 2 and len(set(learned.codes("".join(last)).tolist())) == 40
+    assert learned.phrases([learned.codes("".join(last))]).tolist() == [[40, 1]]
+
+
 def test_language_id(spark):
     samples = {"en": "the quick brown fox jumps over the lazy dog while they think about things ", "de": "der schnelle braune fuchs springt über den faulen hund und sie denken nach ", "fr": "le renard brun rapide saute par dessus le chien paresseux et ils pensent "}
     rnd = np.random.default_rng(4)

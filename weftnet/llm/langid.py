@@ -133,10 +133,10 @@ class Languages:
         seen = np.zeros(0x110000, bool)
         for text in sample.values():
             seen[_code_points(text)] = True
-        known = np.flatnonzero(seen & letter)[: 0xFFFD]
+        known = np.flatnonzero(seen & letter)
         # 0: not a letter; the last number: any letter that no sample has
         self.alphabet = len(known) + 2
-        self.classes = np.where(letter, self.alphabet - 1, 0).astype(np.uint16)
+        self.classes = np.where(letter, self.alphabet - 1, 0).astype(np.uint16 if self.alphabet <= 1 << 16 else np.int32)
         self.classes[known] = np.arange(1, len(known) + 1)
         self.names, self.bits, self.letters = [], [], []
         parts, starts = [], []

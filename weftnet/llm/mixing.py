@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftnet.llm.common import WORD, digest, staged, table, whole
+from weftnet.llm.common import WORD, digest, row_hash, staged, table, whole
 
 #: Weights that the sources take in turn, by code point, null last.
 WEIGHTS = (3, 1, 2)
 #: Share of all sizes that the mix holds, and the most copies that a document may expect.
 TOTAL, MOST = 1.5, 2.0
 SEED = 20
-#: A document with this share of its source's words or more is decided by itself; there are 1 / LARGE in a source at most.
-LARGE = 0.01
 #: The random offset is a multiple of 1/GRAIN, so that sums with whole numbers stay exact.
 GRAIN = 1 << 20
 
@@ -45,17 +43,15 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TO
     return listed.select("_no_source", "_source", "source_size", "target")
 
 
-def copies(docs: DataFrame, size: Column, order: list[Column], weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = SEED, large: float = LARGE, source_col: str = "source") -> DataFrame:
+def copies(docs: DataFrame, size: Column, order: list[Column], weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = SEED, source_col: str = "source") -> DataFrame:
     """Add size, source_size, target and copies (long) to docs.
 
     Systematic sampling lays the documents' expected copies in a source end to end, shifts them by the source's one random offset,
     and gives a document a copy for each whole number inside its stretch. The stretches are in order of size, so that
     neighbours which round differently have nearly equal sizes; ties go by a hash and then by `order`, so reruns agree.
 
-    A document that has `large` of its source's words or more would by itself move the source off its target. As is usual for such
-    units, their expectations are made whole numbers first, from the largest down: the first is rounded at random, by the source's
-    offset, each next one so that it makes up for what the ones before it took too much or too little. They are 1 / large at
-    most, so a source's fit in one row. All others expect the same, so that the whole source expects its target.
+    Each document of a source expects target / source_size copies, whatever its size, and gets that number rounded down or up. Taken
+    words miss their target by about the size of one large document at most, so by a share that falls with the number of documents.
 
     The running sum needs only a document's rank in its source. Slim rows (no text) are dealt by range of (source, size, ...),
     so a source with a third of all rows spreads over many partitions; the rank is the rank inside the partition plus the
@@ -86,50 +82,22 @@ def copies(docs: DataFrame, size: Column, order: list[Column], weights: tuple =
     inside = Window.partitionBy(*own, "_part").orderBy("size", *ties)
     ranked = placed.withColumn("_rank", F.row_number().over(inside)).join(part.select(*own, "_part", "_before"), [*own, "_part"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_rank")).join(targets, own)
-    is_large = (F.col("size") > 0) & (F.col("size") >= F.lit(large) * F.col("source_size"))
-
-    found = ranked.filter(is_large).groupBy(*own, "_rate", "_offset").agg(F.sort_array(F.collect_list(F.struct("_rank", "size")), asc=False).alias("_large"))
-    decided = staged(found.select(*own, decided_copies(F.col("_large"), F.col("_rate"), F.col("_offset")).alias("_d")), "large")
-    rest = targets.join(decided.select(*own, "_d.owed", "_d.words"), own, "left").select(*own, (F.col("_rate") * (F.col("source_size") - F.coalesce("words", F.lit(0))) + F.coalesce("owed", F.lit(0.0))).alias("_want"), (F.col("source_size") - F.coalesce("words", F.lit(0))).alias("_words"))
-    small = ranked.filter(~is_large).join(rest, own)
-    each = F.when(F.col("_words") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col("_want") / F.col("_words")))).otherwise(F.lit(0.0))
-    crossed = (F.floor(F.col("_offset") + each * F.col("_rank")) - F.floor(F.col("_offset") + each * (F.col("_rank") - 1))).cast("long")
-    whole_numbers = decided.select(*own, F.explode("_d.copies").alias("_c")).select(*own, F.col("_c.rank").alias("_rank"), F.col("_c.n").alias("copies"))
-    columns = ["_row", "size", "source_size", "target", "copies"]
-    both = small.withColumn("copies", crossed).select(columns).unionByName(ranked.filter(is_large).join(whole_numbers, [*own, "_rank"]).select(columns))
-    return both.select("_row.*", "size", "source_size", "target", "copies")
-
-
-def decided_copies(rows: Column, rate: Column, offset: Column) -> Column:
-    """Array of (_rank, size), the largest first -> struct of copies (array of rank, n), owed (expected less taken words) and words."""
-    none = F.array().cast("array<struct<rank:bigint,n:bigint>>")
-    begin = F.struct(none.alias("copies"), F.lit(0.0).alias("owed"), F.lit(0).cast("long").alias("words"))
-
-    def step(s: Column, x: Column) -> Column:
-        wanted = rate + s["owed"] / x["size"]
-        shift = F.when(s["words"] == 0, offset).otherwise(F.lit(0.5))
-        n = F.least(F.ceil(rate), F.greatest(F.floor(rate), F.floor(wanted + shift))).cast("long")
-        return F.struct(
-            F.concat(s["copies"], F.array(F.struct(x["_rank"].cast("long").alias("rank"), n.alias("n")))).alias("copies"),
-            (s["owed"] + (rate - n) * x["size"]).alias("owed"),
-            (s["words"] + x["size"]).alias("words"),
-        )
-
-    return F.aggregate(rows, begin, step)
+    crossed = F.floor(F.col("_offset") + F.col("_rate") * F.col("_rank")) - F.floor(F.col("_offset") + F.col("_rate") * (F.col("_rank") - 1))
+    return ranked.select("_row.*", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """The mix itself: every document once for each of its copies, with its number copy (from 0); documents without a copy go.
 
     docs needs doc_id, text and source. The copies are found on slim rows and joined back to the texts by a digest of those
-    three; rows equal in all of them are one document whose copies are those of its rows together. Other columns come from one of
-    such rows. The result has the columns of docs and copy.
+    three; rows equal in all of them are one document whose copies are those of its rows together. Other columns come from the
+    row of the least hash among them, so reruns agree. The result has the columns of docs and copy.
     """
     key = digest(F.col("doc_id"), F.col("source"), F.col("text"))
     slim = docs.select("doc_id", "source", key.alias("_key"), n_words(F.col("text")).alias("_n"))
     dealt = copies(slim, F.col("_n"), [F.col("doc_id"), F.col("_key")], **parameters)
     kept = dealt.groupBy("_key").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    once = docs.select(key.alias("_key"), whole(docs).alias("_row")).groupBy("_key").agg(F.first("_row").alias("_row"))
+    once = docs.select(key.alias("_key"), whole(docs).alias("_row"), row_hash(docs).alias("_order")).groupBy("_key").agg(F.min_by("_row", "_order").alias("_row"))
     return once.join(kept, "_key").select(F.col("_row.*"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("copy"))
 
 
