@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
-from xml.sax.saxutils import escape, quoteattr
+import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftnet.functions.tables import file_system, shared_dir
 from weftnet.operators.network import Network
 
 EDGE_COLUMNS = ("source", "source_label", "target", "target_label", "weight", "count")
@@ -68,6 +69,43 @@ def write_graph(network: Network, path: str, format: str = "json", **options) ->
         rows.write.format(format).mode("overwrite").save(f"{path}/{name}")
 
 
+def one_file(spark: SparkSession, path: str, parts: list[str | DataFrame], joined_by: str = "") -> None:
+    """One file of texts and tables of one string column, a row a line, in this order; it is there whole or not at all.
+
+    Tasks write the lines of each table as files of the shared folder; the driver's JVM then copies them one after another through a
+    buffer of 1 MB, under another name, which is changed at the end. A path without a scheme is one of Spark's default file
+    system. joined_by stands in front of each line of a table but the first. A line break inside a value stays as it is.
+    """
+    jvm = spark.sparkContext._jvm
+    fs, at = file_system(spark, path)
+    fs = fs.getRawFileSystem() if fs.getScheme() == "file" else fs
+    written: list[str] = []
+    for part in parts:
+        if not isinstance(part, str):
+            written.append(f"{shared_dir(spark)}/weftnet/{spark.sparkContext.applicationId}/lines-{uuid.uuid4().hex[:12]}")
+            part.select(F.concat(F.lit(joined_by), F.col(part.columns[0]))).write.text(written[-1])
+    folders = iter(written)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:12]}.draft")
+    out = fs.create(draft, True)
+    for part in parts:
+        if isinstance(part, str):
+            out.write(bytearray(part, "utf-8"))
+            continue
+        source, folder = file_system(spark, next(folders))
+        files = sorted((f for f in source.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getPath().getName())
+        for i, file in enumerate(files):
+            lines = source.open(file.getPath())
+            if i == 0:
+                lines.seek(len(joined_by.encode()))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(lines, out, 1 << 20, False)
+            lines.close()
+        source.delete(folder, True)
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(draft, at):
+        raise OSError(f"can't write {path}")
+
+
 def to_dict(network: Network, **filters) -> dict:
     """The network as plain values, for small ones: rows pass the driver one partition at a time."""
     nodes = entity_nodes(network, filters.get("labels")).orderBy("entity_id").drop("entity_id")
@@ -84,8 +122,18 @@ def to_dict(network: Network, **filters) -> dict:
 
 
 def to_json(network: Network, path: str, **filters) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(to_dict(network, **filters), f, indent=2, ensure_ascii=False)
+    """What to_dict gives, as one JSON file; nodes and edges are written by tasks."""
+    nodes = entity_nodes(network, filters.get("labels")).orderBy("entity_id").drop("entity_id")
+    named = network.edges(filters.get("min_weight", 0.0), filters.get("top_k"), filters.get("labels"))
+    edges = named.select(entity_node_id(F.col("source_norm"), F.col("source_label")).alias("source"), entity_node_id(F.col("target_norm"), F.col("target_label")).alias("target"), "weight", "count")
+    sizes = network.sizes().first()
+    head = {"config": json.loads(network.config.to_json()), "n_documents": sizes["n_documents"], "n_sentences": sizes["n_sentences"]}
+
+    def rows(df: DataFrame) -> DataFrame:
+        return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+
+    begin = json.dumps(head, ensure_ascii=False)[:-1] + ', "nodes": [\n'
+    one_file(nodes.sparkSession, path, [begin, rows(nodes), '], "edges": [\n', rows(edges), "]}\n"], joined_by=",")
 
 
 def to_pandas(network: Network, **filters):
@@ -97,57 +145,61 @@ def to_pandas(network: Network, **filters):
 
 
 def to_csv(network: Network, path: str, **filters) -> None:
-    """A CSV file with a header, written row by row."""
-    import csv
+    """The edge list as one CSV file with a header; rows are written by tasks."""
+    edges = edgelist(network, **filters)
+    lines = edges.select(F.to_csv(F.struct(*EDGE_COLUMNS), {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}))
+    one_file(edges.sparkSession, path, [",".join(EDGE_COLUMNS) + "\n", lines])
 
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        writer = csv.writer(f)
-        writer.writerow(EDGE_COLUMNS)
-        writer.writerows(list(r) for r in edgelist(network, **filters).toLocalIterator())
 
+def _xml(value: Column) -> Column:
+    """value as XML text or as a quoted attribute's inside, without the characters that XML doesn't have."""
+    out = F.regexp_replace(value.cast("string"), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]", "")
+    for character, put in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        out = F.replace(out, F.lit(character), F.lit(put))
+    return out
 
-def _typed(values: dict) -> Iterator[tuple[str, str, str]]:
-    for name, value in values.items():
-        if value is not None:
-            yield name, {int: "long", float: "double"}.get(type(value), "string"), str(value)
+
+def _fields(form: str, columns: dict[str, str]) -> Column:
+    """form, with {name} and {value}, for each column that isn't null: {column: name} put together."""
+    filled = []
+    for column, name in columns.items():
+        before, after = form.replace("{name}", name).split("{value}")
+        filled.append(F.concat(F.lit(before), _xml(F.col(column)), F.lit(after)))
+    return F.concat_ws("", *filled)
 
 
 def to_graphml(network: Network, path: str, **options) -> None:
+    """graph() as one GraphML file; nodes and edges are written by tasks."""
     nodes, edges = graph(network, **options)
     keys = {("node", c): "string" for c in ("kind", "text", "norm", "label", "pos")} | {("node", "count"): "long", ("edge", "kind"): "string", ("edge", "weight"): "double", ("edge", "count"): "long"}
     name = {k: f"d{i}" for i, k in enumerate(keys)}
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
-        for (of, column), kind in keys.items():
-            f.write(f'<key id="{name[of, column]}" for="{of}" attr.name="{column}" attr.type="{kind}"/>\n')
-        f.write('<graph edgedefault="undirected">\n')
-        for r in nodes.toLocalIterator():
-            data = "".join(f'<data key="{name["node", c]}">{escape(v)}</data>' for c, _, v in _typed(r.asDict()) if c != "id")
-            f.write(f"<node id={quoteattr(r['id'])}>{data}</node>\n")
-        for r in edges.toLocalIterator():
-            data = "".join(f'<data key="{name["edge", c]}">{escape(v)}</data>' for c, _, v in _typed(r.asDict()) if c not in ("source", "target"))
-            f.write(f"<edge source={quoteattr(r['source'])} target={quoteattr(r['target'])}>{data}</edge>\n")
-        f.write("</graph>\n</graphml>\n")
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n'
+    head += "".join(f'<key id="{name[of, column]}" for="{of}" attr.name="{column}" attr.type="{kind}"/>\n' for (of, column), kind in keys.items())
+
+    def data(of: str) -> Column:
+        return _fields('<data key="{name}">{value}</data>', {c: n for (o, c), n in name.items() if o == of})
+
+    node_lines = nodes.select(F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('">'), data("node"), F.lit("</node>")))
+    edge_lines = edges.select(F.concat(F.lit('<edge source="'), _xml(F.col("source")), F.lit('" target="'), _xml(F.col("target")), F.lit('">'), data("edge"), F.lit("</edge>")))
+    one_file(nodes.sparkSession, path, [head + '<graph edgedefault="undirected">\n', node_lines, edge_lines, "</graph>\n</graphml>\n"])
 
 
 def to_gexf(network: Network, path: str, **options) -> None:
+    """graph() as one GEXF file; nodes and edges are written by tasks. Ids of edges are any different numbers."""
     nodes, edges = graph(network, **options)
     own, links = {"kind": "string", "norm": "string", "label": "string", "pos": "string", "count": "long"}, {"kind": "string", "count": "long"}
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2">\n<graph defaultedgetype="undirected" mode="static">\n')
-        for of, columns in (("node", own), ("edge", links)):
-            f.write(f'<attributes class="{of}" mode="static">' + "".join(f'<attribute id="{c}" title="{c}" type="{kind}"/>' for c, kind in columns.items()) + "</attributes>\n")
-
-        def values(row: dict, columns: dict) -> str:
-            return "<attvalues>" + "".join(f'<attvalue for="{c}" value={quoteattr(v)}/>' for c, _, v in _typed(row) if c in columns) + "</attvalues>"
-
-        f.write("<nodes>\n")
-        for r in nodes.toLocalIterator():
-            f.write(f"<node id={quoteattr(r['id'])} label={quoteattr(r['text'])}>{values(r.asDict(), own)}</node>\n")
-        f.write("</nodes>\n<edges>\n")
-        for i, r in enumerate(edges.toLocalIterator()):
-            f.write(f'<edge id="{i}" source={quoteattr(r["source"])} target={quoteattr(r["target"])} weight="{r["weight"]}">{values(r.asDict(), links)}</edge>\n')
-        f.write("</edges>\n</graph>\n</gexf>\n")
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2">\n<graph defaultedgetype="undirected" mode="static">\n'
+    for of, columns in (("node", own), ("edge", links)):
+        head += f'<attributes class="{of}" mode="static">' + "".join(f'<attribute id="{c}" title="{c}" type="{kind}"/>' for c, kind in columns.items()) + "</attributes>\n"
+
+    def values(columns: dict) -> Column:
+        return F.concat(F.lit("<attvalues>"), _fields('<attvalue for="{name}" value="{value}"/>', {c: c for c in columns}), F.lit("</attvalues>"))
+
+    node_lines = nodes.select(F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('" label="'), _xml(F.col("text")), F.lit('">'), values(own), F.lit("</node>")))
+    numbered = edges.withColumn("_n", F.monotonically_increasing_id())
+    ends = F.concat(F.lit('<edge id="'), F.col("_n").cast("string"), F.lit('" source="'), _xml(F.col("source")), F.lit('" target="'), _xml(F.col("target")), F.lit('" weight="'), F.col("weight").cast("string"), F.lit('">'))
+    edge_lines = numbered.select(F.concat(ends, values(links), F.lit("</edge>")))
+    one_file(nodes.sparkSession, path, [head + "<nodes>\n", node_lines, "</nodes>\n<edges>\n", edge_lines, "</edges>\n</graph>\n</gexf>\n"])
 
 
 def check_suffix(path: str) -> str:
