@@ -136,16 +136,12 @@ class BitSlicedIndex:
             level += 1
         return out
 
-    def top(self, query: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows, or all if fewer, apart from those with the id `without`; ties to smaller ids."""
+    def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best rows, or all if fewer; ties to smaller ids."""
         if query.shape[0] < self.vectors.shape[1]:
             query = np.pad(query, (0, self.vectors.shape[1] - query.shape[0]))
         query = query[: self.vectors.shape[1]]
         within = self.all
-        if without is not None and (own := np.flatnonzero(self.ids == without)).size:
-            within = within.copy()
-            for i in own.tolist():
-                within[i >> 6] &= ~np.uint64(1 << (i & 63))
         slices = self.score_slices(query)
         # the k-th best score over the slices, from the most significant downward
         rows, above, kth = within, 0, 0
@@ -180,16 +176,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     """query_id, rank (from 1), id_col, score: for each row of queries its k best rows of vectors by integer inner product.
 
     Every row of vectors is indexed, in blocks; each block meets each chunk of queries once and gives k rows for each query at
-    most, of which a window keeps the best. The result is exact. A query's own row, and any with its id, is no candidate; ties
+    most, of which a window keeps the best. The result is exact. A query's own row is no candidate, other rows with its id are; ties
     go to the smaller id. Rows without an id and vectors that are null or hold null or non-finite components take no part, neither
-    as queries nor as candidates; shorter vectors count as filled up with zeros; rows that repeat a query's id are one query, of
-    the least vector, and repeated candidates are candidates each. Empty tables give an empty result. Scores are 64-bit.
+    as queries nor as candidates; shorter vectors count as filled up with zeros; rows that repeat a query's id are queries each,
+    with ranks of their own, and repeated candidates are candidates each. Empty tables give an empty result. Scores are 64-bit.
+
+    The own row is taken out last, of k + 1 best rows: it is one with the query's id and the query's score with itself, and rows that agree
+    in both look the same in the result. Repeated queries are searched for once.
     """
     candidates = staged(quantised(vectors, id_col, vector_col, scale), "vectors")
     blocks = max(1, -(-candidates.count() // block_rows))
     index = staged(_payloads(candidates.repartition(blocks), block_rows), "index")
-    asked = quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
-    chunks = staged(_payloads(asked, chunk_rows), "queries")
+    asked = quantised(queries, id_col, vector_col, scale).groupBy("id", "v").agg(F.count("*").alias("times"))
+    asked = staged(asked.withColumn("query", F.monotonically_increasing_id()), "asked")
+    chunks = staged(_payloads(asked.select("query", "v"), chunk_rows), "queries")
     chunks = chunks.select(*[F.col(c).alias(f"q_{c}") for c in chunks.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,14 +201,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
                     last, block = (ids, vectors), BitSlicedIndex(*unpacked(ids, vectors, dims))
                 out: list[list[np.ndarray]] = [[], [], []]
                 for query_id, query in zip(*unpacked(q_ids, q_vectors, q_dims), strict=True):
-                    found, scores = block.top(query, k, int(query_id))
+                    found, scores = block.top(query, k + 1)
                     for column, values in zip(out, (np.full(len(found), query_id), found, scores), strict=True):
                         column.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["query_id", "id", "score"])
-
-    partial = index.crossJoin(chunks).mapInArrow(run, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    best = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["query", "id", "score"])
+
+    partial = index.crossJoin(chunks).mapInArrow(run, "query long, id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
+    best = partial.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
+    own = asked.select("query", F.col("id").alias("query_id"), "times", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x).alias("itself"))
+    best = best.join(own, "query").withColumn("is_own", (F.col("id") == F.col("query_id")) & (F.col("score") == F.col("itself")))
+    # rows from the own one on move up by one
+    at = F.min(F.when(F.col("is_own"), F.col("place"))).over(Window.partitionBy("query"))
+    best = best.withColumn("at", at).filter(F.col("at").isNull() | (F.col("place") != F.col("at")))
+    best = best.withColumn("rank", F.when(F.col("place") > F.col("at"), F.col("place") - 1).otherwise(F.col("place"))).filter(F.col("rank") <= k)
+    best = best.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
@@ -223,10 +230,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = f"""
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % {QUERY_STEP} = 0),
-ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.rid <> c.rid WHERE q.vec_id % {QUERY_STEP} = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {TOP}"""
