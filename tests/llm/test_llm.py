@@ -82,6 +82,45 @@ def test_quality_verdict(spark):
     assert all(r.kept is False for r in quality.judge(documents(spark, [(1, None), (2, "")])).collect())
 
 
+def test_quality_of_other_scripts(spark):
+    rnd = np.random.default_rng(8)
+    cyrillic = "и в не на что он с как это по но из у за от так его для вы ты дом река город книга окно дерево слово время".split()
+    english = "the of and to in is that it for was on are house river town book window tree word time people water stone road".split()
+    han = list("的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可")
+    rows = []
+    for i in range(40):
+        rows.append((3 * i, " ".join(rnd.choice(cyrillic, 200)) + ".", "ru"))
+        rows.append((3 * i + 1, "".join(rnd.choice(han, 900)) + "。 " + " ".join("".join(rnd.choice(han, 4)) for _ in range(20)), "zh"))
+        rows.append((3 * i + 2, " ".join(rnd.choice(english, 200)) + ".", "en"))
+    rows += [(200, " ".join(f"ЩЪЬ{i}!!Ж" for i in range(200)), "ru"), (201, " ".join(f"★☆{i}§§¤¤¤" for i in range(200)), "zh"), (202, " ".join(f"zq{'x' * (i % 7)}{i}k" for i in range(200)), None)]
+    schema = "doc_id long, text string, lang string, word_hist string"
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(*r, "other") for r in rows], schema)).collect()}
+    assert all(out[i].kept and out[i].ref_lang == lang for i, _, lang in rows[:120])
+    assert not any(out[i].kept or out[i].base_failed for i in (200, 201, 202))
+    found = dict(quality.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert {"и", "не", "the", "of", "的", "了"} <= set(found) and "щъь" not in found
+
+    # the histograms against counts by another library
+    regex = pytest.importorskip("regex")
+    texts = [t for _, t, _ in rows[:6]] + ["", "Äpfel, ÉTÉ école e\u0301 ½ 12 ٣ Ωmega שלום مرحبا नमस्ते ไทย 한국 かな カナ 漢字 😀 «x» <b> ქართული", "THE the THE of"]
+    known = sorted(found.items())
+    spaced = r"[\p{L}\p{M}--[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF]]+"
+    measured = quality.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"], "text", known).collect()
+    assert len(measured) == len(texts)
+    for r in measured:
+        t = texts[r.doc_id]
+        letters = [c for c in t if regex.match(r"\p{L}", c) and not regex.match(r"\p{Lu}|[a-z]", c)]
+        scripts = [sum(bool(regex.match(rf"\p{{{name}}}", c)) for c in letters) for name in quality.SCRIPTS]
+        marks = [c for c in t if (c < "\x80" and regex.match(r"[\p{P}`^~=_]", c) or c >= "\x80" and regex.match(r"\p{P}", c)) and not re.match(quality.SYMBOLS, c)]
+        want = [len(re.findall(r"[\x20\x09-\x0D]", t)), len(re.findall(quality.SYMBOLS, t)), len(regex.findall(r"\p{Lu}", t)), len(regex.findall(r"\p{Nd}", t)), len(marks)]
+        want += [*scripts, len(letters) - sum(scripts), len(regex.findall(r"\p{M}", t)), len(re.findall("[a-z]", t))]
+        assert r.char_hist[: len(want)] == want and sum(r.char_hist) == len(t), (t, r.char_hist, want)
+        n = Counter(regex.findall(spaced + r"|\p{L}", t.lower(), flags=regex.V1))
+        pairs = [(i, n[w]) for i, (w, _) in enumerate(known, 1) if n[w]]
+        rest = sum(n.values()) - sum(k for _, k in pairs)
+        assert [tuple(e) for e in r.word_hist] == pairs + ([(len(known) + 1, rest)] if rest else [])
+
+
 # 2
 
 PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav>
