@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftnet.functions.tables import dense_ids
 from weftnet.functions.text import strip
+from weftnet.sources.csv_splits import read_csv
 
 META = "map<string,string>"
 DOCUMENTS = f"doc_id long, text string, meta {META}"
@@ -52,10 +53,18 @@ def _placed() -> list[Column]:
 
 
 def from_csv(spark: SparkSession, path: str, text_column: str = "text", id_column: str | None = None, delimiter: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A document for each row of a CSV or TSV file with a header; other named columns become meta. A missing column is a ValueError."""
+    """A document for each row of a CSV or TSV file with a header; other named columns become meta. A missing column is a ValueError.
+
+    UTF-8 files are read in splits, also where quoted fields hold line breaks; those of other encodings by one task each.
+    """
     sep = delimiter or ("\t" if path.lower().endswith(".tsv") else ",")
-    rows = spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"', encoding=encoding)
-    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if not re.fullmatch(r"_c\d+", c)], *_placed())
+    if encoding.upper().replace("-", "") == "UTF8":
+        rows = read_csv(spark, path, sep).withColumn("_split", F.lit(0))
+        places = [F.col(c) for c in PLACE]
+    else:
+        rows = spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"', encoding=encoding)
+        places = _placed()
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in PLACE and not re.fullmatch(r"_c\d+", c)], *places)
     for column in [text_column, *([id_column] if id_column else [])]:
         if column not in rows.columns:
             raise ValueError(f"{path} has no column {column!r} (it has {', '.join(c for c in rows.columns if c not in PLACE)})")
