@@ -202,7 +202,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None, lang_col: str = "lang"
 
     Common words are learned from the labelled documents of any language. Each language's reference histograms are summed over all
     its labelled documents, and then once more over those of them that lie within MOST_REFERENCE_DISTANCE of the first references,
-    or no farther than the middle one of their language (to four decimals), so that junk doesn't describe it. A document is compared
+    or no farther than the middle one of their language (to three decimals), so that junk doesn't describe it. A document is compared
     with every reference, not with that of its own label; the one nearest by words counts, by characters where there are no words.
     It is kept if it passes the base rule and neither distance is over its limit; texts under LEAST_CHARS characters, or
     LEAST_TEXT_WORDS words of letters, skip that comparison (null distance), and so do all texts where no language has a reference.
@@ -221,12 +221,12 @@ def judge(docs: DataFrame, keep: list[str] | None = None, lang_col: str = "lang"
         first = references(measured, len(words), "_lang").select(F.col("ref_lang").alias("_of"), F.col("ref_chars").alias("_c"))
         rows = measured.join(F.broadcast(first), F.col("_lang") == F.col("_of")).drop("_of")
         far = F.when(F.col("n_chars") >= LEAST_CHARS, distance(present(chars), F.col("_c")))
-        rows = staged(rows.withColumn("_far", F.round(10_000 * F.coalesce(far, F.lit(0.0))).cast("int")).drop("_row", "_c"), "far")
-        # the exact middle from counts of at most 10,001 values a language
+        rows = staged(rows.withColumn("_far", F.round(1000 * F.coalesce(far, F.lit(0.0))).cast("int")).drop("_row", "_c"), "far")
+        # the exact middle from counts of at most 1,001 values a language
         counts = rows.groupBy(F.col("_lang").alias("_of"), "_far").agg(F.count("*").alias("_n"))
         by_lang = Window.partitionBy("_of")
         upto = counts.withColumns({"_upto": F.sum("_n").over(by_lang.orderBy("_far")), "_all": F.sum("_n").over(by_lang)})
-        middle = upto.filter(2 * F.col("_upto") >= F.col("_all")).groupBy("_of").agg(F.greatest(F.min("_far"), F.lit(round(10_000 * MOST_REFERENCE_DISTANCE))).alias("_middle"))
+        middle = upto.filter(2 * F.col("_upto") >= F.col("_all")).groupBy("_of").agg(F.greatest(F.min("_far"), F.lit(round(1000 * MOST_REFERENCE_DISTANCE))).alias("_middle"))
         return rows.join(F.broadcast(middle), F.col("_lang") == F.col("_of")).filter("_far <= _middle").drop("_far", "_of", "_middle")
 
     own = F.struct(F.col("ref_lang").alias("l"), F.col("ref_chars").alias("c"), F.col("ref_words").alias("w"))
