@@ -224,3 +224,30 @@ def test_no_finding(spark):
     out = secrets.scan(documents(spark)).collect()
     assert len(out) == len(TEXTS) and all(r.spans == "" for r in out)
     assert secrets.scan(documents(spark, [])).count() == 0
+
+
+def test_all_findings_are_learned_from(spark, monkeypatch):
+    """No finding of either class is left out, whatever their number, and long tokens are learned from in whole."""
+    rnd = np.random.default_rng(17)
+    words = [key(rnd, "etaoinshrdlu", int(n)) for n in rnd.integers(2, 9, 400)]
+    some = lambda n: " ".join(words[i] for i in rnd.integers(0, 400, n))
+    rows = [(i, f'{some(9)} token = "{key(rnd, "0123456789abcdef", 40)}" {some(9)}') for i in range(2100)]
+    rows += [(5000 + i, f"{some(9)} {''.join(some(6).split())}aeiouaeiouaeiou{i} {some(9)}") for i in range(2300)]
+    rows += [(9000, "x " + "".join(words[i] for i in rnd.integers(0, 400, 200)) + " y"), (9001, None), rows[0]]
+    docs = documents(spark, rows)
+    found = secrets.labelled_findings(docs)
+    long = len(rows[4400][1]) - 4
+    pieces = found.filter("secret = false and length(token) = 128").collect()
+    assert found.filter("secret").count() == 2100 and found.filter("not secret").count() == 2300 + -(-long // 128)
+    covered = {i for r in pieces for i in range(rows[4400][1].index(r.token), rows[4400][1].index(r.token) + 128)}
+    assert covered == set(range(2, long + 2))
+
+    # several shards, to each of which the rarer class is dealt too; results don't depend on the order or the partitions
+    monkeypatch.setattr(secrets, "SHARD", 500)
+    monkeypatch.setattr(secrets, "LEAST_OF_CLASS", 100)
+    few = found.filter("not secret or crc32(token) % 8 = 0")
+    one = secrets.learned(few)
+    assert one.recall >= 0.95 and one.false_rate <= 0.02
+    again = secrets.learned(few.repartition(7).sortWithinPartitions("after"))
+    assert again.least == one.least and np.array_equal(again.network.flat(), one.network.flat())
+    assert secrets.learned(found.filter("secret")) is None
