@@ -8,9 +8,12 @@ import numpy as np
 import pytest
 
 from weftnet.functions.tables import names_in, shared_dir
+from weftnet.operators import context
 from weftnet.operators.align import align_spans, left_uncovered, uncovered_tokens
+from weftnet.operators.extract import Gazetteer
 from weftnet.operators.segment import sentence_spans, sentences, token_spans, tokens
 from weftnet.plans import queries as plans
+from weftnet.plans.pipeline import build_network
 from weftnet.sources import corpus
 
 DATA = Path("/root/testdata/sf0.001")
@@ -32,6 +35,19 @@ def test_writes_only_what_it_needs(spark, tmp_path, name):
     assert {n.rsplit("-", 1)[0] for n in names_in(spark, at) if n not in before} <= WRITTEN[name]
 
 
+def test_small_blocks_are_compared_together(spark, monkeypatch):
+    """Each context goes to as many tasks as there are groups of contexts, however small the blocks; groups change no cluster."""
+    texts = [f"Ada met Bo in {' '.join(f'w{(i * 7 + k * k) % 23}' for k in range(i % 9))}." for i in range(60)]
+    n = build_network(corpus.from_texts(spark, texts), Gazetteer({"P": ["Ada", "Bo"]}), window=0)
+    groups, own = [], context.staged
+    monkeypatch.setattr(context, "staged", lambda df, name: (groups.append(df.agg({"blocks": "max"}).first()[0]) if name == "contexts" else None) or own(df, name))
+    clusters = lambda: sorted(map(tuple, context.EdgeClusterer(eps=0.3, min_samples=3, block=4).memberships(n).collect()))
+    together = clusters()
+    monkeypatch.setattr(context, "TOGETHER", 8)
+    assert clusters() == together and {0, -1} <= {r[2] for r in together}
+    assert groups[0] == 1 < groups[1]
+
+
 def test_tokens_left_over_as_by_sweeps(spark):
     rnd = random.Random(3)
     texts = ["", "a b", *("".join(rnd.choice(["ab", " ", ". ", "\n", "c-d", "!"]) for _ in range(rnd.randint(1, 80))) for _ in range(20))]
@@ -48,3 +64,10 @@ def test_tokens_left_over_as_by_sweeps(spark):
         for found, left in zip(got, left_uncovered(own[:, 0], own[:, 1], (places[:, 0], places[:, 1])), strict=True):
             found |= {(i, k) for k in left.tolist()}
     assert got == want
+
+
+def test_sentences_between_mentions_are_those_of_contexts(spark):
+    docs = corpus.from_texts(spark, ["Ada. x. y. Bo. z. z. z. Ada and Ada.", "Bo. x. x. x. Ada. q.", "none. at all."])
+    n = build_network(docs, Gazetteer({"P": ["Ada"], "Q": ["Bo"]}), window=3)
+    assert sorted((r.doc_id, r.sent) for r in n.between().collect()) == [(0, 0), (0, 1), (0, 2), (0, 3), (0, 7)]
+    assert [r.context for r in n.contexts("Ada", "Bo").collect()] == ["Ada. x. y. Bo."]
