@@ -23,6 +23,7 @@ EDGES = {"mentioned", "named", "entity_id", "entities", "mention_id", "mentions"
 WRITTEN = {
     "edges_top_k": EDGES,
     "contexts": EDGES - {"histogram"},
+    "documents_summary": {"documents"},
     "uncovered_counts": set(),
 }
 
