@@ -22,6 +22,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 EDGES = {"mentioned", "named", "entity_id", "entities", "mention_id", "mentions", "histogram"}
 WRITTEN = {
     "edges_top_k": EDGES,
+    "edges_window1": EDGES,
     "edges_by_label": EDGES,
     "edge_invariants": EDGES,
     "edges_window0": EDGES,
